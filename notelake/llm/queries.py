@@ -1,10 +1,18 @@
 """The registered queries of this subpackage, and their SQL where SQL can express one."""
 
+from notelake.llm.bpe import op7_byte_bpe
+from notelake.llm.decontaminate import op10_decontamination
 from notelake.llm.pii import op9_personal_data
 from notelake.llm.quality import op4_quality_rules
 from notelake.llm.secrets import op3_secret_scan
 from notelake.llm.sharding import op6_sharding
+from notelake.llm.simhash import op8_simhash_near_dedup
 from notelake.llm.urls import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_secret_scan, op4_quality_rules, op6_sharding, op9_personal_data)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op3_secret_scan, op4_quality_rules, op6_sharding, op7_byte_bpe, op8_simhash_near_dedup, op9_personal_data, op10_decontamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,18 +1,53 @@
-"""The corpus pipeline: documents in, training text out."""
+"""The corpus pipeline: documents in, token ids of clean, deduplicated and decontaminated text out.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; ``run`` writes each result to
+the shared folder and reads it again as the next stage's docs, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notelake.llm import quality
+from notelake.llm import bpe, decontaminate, lines, quality, simhash
 from notelake.llm.shared import table, written
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or leave the compression bands go."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go from all but the first document; no document goes."""
+    return lines.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return simhash.one_per_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with the benchmark go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids instead of texts, and whether they decode to the text's bytes."""
+    path, pattern = bpe.vocabulary_file()
+    return bpe.with_token_ids(docs, path, pattern).drop("text")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte bpe", byte_bpe),
+]
+
+#: Compression ratios, fingerprints and tokens have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -230,6 +230,22 @@ def bpe_decode(ids: Column, path: str) -> Column:
     return F.pandas_udf(texts, "binary")(ids)
 
 
+def with_token_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with columns token_ids, n_tokens and round_trip (the ids decode to the text's bytes); such columns are replaced."""
+
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [
+                (np.frombuffer(a, "<u4").astype(np.int32), len(a) // 4, b == (t or "").encode())
+                for t, (a, b) in zip(texts, encoded(texts, path, pattern), strict=True)
+            ]
+            yield pd.DataFrame(rows, columns=["token_ids", "n_tokens", "round_trip"])
+
+    out = F.pandas_udf(both, "token_ids array<int>, n_tokens bigint, round_trip boolean")(F.col(text))
+    named = docs.withColumn("__bpe", out)
+    return named.withColumns({c: F.col(f"__bpe.{c}") for c in ("token_ids", "n_tokens", "round_trip")}).drop("__bpe")
+
+
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 

@@ -2,6 +2,8 @@
 
 from notelake.llm.bpe import op7_byte_bpe
 from notelake.llm.decontaminate import op10_decontamination
+from notelake.llm.html_text import op5_html_text
+from notelake.llm.lines import OP2_SQL, op2_line_dedup
 from notelake.llm.pii import op9_personal_data
 from notelake.llm.quality import op4_quality_rules
 from notelake.llm.secrets import op3_secret_scan
@@ -12,7 +14,7 @@ from notelake.llm.urls import op1_url_filter
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op3_secret_scan, op4_quality_rules, op6_sharding, op7_byte_bpe, op8_simhash_near_dedup, op9_personal_data, op10_decontamination,
+        op1_url_filter, op2_line_dedup, op3_secret_scan, op4_quality_rules, op5_html_text, op6_sharding, op7_byte_bpe, op8_simhash_near_dedup, op9_personal_data, op10_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL}

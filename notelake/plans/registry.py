@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from notelake.plans import index_queries
+
+MODULES = (index_queries,)
+flagship = index_queries.flagship
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -88,7 +88,7 @@ def section(body: Column, heading: str) -> Column:
 
 
 def preview(c: Column, n: int = 180) -> Column:
-    return let(norm_cell(c), lambda t: F.when(F.length(t) > n, F.concat(F.rtrim(F.left(t, F.lit(n - 3))), F.lit("..."))).otherwise(t))
+    return let(norm_cell(c), lambda t: F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n - 3)), F.lit("..."))).otherwise(t))
 
 
 def safe_tag(c: Column) -> Column:

@@ -11,6 +11,7 @@ from notelake.operators import notes as N
 from notelake.plans import oracle as O
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.views import AS_OF, NOTES, view
+from notelake.sources.tables import written
 
 ITEM_COLUMNS = [
     "type", "language", "text", "normalized", "status", "anki_status", "level", "source_type", "source", "seen_count", "difficulty", "confidence", "obsidian_path", "obsidian_link",
@@ -22,8 +23,17 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parse_frontmatter(view(spark, sf_dir, NOTES))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed notes as a table: later plans start from plain columns and parse no note twice."""
+    return written(parsed(spark, sf_dir), "parsed-notes")
+
+
+def items_of(notes: DataFrame) -> DataFrame:
+    return written(I.build_items(notes, AS_OF), "items")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.build_items(parsed(spark, sf_dir), AS_OF)
+    return I.build_items(stored(spark, sf_dir), AS_OF)
 
 
 def b1_split_frontmatter(spark, sf_dir):
@@ -107,11 +117,11 @@ def c2_item_skills(spark, sf_dir):
 
 
 def c3_search_docs(spark, sf_dir):
-    return I.build_search_docs(parsed(spark, sf_dir))
+    return I.build_search_docs(stored(spark, sf_dir))
 
 
 def c4_index_summary(spark, sf_dir):
-    return I.index_summary(parsed(spark, sf_dir))
+    return I.index_summary(stored(spark, sf_dir))
 
 
 def c5_with_tags(spark, sf_dir):
@@ -159,7 +169,7 @@ ORACLE = {
     "b13_item_text": PRELUDE + "SELECT path, text FROM note_items",
     "b14_normalizers": f"SELECT doc_id, {O.norm_db('text')} AS norm_db, {O.norm_ext('text')} AS norm_ext, lower({O.collapse(O.strip('text'))}) AS norm_low, {O.collapse(O.strip('text'))} AS norm_cell FROM documents",
     "b16_item_keys": PRELUDE + "SELECT path, type || '|' || language || '|' || normalized AS item_key, type AS item_type, language, normalized FROM note_items",
-    "b18_preview": PRELUDE + f"SELECT path, CASE WHEN length(b) > 180 THEN rtrim(substr(b, 1, 177)) || '...' ELSE b END AS preview FROM (SELECT path, {O.collapse(O.strip('body'))} AS b FROM cut)",
+    "b18_preview": PRELUDE + f"SELECT path, CASE WHEN length(b) > 180 THEN substr(b, 1, 177) || '...' ELSE b END AS preview FROM (SELECT path, {O.collapse(O.strip('body'))} AS b FROM cut)",
     "b19_metadata_tags": PRELUDE
     + f"""SELECT path, array_to_string(list_sort(list_distinct(list_filter(list_concat([{_tags}], list_concat(list_transform(p_topic, lambda x: 'topic/' || {_tag('x')}), list_transform(p_skill, lambda x: 'skill/' || {_tag('x')}))), lambda x: x IS NOT NULL))), ' ') AS tags FROM props""",
     "b24_note_link": PRELUDE + "SELECT path, obsidian_link FROM note_items",

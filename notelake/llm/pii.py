@@ -106,7 +106,7 @@ TRAINING = (
     ("the", "5551234", "O"), ("year", "1999.", "O"), ("about", "10,000", "O"), ("key", "deadbeef0123456789", "O"), ("token", "a1b2c3d4", "O"),
 )
 #: Potentials (logarithms) between labels: neighbours slightly, repetitions strongly prefer to agree.
-CHAIN_AGREE, SKIP_AGREE, EVIDENCE = 0.2, 3.0, 6.0
+CHAIN_AGREE, SKIP_AGREE, EVIDENCE = 0.2, 6.0, 10.0
 ROUNDS, DAMPING, ACCEPT = 12, 0.3, 0.6
 
 
@@ -167,41 +167,39 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndar
 
 
 def crf_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the random field adds; none overlaps a base span."""
-    tokens, end_before = [], 0
+    """Spans that the random field adds; none overlaps a base span. A base span is one node, whatever its tokens."""
+    nodes, k = [(a, b, kind) for a, kind, b in base], 0
     for m in CANDIDATE.finditer(text):
-        chain = bool(tokens) and m.start() - end_before <= 1
-        tokens.append((m.start(), m.end(), m[0], chain))
-        end_before = m.end()
-    if not tokens:
+        while k < len(base) and base[k][2] <= m.start():
+            k += 1
+        j = k
+        while j < len(base) and base[j][0] < m.end() and base[j][2] <= m.start():
+            j += 1
+        if j == len(base) or base[j][0] >= m.end():
+            nodes.append((m.start(), m.end(), None))
+    if len(nodes) == len(base):
         return []
-    unary, taken, k = np.empty((len(tokens), len(LABELS))), np.zeros(len(tokens), bool), 0
+    nodes.sort(key=lambda x: x[:2])
+    unary, w = np.empty((len(nodes), len(LABELS))), weights()
     last: dict[str, int] = {}
     edges: list[tuple[int, int, float]] = []
-    w = weights()
-    for i, (start, end, token, chain) in enumerate(tokens):
-        head = text[max(0, start - 40) : start].split()
+    for i, (start, end, kind) in enumerate(nodes):
+        token, head = text[start:end], text[max(0, start - 40) : start].split()
         unary[i] = features(head[-1] if head else "", token) @ w
-        while k < len(base) and base[k][2] <= start:
-            k += 1
-        j = k
-        while j < len(base) and base[j][0] < end:
-            if base[j][2] > start:
-                taken[i] = True
-                unary[i, 1 + base[j][1]] += EVIDENCE
-            j += 1
-        if chain:
+        if kind is not None:
+            unary[i, 1 + kind] += EVIDENCE
+        if i and 0 <= start - nodes[i - 1][1] <= 1:
             edges.append((i - 1, i, CHAIN_AGREE))
         if common := alike(token):
             if common in last:
                 edges.append((last[common], i, SKIP_AGREE))
             last[common] = i
-    if taken.all() or not taken.any() and not (unary[:, 1:].max(1) > unary[:, 0]).any():
+    if not base and not (unary[:, 1:].max(1) > unary[:, 0]).any():
         return []
     p, found = marginals(unary, edges), []
-    for i, (start, end, token, _) in enumerate(tokens):
-        label = int(p[i].argmax())
-        if label and not taken[i] and p[i, label] >= ACCEPT:
+    for i, (start, end, kind) in enumerate(nodes):
+        label, token = int(p[i].argmax()), text[start:end]
+        if label and kind is None and p[i, label] >= ACCEPT:
             lead = len(token) - len(token.lstrip(".,:;()[]\"'|!#*$%&<>"))
             tail = len(token) - len(token.rstrip(".,:;()[]\"'|!#*$%&<>"))
             if lead + tail < len(token):

@@ -119,7 +119,7 @@ def build_items(parsed: DataFrame, as_of: str) -> DataFrame:
     filled = counted.withColumns({c: F.when(F.col(c) == "", as_of).otherwise(F.col(c)) for c in ("created_at", "updated_at")})
     key = ["type", "language", "normalized"]
     last, whole = Window.partitionBy(*key).orderBy(F.desc("path")), Window.partitionBy(*key)
-    ranked = filled.withColumns({"__k": F.row_number().over(last), "created_at": F.min_by("created_at", "path").over(whole)})
+    ranked = filled.withColumns({"__k": F.row_number().over(last), "created_at": F.min_by("created_at", "path").over(whole), "first_path": F.min("path").over(whole)})
     return ranked.filter("__k = 1").drop("__k", "path").withColumn("item_key", item_key(F.col("type"), F.col("language"), F.col("normalized")))
 
 

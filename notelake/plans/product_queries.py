@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from notelake.functions.text import fix_path
+from notelake.operators import activity as A
+from notelake.operators import enrich as E
 from notelake.operators import graph as G
 from notelake.operators import index as I
 from notelake.operators import notes as N
@@ -14,10 +17,10 @@ from notelake.operators import queues as U
 from notelake.operators import study as Y
 from notelake.plans import oracle as O
 from notelake.plans.graph_queries import GRAPH, audit, relations_of
-from notelake.plans.index_queries import items_of, parsed, stored
+from notelake.plans.index_queries import ITEM_COLUMNS, items_of, parsed, stored
 from notelake.plans.oracle import PRELUDE
-from notelake.plans.search_queries import _act, touched
-from notelake.plans.views import CANDIDATES, NOTES, TABLE_NOTES, view
+from notelake.plans.search_queries import _act, _sentences, activity_view, touched
+from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, view
 from notelake.sources import files
 from notelake.sources.markdown import markdown_tables
 from notelake.sources.tables import shared_folder, written
@@ -113,11 +116,37 @@ def k1_touch_stream(spark, sf_dir):
     return spark.table(name)
 
 
+def k2_item_stream(spark, sf_dir):
+    """The notes as a stream of four files; the result is the item table after the last of them."""
+    folder = f"{shared_folder(spark).rstrip('/')}/item-stream-{uuid.uuid4().hex}"
+    view(spark, sf_dir, NOTES).repartition(4, "path").write.parquet(f"{folder}/in")
+    n = spark.read.parquet(f"{folder}/in").select(F.input_file_name()).distinct().count()
+    incremental.run_item_stream(spark, f"{folder}/in", f"{folder}/items", f"{folder}/state", lambda notes: I.build_items(N.parse_frontmatter(notes), AS_OF)).awaitTermination()
+    return spark.read.parquet(f"{folder}/items/{n - 1}").select(*ITEM_COLUMNS)
+
+
+def b20_safe_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", E.safe_name(F.col("text")).alias("name"))
+
+
+def b21_fix_path(spark, sf_dir):
+    odd = F.concat(F.lit('"C:\\\\'), F.regexp_replace("path", "/", r"\\\\\\\\"), F.lit('" '))
+    return view(spark, sf_dir, NOTES).select("path", fix_path(odd).alias("fixed"))
+
+
+def b23_review_status(spark, sf_dir):
+    rows = activity_view(spark, sf_dir)
+    as_of = F.to_timestamp(F.lit(AS_OF))
+    return rows.select("item_key", A.review_status(F.col("access_count"), F.col("last_accessed_at"), F.col("status"), F.col("stale_after_days"), as_of).alias("review_status"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h6_backfill_schema_version, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j2_deck_summary, k1_touch_stream,
+        k2_item_stream, b20_safe_name, b21_fix_path, b23_review_status,
     )
 }
 
@@ -187,3 +216,38 @@ ORACLE = {
     "j2_deck_summary": GRAPH + _deck + " SELECT type, language, count(*) AS n FROM cards GROUP BY GROUPING SETS ((type), (language), ())",
     "k1_touch_stream": PRELUDE + _act + " SELECT item_key, access_count, last_accessed_at FROM act",
 }
+
+_name = lambda x: f"""coalesce(nullif(rtrim(substr(regexp_replace({O.collapse(f"regexp_replace({O.strip(x)}, '[\\\\/:*?\"<>|]', ' ', 'g')")}, '^[ .]+|[ .]+$', '', 'g'), 1, 80)), ''), 'Untitled Sentence') || '.md'"""
+_pick = "coalesce(" + ", ".join(f"nullif((SELECT {O.strip('content')} FROM sec WHERE sec.path = t.path AND sec.heading = '{h}'), '')" for h in ("raw transcript", "full transcript", "timestamped transcript")) + ", body)"
+_stamp = "`?\\[[0-9]{2}:[0-9]{2}(:[0-9]{2})?\\s*-\\s*[0-9]{2}:[0-9]{2}(:[0-9]{2})?\\]`?"
+_plain = f"regexp_replace(regexp_replace(regexp_replace({_pick}, '{_stamp}', ' ', 'g'), '(?m)^#+\\s+[^\\n]*$', ' ', 'g'), '(?m)^\\s*-\\s+', '', 'g')"
+_shown = f"regexp_replace(regexp_replace({_plain}, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g')"
+#: Transcripts, and their sentences by the two rules.
+SPOKEN = GRAPH + f""", sec AS (SELECT path, heading, string_agg(line, chr(10) ORDER BY n) AS content FROM l2_lines GROUP BY path, heading),
+spoken AS (SELECT path, language, {O.collapse(O.strip(_shown))} AS text FROM typed t WHERE has_fm AND type = 'transcript'),
+said AS ({_sentences('spoken', O.norm_ext, True)}), heard AS ({_sentences('spoken', O.norm_db, False)}),
+extracted AS (
+    SELECT language, name, arg_min(sentence, path || lpad(CAST(ord AS VARCHAR), 9, '0')) AS sentence, count(DISTINCT path) AS seen_count, '{AS_OF[:10]}' AS last_seen FROM (SELECT s.*, p.language, {_name('sentence')} AS name FROM said s JOIN spoken p USING (path))
+    WHERE language IN ('english', 'german') GROUP BY language, name
+),
+old AS (SELECT DISTINCT language, {O.stem('path')} || '.md' AS name FROM typed WHERE has_fm AND type = 'sentence'),
+acted AS (SELECT e.*, CASE WHEN o.name IS NULL THEN 'created' ELSE 'updated' END AS action FROM extracted e LEFT JOIN old o USING (language, name)),
+vocab AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_term')}, ''), {O.stem('path')})")} AS term, coalesce(nullif(lower({O.strip('p_language')}), ''), 'unknown') AS lang FROM props WHERE has_fm AND lower({O.strip('p_type')}) = 'vocabulary' AND starts_with(path, 'Vocabulary/')),
+phrases AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_sentence')}, ''), {O.stem('path')})")} AS phrase, coalesce(nullif(lower({O.strip('p_language')}), ''), 'unknown') AS lang FROM props WHERE has_fm AND lower({O.strip('p_type')}) = 'sentence')
+"""
+ORACLE |= {
+    "k2_item_stream": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
+    "b8_transcript_text": SPOKEN.replace("WHERE has_fm AND type = 'transcript'", "WHERE has_fm") + "SELECT path, md5(text) AS digest FROM spoken",
+    "b20_safe_name": f"SELECT doc_id, {_name('text')} AS name FROM documents",
+    "b21_fix_path": f"WITH notes AS ({NOTES}) SELECT path, 'C:/' || path AS fixed FROM notes",
+    "b23_review_status": PRELUDE
+    + _act
+    + f""" SELECT item_key, CASE WHEN status IN ('ignored', 'archived') THEN 'ignored' WHEN access_count = 0 THEN 'unreviewed' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', last_accessed_at)) >= 86400 * stale_after_days THEN 'stale' ELSE 'active' END AS review_status FROM act_view""",
+    "g2_extract_sentences": SPOKEN + "SELECT * FROM acted",
+    "g3_extract_summary": SPOKEN + "SELECT language, action, count(*) AS n, sum(seen_count)::BIGINT AS n_contexts FROM acted GROUP BY GROUPING SETS ((language, action), (action))",
+    "g4_annotate": SPOKEN
+    + "SELECT path, count(*) AS n_sentences, count(i.item_key) AS n_found, count(*) - count(i.item_key) AS n_new FROM heard h JOIN spoken USING (path) LEFT JOIN items i ON i.type = 'sentence' AND i.language = spoken.language AND i.normalized = h.normalized GROUP BY path",
+    "g5_match_terms": SPOKEN
+    + """SELECT s.path AS sentence_path, v.path AS term_path FROM phrases s JOIN vocab v ON v.lang = s.lang AND length(v.term) >= 3 AND contains(s.phrase, v.term)
+    WHERE contains(v.term, ' ') OR regexp_matches(' ' || s.phrase || ' ', '[^A-Za-z0-9_ÄÖÜäöüß]' || regexp_escape(v.term) || '[^A-Za-z0-9_ÄÖÜäöüß]')""",
+}

@@ -19,10 +19,10 @@ def run_touch_stream(spark: SparkSession, source: str, name: str, checkpoint: st
 
 
 def merge_items(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """current and batch item rows by item_key: the row of the larger path wins, the created_at of the smaller stays."""
+    """current and batch item rows by item_key: the row of the last path wins, the created_at of the first path stays."""
     rows = current.unionByName(batch)
     whole = Window.partitionBy("item_key")
-    ranked = rows.withColumns({"__k": F.row_number().over(whole.orderBy(F.desc("obsidian_path"))), "created_at": F.min_by("created_at", "obsidian_path").over(whole)})
+    ranked = rows.withColumns({"__k": F.row_number().over(whole.orderBy(F.desc("obsidian_path"))), "created_at": F.min_by("created_at", "first_path").over(whole), "first_path": F.min("first_path").over(whole)})
     return ranked.filter("__k = 1").drop("__k")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import norm_low, section, strip
+from notelake.functions.text import norm_cell, norm_low, section, strip
+from notelake.operators.index import looked_up
 from notelake.operators.notes import prop
 
 #: Meanings that say nothing; fixed values.
@@ -70,3 +71,45 @@ def dedupe_cards(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """candidates(deck, front, ...) with the ids of existing(deck, front, note_id) cards of the same deck and front."""
     held = existing.groupBy("deck", "front").agg(F.array_sort(F.collect_list("note_id")).alias("note_ids"))
     return candidates.join(held, ["deck", "front"], "left").withColumn("is_duplicate", F.col("note_ids").isNotNull())
+
+
+def card_candidates(rows: DataFrame, front: Column, back: Column, note: Column, wants: Column, language: Column) -> DataFrame:
+    """(path, line_no, front, back, language) of table rows that want a card and have both sides."""
+    whole = F.concat_ws("\n\n", F.nullif(strip(back), F.lit("")), F.nullif(strip(note), F.lit("")))
+    cards = rows.filter(wants_card(wants)).select("path", "line_no", strip(front).alias("front"), whole.alias("back"), F.lower(strip(language)).alias("language"))
+    return cards.filter("front <> '' AND back <> ''")
+
+
+#: What a candidate's status means in the sentence table; other statuses change nothing.
+TABLE_STATUS = {"approved": "Added", "duplicate": "Added", "error": "Error"}
+
+
+def sync_card_status(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """rows(sentence, status, ...) with new_status from candidates(pos, sentence, status).
+
+    Sentences meet on their stripped, collapsed text; the last candidate counts; a row set to No by hand stays.
+    """
+    known = candidates.withColumn("__key", norm_cell(F.col("sentence")))
+    last = known.groupBy("__key").agg(F.max_by("status", "pos").alias("__status"))
+    joined = rows.withColumn("__key", norm_cell(F.col("sentence"))).join(last, "__key", "left")
+    mapped = looked_up(F.col("__status"), TABLE_STATUS)
+    keep = (F.lower(strip(F.col("status"))) == "no") | mapped.isNull()
+    return joined.withColumn("new_status", F.when(keep, F.col("status")).otherwise(mapped)).drop("__key", "__status")
+
+
+def upsert_vocabulary(rows: DataFrame, notes: DataFrame, as_of: str, count_again: bool = False) -> DataFrame:
+    """(path, term, seen_count, last_seen, action) for vocabulary rows(word, language, line_no) against notes(path, seen_count).
+
+    A note that exists is touched only with count_again, as every run would count it once more.
+    """
+    name = F.regexp_replace(strip(F.regexp_replace(strip(F.col("word")), r'[\\/:*?"<>|]', " ")), " +", " ")
+    folder = F.when(F.lower("language") == "german", "German").otherwise("English")
+    made = rows.filter(strip(F.col("word")) != "").withColumn("path", F.concat(F.lit("Vocabulary/"), folder, F.lit("/"), F.left(name, F.lit(120)), F.lit(".md")))
+    words = made.groupBy("path").agg(F.min_by("word", "line_no").alias("term"))
+    old = notes.select("path", F.col("seen_count").alias("__seen"))
+    joined = words.join(old, "path", "left")
+    is_new = F.col("__seen").isNull()
+    return joined.select(
+        "path", "term", F.when(is_new, 1).otherwise(F.col("__seen") + int(count_again)).alias("seen_count"), F.lit(as_of[:10]).alias("last_seen"),
+        F.when(is_new, "created").otherwise("updated" if count_again else "unchanged").alias("action"),
+    )

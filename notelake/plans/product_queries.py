@@ -90,6 +90,16 @@ def i1_approve_vocabulary(spark, sf_dir):
     return U.approve_vocabulary(view(spark, sf_dir, CANDIDATES), words).select("pos", "word_or_phrase", "target_language", "new_status")
 
 
+def i3_card_candidates(spark, sf_dir):
+    rows, cell = markdown_tables(view(spark, sf_dir, TABLE_NOTES)), F.col("cells")
+    return U.card_candidates(rows, cell["Word / Phrase"], cell["Meaning"], cell["Source"], cell["Example Sentence"], F.col("section")).drop("line_no")
+
+
+def i7_upsert_vocabulary(spark, sf_dir):
+    rows = markdown_tables(view(spark, sf_dir, TABLE_NOTES)).select(F.col("cells")["Word / Phrase"].alias("word"), F.col("section").alias("language"), "line_no")
+    return U.upsert_vocabulary(rows, items_of(stored(spark, sf_dir)).select(F.col("obsidian_path").alias("path"), "seen_count"), AS_OF).drop("term")
+
+
 def i5_mark_candidates(spark, sf_dir):
     return U.mark_candidates(stored(spark, sf_dir))
 
@@ -146,7 +156,7 @@ QUERIES = {
     for f in (
         a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h6_backfill_schema_version, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j2_deck_summary, k1_touch_stream,
-        k2_item_stream, b20_safe_name, b21_fix_path, b23_review_status,
+        k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, b20_safe_name, b21_fix_path, b23_review_status,
     )
 }
 
@@ -236,6 +246,8 @@ vocab AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_term')}, ''), {O
 phrases AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_sentence')}, ''), {O.stem('path')})")} AS phrase, coalesce(nullif(lower({O.strip('p_language')}), ''), 'unknown') AS lang FROM props WHERE has_fm AND lower({O.strip('p_type')}) = 'sentence')
 """
 ORACLE |= {
+    "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, lower(section) AS language FROM words",
+    "i7_upsert_vocabulary": f"WITH {_tables} SELECT 'Vocabulary/' || section || '/' || word || '.md' AS path, 1 AS seen_count, '{AS_OF[:10]}' AS last_seen, 'created' AS action FROM words GROUP BY 1",
     "k2_item_stream": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
     "b8_transcript_text": SPOKEN.replace("WHERE has_fm AND type = 'transcript'", "WHERE has_fm") + "SELECT path, md5(text) AS digest FROM spoken",
     "b20_safe_name": f"SELECT doc_id, {_name('text')} AS name FROM documents",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from notelake.operators import index
-from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, TOUCHES
+from notelake.plans.views import AS_OF, NOTES
 
 #: Python's white space for RE2.
 S = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

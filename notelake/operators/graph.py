@@ -188,3 +188,16 @@ def audit_summary(issues: DataFrame, relations: DataFrame) -> DataFrame:
         count(issues, "severity", "severity").unionByName(count(issues, "code", "code")).unionByName(count(relations, "relation_type", "relation_type"))
         .unionByName(valid.select(F.lit("edges").alias("dim"), F.lit("valid").alias("value"), "n"))
     )
+
+
+def backfill_links(parsed: DataFrame) -> DataFrame:
+    """(path, relation_type, target): links of older sections that the note's typed blocks do not state yet, each once.
+
+    Run again after they were added, it finds none.
+    """
+    bare = F.regexp_replace(F.lower("target"), r"\.md\z", "").alias("__bare")
+    old = legacy_candidates(parsed).select("path", "relation_type", "target", "origin", "ord", "pos", bare)
+    stated = generic_candidates(parsed).select("path", "relation_type", bare)
+    same = Window.partitionBy("path", "relation_type", "__bare").orderBy("ord", "pos")
+    new = old.join(stated, ["path", "relation_type", "__bare"], "left_anti").withColumn("__k", F.row_number().over(same))
+    return new.filter("__k = 1").select("path", "relation_type", "target")

@@ -66,6 +66,10 @@ def h6_backfill_schema_version(spark, sf_dir):
     return H.backfill_schema_version(stored(spark, sf_dir), "note_v1")
 
 
+def h8_backfill_links(spark, sf_dir):
+    return G.backfill_links(stored(spark, sf_dir))
+
+
 def h9_sync_tags(spark, sf_dir):
     notes = stored(spark, sf_dir)
     return H.sync_tags(notes, I.metadata_tags(notes))
@@ -154,7 +158,7 @@ def b23_review_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h6_backfill_schema_version, h9_sync_tags,
+        a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j2_deck_summary, k1_touch_stream,
         k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, b20_safe_name, b21_fix_path, b23_review_status,
     )
@@ -206,6 +210,9 @@ ORACLE = {
     UNION ALL SELECT 'merged_keys', new_key, count(*) FROM key_audit WHERE old_key <> new_key GROUP BY 2 HAVING count(*) > 1
     UNION ALL SELECT 'collision', new_key, count(*) FROM key_audit WHERE old_key <> new_key AND new_key IN (SELECT old_key FROM key_audit WHERE old_key = new_key) GROUP BY 2""",
     "h6_backfill_schema_version": PRELUDE + f"SELECT path, {_version} AS text FROM props",
+    "h8_backfill_links": GRAPH
+    + """, bare AS (SELECT *, regexp_replace(lower(target), '\\.md$', '') AS b FROM cands) SELECT path, relation_type, target FROM bare o WHERE origin = 1
+    AND NOT EXISTS (SELECT 1 FROM bare g WHERE g.origin = 0 AND g.path = o.path AND g.relation_type = o.relation_type AND g.b = o.b) QUALIFY row_number() OVER (PARTITION BY path, relation_type, b ORDER BY ord, pos) = 1""",
     "h11_run_summary": PRELUDE + f", changes AS (SELECT CASE WHEN {_version} = note_text THEN 'unchanged' ELSE 'would_update' END AS status FROM props) SELECT status, count(*) AS n FROM changes GROUP BY 1 UNION ALL SELECT 'scanned', count(*) FROM changes",
     "h12_quality_gate": GRAPH
     + _issues

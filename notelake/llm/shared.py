@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset and Spark runs on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/notelake"
+from notelake.sources.tables import shared_folder, written
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "shared_folder", "table", "written"]
 
 #: A word, for the operators that count or shingle words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,24 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster sees")
-    return LOCAL_CHECKPOINTS
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -71,18 +71,17 @@ def simhash(text: Column) -> Column:
 
 def leaf_rows(points: DataFrame) -> DataFrame:
     """(leaf, f, asks): each point in its own leaf of every tree, and as a question in those it overlaps."""
-    made = []
+    trees = []
     for k in range(BLOCKS):
         block = F.shiftrightunsigned("f", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
         rings = [F.bit_count(block.bitwiseXOR(F.lit(v))).cast("long") for v in VANTAGE_POINTS]
-        own = F.lit(k << 5 * LEVELS)
-        for i, r in enumerate(rings):
-            own = own + F.shiftleft(r + 1, 5 * i)
-        steps = [sum((1 if s >> i & 1 else -1) << 5 * i for i in range(LEVELS)) for s in range(1 << LEVELS)]
-        asked = F.array(*[F.struct((own + F.lit(s)).alias("leaf"), F.lit(True).alias("asks")) for s in steps])
-        asked = F.when(rings[0] % 2 == 0, asked).otherwise(F.array().cast("array<struct<leaf:bigint,asks:boolean>>"))
-        made.append(F.concat(F.array(F.struct(own.alias("leaf"), F.lit(False).alias("asks"))), asked))
-    return points.select("f", F.explode(F.concat(*made)).alias("x")).select("x.leaf", "f", "x.asks")
+        own = sum((F.shiftleft(r + 1, 5 * i) for i, r in enumerate(rings)), F.lit(k << 5 * LEVELS).cast("long"))
+        trees.append(F.struct(own.alias("own"), (rings[0] % 2 == 0).alias("even")))
+    placed = points.select("f", F.explode(F.array(*trees)).alias("t")).select("f", "t.own", "t.even")
+    steps = [sum((1 if s >> i & 1 else -1) << 5 * i for i in range(LEVELS)) for s in range(1 << LEVELS)]
+    asked = F.when(F.col("even"), F.lit([0, *steps])).otherwise(F.lit([0]))
+    rows = placed.select("f", "own", F.explode(asked).alias("step"))
+    return rows.select((F.col("own") + F.col("step")).alias("leaf"), "f", (F.col("step") != 0).alias("asks"))
 
 
 def dealt(rows: DataFrame) -> DataFrame:

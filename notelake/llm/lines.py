@@ -39,10 +39,45 @@ def hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.hash(line).alias("g")]
 
 
+#: Letters whose numbers, modulo 8, make up the low bits of a line's sketch; its length stands above them. One edit
+#: changes two of the numbers by one at most.
+SKETCHED = "enrsto"
+LETTER_BITS = 3 * len(SKETCHED)
+
+
+def sketch(line: Column) -> Column:
+    count = lambda x: (F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("long")
+    return sum((F.shiftleft(count(x).bitwiseAND(F.lit(7)), 3 * i) for i, x in enumerate(SKETCHED)), F.shiftleft(F.length(line).cast("long"), LETTER_BITS))
+
+
+def may_be_near(a: Column, b: Column) -> Column:
+    """False only for sketches of texts that are more than EDITS edits apart."""
+    part = lambda c, i: F.shiftright(c, 3 * i).bitwiseAND(F.lit(7))
+    apart = lambda i: F.abs(part(a, i) - part(b, i))
+    return sum((F.least(apart(i), 8 - apart(i)) for i in range(len(SKETCHED))), F.lit(0)) <= 2 * EDITS
+
+
+#: Slots of the bitmap that tells which texts to read again: one megabyte, in tables of 256 rows at most.
+BITMAP_SLOTS = 1 << 23
+
+
+def held_in_bitmap(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose h may be among wanted(h): it drops most others without a shuffle, and none that is wanted.
+
+    The bitmap's size does not depend on wanted, so it is safe to broadcast.
+    """
+    slot = lambda: F.pmod("h", F.lit(BITMAP_SLOTS))
+    bits = wanted.select(F.bitmap_bucket_number(slot()).alias("__bucket"), F.bitmap_bit_position(slot()).alias("at")).groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    at = F.bitmap_bit_position(slot())
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot()) == F.col("__bucket"))
+    return met.filter(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("__bucket", "__bits")
+
+
 def line_classes(found: DataFrame) -> DataFrame:
-    """(h, g, line, first): one row per different line, with the smallest document that holds it."""
+    """(h, g, line, first, n, sketch): one row per different line, with the smallest document that holds it."""
     first = found.groupBy("line").agg(F.min("doc").alias("first"))
-    return first.select(*hashes(F.col("line")), "line", "first")
+    return first.select(*hashes(F.col("line")), "line", "first", F.length("line").alias("n"), sketch(F.col("line")).alias("sketch"))
 
 
 def segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -54,8 +89,11 @@ def segment(length: Column, i: int) -> tuple[Column, Column]:
 
 
 def signatures(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored (sig, h, n) and probing (sig, h, n) rows of the lines with MIN_CHARS characters or more."""
-    rows = classes.withColumn("n", F.length("line")).filter(F.col("n") >= MIN_CHARS)
+    """Stored and probing rows (sig, h, sketch) of the lines with MIN_CHARS characters or more.
+
+    Probes in place for the own length are the stored rows themselves, which the join adds.
+    """
+    rows = classes.filter(F.col("n") >= MIN_CHARS)
     line, n = F.col("line"), F.col("n")
 
     def sig(length: Column, i: int, start: Column, size: Column) -> Column:
@@ -69,10 +107,9 @@ def signatures(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             start, size = segment(n - less, i)
             #: With i segments before it unmatched, a segment moves by i at most, and what follows takes at most EDITS - i edits.
             for move in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
-                probing.append(F.when((start + move >= 1) & (start + move + size - 1 <= n), sig(n - less, i, start + move, size)))
-    out = []
-    for sigs in (stored, probing):
-        out.append(rows.select("h", "n", F.explode(F.array_distinct(F.array_compact(F.array(*sigs)))).alias("sig")))
+                if less or move:
+                    probing.append(F.when((start + move >= 1) & (start + move + size - 1 <= n), sig(n - less, i, start + move, size)))
+    out = [rows.select("h", "sketch", F.explode(F.array(*sigs)).alias("sig")).filter("sig IS NOT NULL") for sigs in (stored, probing)]
     return out[0], out[1]
 
 
@@ -96,23 +133,21 @@ def banded_distance(a: Column, b: Column) -> Column:
     """
     width = 2 * EDITS + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
-    n, m = F.length(a), F.length(b)
     bits = lambda c: c.bitwiseAND(F.lit(full))
     flip = lambda c: bits(F.bitwise_not(c))
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is computed once
+    n, m = F.length(a), F.length(b)
 
-    def step(s: Column, j: Column) -> Column:
+    def matches(chars_a: Column, char: Column, j: Column) -> Column:
         """Bit i of the band stands for row j - EDITS + i of a (from 0) in column j of b."""
-        char = F.get(chars_b, j)
-        match = sum((F.when((j - EDITS + i >= 0) & (F.get(chars_a, j - EDITS + i) == char), 1 << i).otherwise(0) for i in range(width)), F.lit(0))
-        return F.struct(match.alias("x"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), j.alias("j"))
+        return sum((F.when((j - EDITS + i >= 0) & (F.get(chars_a, j - EDITS + i) == char), 1 << i).otherwise(0) for i in range(width)), F.lit(0))
 
     def turn(s: Column) -> Column:
         x, vp, vn = s["x"], s["vp"], s["vn"]
         zero = bits((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn))
         return F.struct(zero.alias("zero"), vp.alias("vp"), vn.alias("vn"), s["d"].alias("d"), s["j"].alias("j"))
 
-    def close(s: Column) -> Column:
+    def close(s: Column, n: Column) -> Column:
         zero, vp, vn, j = s["zero"], s["vp"], s["vn"], s["j"]
         hp, hn = vn.bitwiseOR(flip(zero.bitwiseOR(vp))), zero.bitwiseAND(vp)
         down = F.shiftright(zero, 1)
@@ -124,10 +159,13 @@ def banded_distance(a: Column, b: Column) -> Column:
         )
         return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + grown).alias("d"))
 
-    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is computed once
-    one = lambda s, j: bound(bound(step(s, j), turn), close)
     start = F.struct(F.lit(full - (1 << EDITS) + 1 & full).alias("vp"), F.lit(0).alias("vn"), F.least(n, F.lit(EDITS)).alias("d"))
-    end = F.aggregate(F.sequence(F.lit(0), m - 1), start, one, lambda s: s["d"])
+
+    def run(chars: Column) -> Column:
+        step = lambda s, j: F.struct(matches(chars["a"], F.get(chars["b"], j), j).alias("x"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), j.alias("j"))
+        return F.aggregate(F.sequence(F.lit(0), chars["m"] - 1), start, lambda s, j: bound(bound(step(s, j), turn), lambda t: close(t, chars["n"])), lambda s: s["d"])
+
+    end = bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), n.alias("n"), m.alias("m")), run)
     found = F.when(m == 0, n).when(n == 0, m).otherwise(end)
     return F.when(F.abs(m - n) > EDITS, EDITS + 1).otherwise(F.least(found, F.lit(EDITS + 1)))
 
@@ -148,11 +186,15 @@ def edit_distance(a: Column, b: Column) -> Column:
 def line_links(classes: DataFrame) -> DataFrame:
     """(h, g, h2, g2, later): pairs of different lines within EDITS edits, each way; later: the second line comes first."""
     stored, probing = signatures(classes)
-    s, p = stored.alias("s"), probing.alias("p")
-    met = s.join(p, (F.col("s.sig") == F.col("p.sig")) & ((F.col("s.n") < F.col("p.n")) | (F.col("s.h") < F.col("p.h"))))
-    pairs = written(met.select(F.col("s.h").alias("ha"), F.col("p.h").alias("hb")).distinct(), "line-pairs")
+    asked = probing.unionByName(stored)
+    s, p = stored.alias("s"), asked.alias("p")
+    size = lambda x: F.shiftright(F.col(f"{x}.sketch"), LETTER_BITS)
+    once = (size("s") < size("p")) | (size("s") == size("p")) & (F.col("s.h") < F.col("p.h"))
+    met = s.join(p, (F.col("s.sig") == F.col("p.sig")) & once & may_be_near(F.col("s.sketch"), F.col("p.sketch")))
+    pairs = written(met.select(F.least("s.h", "p.h").alias("ha"), F.greatest("s.h", "p.h").alias("hb")).distinct(), "line-pairs")
     wanted = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
-    texts = written(classes.join(wanted, "h", "left_semi"), "line-texts")
+    #: An inner join, as wanted is distinct: a semi join would be pushed below the bitmap.
+    texts = written(held_in_bitmap(classes.select("h", "g", "line", "first"), wanted).join(wanted, "h"), "line-texts")
     both = pairs.join(texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns]), F.col("ha") == F.col("h_a")).join(
         texts.select(*[F.col(c).alias(f"{c}_b") for c in texts.columns]), F.col("hb") == F.col("h_b")
     )
@@ -167,7 +209,7 @@ def judged_classes(found: DataFrame) -> DataFrame:
     """(h, g, class_id, first, n_links, later): every different line, its links, and whether a linked line comes first."""
     classes = written(line_classes(found), "line-classes")
     links = line_links(classes).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n_links"), F.max("later").alias("later"))
-    named = classes.select("h", "g", F.md5(F.col("line").cast("binary")).alias("class_id"), "first", F.length("line").alias("n"))
+    named = classes.select("h", "g", F.md5(F.col("line").cast("binary")).alias("class_id"), "first", "n")
     return named.join(links, ["h", "g"], "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "later": F.coalesce("later", F.lit(False))})
 
 
@@ -189,7 +231,6 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     cut = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
     rows = docs.join(cut, docs[key].eqNullSafe(cut["__doc"]), "left")
     name = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))
-    #: A map finds a line's name by hashing where the set is large.
     left = F.array_join(F.filter(text_lines(F.col(text)), lambda x: ~F.array_contains("__cut", name(x))), "\n")
     shortened = F.when(F.col("__cut").isNotNull(), left)
     enough = F.length(shortened) >= F.length(text) * (1 - most_removed)

@@ -41,7 +41,7 @@ def hashes(line: Column) -> list[Column]:
 
 #: Letters whose numbers, modulo 8, make up the low bits of a line's sketch; its length stands above them. One edit
 #: changes two of the numbers by one at most.
-SKETCHED = "enrsto"
+SKETCHED = "etanirso"
 LETTER_BITS = 3 * len(SKETCHED)
 
 

@@ -11,24 +11,24 @@ SELECT path,
        CASE WHEN doc_id % 11 = 10 THEN text
             ELSE '---' || chr(10) || 'type: ' || CASE kind WHEN 3 THEN 'listening_transcript' WHEN 2 THEN 'grammar' WHEN 1 THEN 'vocabulary' ELSE 'sentence' END
               || chr(10) || 'language: ' || lang || chr(10)
-              || CASE kind WHEN 0 THEN 'sentence: "' || head || '"' WHEN 1 THEN 'term: ' || word WHEN 2 THEN 'title: Rule ' || word ELSE 'source_file: rec_' || id || '.mp3' END
+              || CASE kind WHEN 0 THEN 'sentence: "' || flat || '"' WHEN 1 THEN 'term: ' || word WHEN 2 THEN 'title: Rule ' || word ELSE 'source_file: rec_' || id || '.mp3' END
               || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'status: Learning' || chr(10) END
               || 'topic:' || chr(10) || '  - ' || source || chr(10) || '  - daily life' || chr(10)
               || 'seen_count: ' || CAST(doc_id % 7 AS STRING) || chr(10) || '---' || chr(10) || chr(10) || '# doc ' || id || chr(10) || chr(10)
               || CASE kind
-                   WHEN 0 THEN '## Meaning' || chr(10) || chr(10) || CASE WHEN doc_id % 8 = 0 THEN 'TODO' ELSE head END || chr(10) || chr(10)
+                   WHEN 0 THEN '## Meaning' || chr(10) || chr(10) || CASE WHEN doc_id % 8 = 0 THEN 'TODO' ELSE text END || chr(10) || chr(10)
                      || '## Relations' || chr(10) || chr(10) || '### Contains Vocabulary' || chr(10) || chr(10) || 'relation_type: `contains_vocabulary`' || chr(10) || chr(10)
                      || '- [[Vocabulary/' || folder || '/doc_' || nxt || '|v]]' || chr(10) || chr(10)
                      || '### Similar To' || chr(10) || chr(10) || '- [[doc_' || CAST(doc_id + 4 AS STRING) || ']]' || chr(10) || '- [[doc_' || CAST(doc_id - 4 AS STRING) || '#x|y]]' || chr(10)
-                   WHEN 1 THEN '## Meaning' || chr(10) || chr(10) || head || chr(10) || chr(10) || '## Related Grammar' || chr(10) || chr(10) || '- [[Grammar/' || folder || '/doc_' || nxt || '|g]]' || chr(10)
-                   WHEN 2 THEN '## Explanation' || chr(10) || chr(10) || head || chr(10)
+                   WHEN 1 THEN '## Meaning' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Related Grammar' || chr(10) || chr(10) || '- [[Grammar/' || folder || '/doc_' || nxt || '|g]]' || chr(10)
+                   WHEN 2 THEN '## Explanation' || chr(10) || chr(10) || text || chr(10)
                    ELSE '## Raw Transcript' || chr(10) || chr(10) || '- `[00:00:00 - 00:00:05]` ' || text || chr(10) || chr(10) || '## Notes' || chr(10)
                  END
        END AS text
 FROM (
   SELECT doc_id, text, lang, source, doc_id % 4 AS kind, CAST(doc_id AS STRING) AS id,
          CASE WHEN doc_id % 20 IN (0, 1) THEN 'missing' ELSE CAST(doc_id + 1 AS STRING) END AS nxt,
-         substr(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '"', ' '), 1, 80) AS head,
+         replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '"', ' ') AS flat,
          regexp_extract(text, '[a-z]{5,}', 0) AS word,
          CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE 'Other' END AS folder,
          CASE doc_id % 4
@@ -47,7 +47,7 @@ SELECT 'doc_' || CAST(user_id AS STRING) AS title, ts FROM events WHERE event_ty
 CANDIDATES = """
 SELECT item_id AS pos, CASE WHEN item_id % 2 = 0 THEN 'english' ELSE 'german' END AS language,
        CASE WHEN item_id % 9 = 8 THEN ' ' ELSE upper(substr(regexp_extract(text, '[a-z]{4,}', 0), 1, 4)) END AS word_or_phrase,
-       substr(text, 1, 40) AS example_sentence, CASE WHEN item_id % 10 = 9 THEN 'approved' ELSE 'pending_review' END AS status
+       text AS example_sentence, CASE WHEN item_id % 10 = 9 THEN 'approved' ELSE 'pending_review' END AS status
 FROM benchmark
 """
 

@@ -41,3 +41,14 @@ def test_entry_imports_without_the_training_data_part():
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries())
+
+
+def test_notes_and_candidates_hold_whole_texts(spark, duck):
+    from notelake.plans.views import CANDIDATES, NOTES, view
+
+    plain_text = lambda x: x.replace("\n", " ").replace("\r", " ").replace('"', " ")
+    held = {r.path.rsplit("doc_", 1)[1]: plain_text(r.text) for r in view(spark, SF, NOTES).collect()}
+    docs = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    assert docs and all(plain_text(text) in held[f"{i}.md"] for i, text in docs)
+    examples = {r.pos: r.example_sentence for r in view(spark, SF, CANDIDATES).collect()}
+    assert examples == dict(duck.sql("SELECT item_id, text FROM benchmark").fetchall())

@@ -2,7 +2,8 @@
 
 A text that compresses far better than prose repeats itself; one that hardly compresses is noise. The
 ratio (compressed bytes / bytes) of prose falls with length, so each length class has its own band. The
-same test runs over fixed chunks, which finds a bad stretch inside a long document.
+same test runs over fixed chunks, which finds a bad stretch inside a long document. The default bands are wide and
+hold for any text; op4 and the pipeline use bands fitted on labelled good text.
 
 Null texts count as empty (no words, so they fail the base rule). Any other column, whatever its name, is
 carried along untouched; rows are judged one by one, so repeated rows get equal verdicts.
@@ -11,7 +12,7 @@ carried along untouched; rows are judged one by one, so repeated rows get equal
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,42 @@ CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 4096, (0.20, 0.80), 0.3
 SHORTEST_CHUNK = 1024
 LEVEL = 3
 
+#: Bytes up to which each class of the fitted bands reaches, and the margin outside the observed tails: a part and a share of their distance.
+FITTED_EDGES = (128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 32768, float("inf"))
+MARGIN, MARGIN_SHARE = 0.003, 0.05
+
+
+def fitted_bands(sizes_and_ratios: Iterable[tuple[int, float]], edges=FITTED_EDGES) -> tuple[tuple[float, float, float], ...]:
+    """Bands close outside the lowest and highest ratio of good texts (and of their chunks) in each length class.
+
+    A class without good text keeps the wide limits of DOCUMENT_BANDS.
+    """
+    held: dict[float, list[float]] = {e: [] for e in edges}
+    for n, ratio in sizes_and_ratios:
+        held[next(e for e in edges if n <= e)].append(ratio)
+    margin = lambda r: MARGIN + MARGIN_SHARE * (max(r) - min(r))
+    wide = lambda e: next(b[1:] for b in DOCUMENT_BANDS if e <= b[0])
+    return tuple((e, round(min(r) - margin(r), 3), round(max(r) + margin(r), 3)) if r else (e, *wide(e)) for e, r in held.items())
+
+
+#: fitted_bands of the documents of sf0.1 with quality 1 in labels, an even id and a passed base rule, and of their chunks.
+LABELLED_BANDS = (
+    (128, 0.786, 1.232),
+    (256, 0.629, 0.916),
+    (512, 0.574, 0.739),
+    (1024, 0.495, 0.693),
+    (1536, 0.482, 0.587),
+    (2048, 0.471, 0.549),
+    (3072, 0.456, 0.527),
+    (4096, 0.439, 0.493),
+    (6144, 0.432, 0.476),
+    (8192, 0.423, 0.463),
+    (12288, 0.42, 0.451),
+    (16384, 0.412, 0.446),
+    (32768, 0.399, 0.432),
+    (float("inf"), 0.15, 0.7),
+)
+
 SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, ratio double, n_chunks bigint, n_bad_chunks bigint, kept boolean"
@@ -69,7 +106,7 @@ def in_band(n_bytes: int, ratio: float, bands=DOCUMENT_BANDS) -> bool:
     return low <= ratio <= high
 
 
-def quality(text: Column, bands=DOCUMENT_BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE) -> Column:
+def quality(text: Column, bands=DOCUMENT_BANDS, chunk_bytes: int = CHUNK_BYTES, chunk_share: float = CHUNK_SHARE, chunk_bands=((float("inf"), *CHUNK_BAND),)) -> Column:
     """A struct of the base counts, the whole text's ratio, its chunks, and the verdict."""
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -84,8 +121,8 @@ def quality(text: Column, bands=DOCUMENT_BANDS, chunk_bytes: int = CHUNK_BYTES,
                 raw = (text or "").encode()
                 ratio = len(squeeze(raw)) / len(raw) if raw else 0.0
                 chunks = [raw[i : i + chunk_bytes] for i in range(0, len(raw), chunk_bytes)]
-                ratios = [len(squeeze(c)) / len(c) for c in chunks if len(c) >= SHORTEST_CHUNK]
-                bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in ratios)
+                ratios = [(len(c), len(squeeze(c)) / len(c)) for c in chunks if len(c) >= SHORTEST_CHUNK]
+                bad = sum(not in_band(n_bytes, r, chunk_bands) for n_bytes, r in ratios)
                 kept = not failed and in_band(len(raw), ratio, bands) and bad <= chunk_share * len(ratios)
                 rows.append((n, chars, symbols, dups, repeats, failed, ratio, len(ratios), bad, kept))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -98,6 +135,10 @@ def with_quality(docs: DataFrame, out: str = "quality", **limits) -> DataFrame:
     return docs.withColumn(out, quality(F.col("text"), **limits))
 
 
+#: What op4 and the pipeline judge by.
+FITTED = {"bands": LABELLED_BANDS, "chunk_bands": LABELLED_BANDS}
+
+
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows whose text passes, with docs' own columns."""
     return docs.filter(quality(F.col("text"), **limits)["kept"])
@@ -105,4 +146,4 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_quality(docs).select("doc_id", "quality.*")
+    return with_quality(docs, **FITTED).select("doc_id", "quality.*")

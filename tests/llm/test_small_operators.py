@@ -173,3 +173,12 @@ def test_marginals_equal_enumeration():
     weight = {y: np.exp(sum(unary[i, y[i]] for i in range(3)) + sum(s for a, b, s in edges if y[a] == y[b])) for y in itertools.product((0, 1), repeat=3)}
     exact = np.array([[sum(w for y, w in weight.items() if y[i] == k) for k in (0, 1)] for i in range(3)]) / sum(weight.values())
     assert np.allclose(pii.marginals(unary, edges), exact, atol=1e-3)
+
+
+def test_fitted_bands_reject_labelled_bad_and_keep_good(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rows = quality.op4_quality_rules(spark, sf).join(labels, "doc_id").filter("not base_failed").collect()
+    n = lambda label, kept: sum(r.label == label and r.kept == kept for r in rows)
+    assert n(0, False) > n(0, True) and n(1, False) <= 0.02 * n(1, True)
+    assert quality.fitted_bands([(100, 0.8), (90, 1.0), (300, 0.6)], (128, 512, 1024)) == ((128, 0.787, 1.013), (512, 0.597, 0.603), (1024, 0.25, 0.82))

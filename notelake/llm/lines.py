@@ -21,8 +21,6 @@ from notelake.llm.shared import table, written
 EDITS = 2
 #: Two edits in a shorter line change a large part of it.
 MIN_CHARS = 20
-#: A document that would lose a larger share of its characters is left whole: it is a copy, and for near-dedup.
-MOST_REMOVED = 0.5
 
 
 def text_lines(text: Column) -> Column:
@@ -222,19 +220,21 @@ def judged_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return joined.select("doc", "h", "g", "class_id", "n", "n_links", (F.col("doc").eqNullSafe(F.col("first")) & ~F.col("later")).alias("kept"))
 
 
-def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, most_removed: float = MOST_REMOVED) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated lines of min_chars or more cut from the texts of all but the first document.
 
-    Documents that would lose more than most_removed of their characters stay as they are.
+    A document with the whole text of an earlier one loses the same lines as that one, so it stays its copy, for near-dedup.
     """
+    digest = lambda: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     gone = judged_lines(docs, key, text).filter(~F.col("kept") & (F.col("n") >= min_chars))
-    cut = gone.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
-    rows = docs.join(cut, docs[key].eqNullSafe(cut["__doc"]), "left")
+    cut = gone.groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
+    originals = docs.select(F.col(key).alias("__key"), digest().alias("__digest")).groupBy("__digest").agg(F.min("__key").alias("__first"))
+    by_text = originals.join(cut, F.col("__first").eqNullSafe(F.col("doc"))).select("__digest", "__cut")
+    rows = docs.join(by_text, digest() == F.col("__digest"), "left")
     name = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))
     left = F.array_join(F.filter(text_lines(F.col(text)), lambda x: ~F.array_contains("__cut", name(x))), "\n")
-    shortened = F.when(F.col("__cut").isNotNull(), left)
-    enough = F.length(shortened) >= F.length(text) * (1 - most_removed)
-    return rows.withColumn("__left", shortened).withColumn(text, F.when(enough, F.col("__left")).otherwise(F.col(text))).select(*[f"`{c}`" for c in docs.columns])
+    shortened = F.when(F.col("__cut").isNotNull() & F.col(text).isNotNull(), left).otherwise(F.col(text))
+    return rows.withColumn(text, shortened).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,15 @@ def test_repeated_lines_go_but_copies_stay(docs):
     assert lines.without_repeated_lines(docs(*rows).limit(0)).count() == 0
 
 
+def test_mostly_repeated_documents_lose_their_repeated_lines(docs):
+    rng = random.Random(8)
+    shared, own = [words(rng, 150), words(rng, 60)], [words(rng, 40) for _ in range(4)]
+    mixed = f"{shared[0]}\n{own[2]}\n{shared[1]}"
+    rows = [(0, f"{own[0]}\n{shared[0]}"), (1, f"{own[1]}\n{shared[1]}"), (2, mixed), (3, mixed), (4, "\n".join([shared[1], "short", shared[0]])), (None, mixed), (2, None)]
+    got = sorted(((r.doc_id, r.text) for r in lines.without_repeated_lines(docs(*rows)).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], (2, own[2]), (3, own[2]), (4, "short"), (None, own[2]), (2, None)], key=str)
+
+
 # HTML
 
 

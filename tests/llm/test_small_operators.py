@@ -182,3 +182,21 @@ def test_fitted_bands_reject_labelled_bad_and_keep_good(spark):
     n = lambda label, kept: sum(r.label == label and r.kept == kept for r in rows)
     assert n(0, False) > n(0, True) and n(1, False) <= 0.02 * n(1, True)
     assert quality.fitted_bands([(100, 0.8), (90, 1.0), (300, 0.6)], (128, 512, 1024)) == ((128, 0.787, 1.013), (512, 0.597, 0.603), (1024, 0.25, 0.82))
+
+
+def test_marginals_of_long_chains_are_exact():
+    import numpy as np
+
+    n, k = 60, len(pii.LABELS)
+    unary = np.zeros((n, k))
+    unary[0, 4] = 10
+    agree = np.ones((k, k)) + np.expm1(pii.SKIP_AGREE) * np.eye(k)
+    left, right = [np.ones(k)], [np.ones(k)]
+    for i in range(n - 1):
+        a, b = agree @ (left[-1] * np.exp(unary[i])), agree @ (right[-1] * np.exp(unary[n - 1 - i]))
+        left.append(a / a.sum())
+        right.append(b / b.sum())
+    exact = np.array(left) * np.array(right[::-1]) * np.exp(unary)
+    got = pii.marginals(unary, [(i, i + 1, pii.SKIP_AGREE) for i in range(n - 1)])
+    assert np.allclose(got, exact / exact.sum(1, keepdims=True), atol=1e-6)
+    assert (got[:, 4] >= pii.ACCEPT).sum() > 50

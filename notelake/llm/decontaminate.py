@@ -4,7 +4,8 @@ A seed mask reads some of the tokens in a short window and ignores the rest, so
 substitutions at the ignored places. The three masks below are a lossless family: however three tokens of a
 window of 15 are changed, one of them still hits. Test and training hashes are joined, and around each hit the aligned
 tokens are compared: a document is contaminated by an item if a window of 15 tokens (the whole item, if it
-is shorter) agrees in 80 % of its places.
+is shorter) agrees in 80 % of its places. Whole items of 11 to 14 tokens may have two changes; for the places of
+two changes that the three masks miss there, further masks are read from the item's start.
 
 A bitmap of fixed size, filled from the test hashes, rides along to the documents and lets only few
 training hashes into the join; the join itself is exact, so the bitmap's collisions cost time, not results. The
@@ -17,8 +18,11 @@ one document. Other columns are carried along and may have any name.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +62,31 @@ def tokens(text: str | None, hashes: TokenHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def mask_places(short_lengths: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
-    """Token offsets that each mask reads; below the span also whole items of the given lengths."""
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in short_lengths]
+def missed(n: int) -> list[tuple[int, ...]]:
+    """The changed places of an item of n tokens, as many as AGREE allows, at which none of MASKS hits."""
+    seeds_of = [{o + i for i, c in enumerate(m) if c == "1"} for m in MASKS for o in range(n - len(m) + 1)]
+    return [gone for gone in combinations(range(n), n - math.ceil(n * AGREE)) if all(set(gone) & seed for seed in seeds_of)]
+
+
+@lru_cache(16)
+def item_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Places, from the start of a whole item of n tokens, that find what MASKS miss; below the span the whole item only."""
+    if n < SPAN:
+        return (tuple(range(n)),)
+    skipped: list[set[int]] = []
+    for gone in missed(n):
+        #: As many places are left as MASKS read.
+        fits = [x for x in skipped if len(x | set(gone)) <= n - MASKS[0].count("1")]
+        if fits:
+            min(fits, key=lambda x: len(x | set(gone))).update(gone)
+        else:
+            skipped.append(set(gone))
+    return tuple(tuple(i for i in range(n) if i not in x) for x in skipped)
+
+
+def mask_places(short_lengths: tuple[int, ...] = ()) -> list[tuple[tuple[int, ...], int | None]]:
+    """Token offsets that each mask reads, with None; then those of whole items of the given lengths, with the length."""
+    return [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in MASKS] + [(places, n) for n in short_lengths for places in item_masks(n)]
 
 
 def seed_hashes(t: np.ndarray, places: tuple[int, ...], number: int) -> np.ndarray:
@@ -94,10 +120,12 @@ def seeds(rows: DataFrame, key: str, text: str, filler: int, short_lengths: tupl
             keys, h_out, p_out, a_out, n_rows = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 t = tokens(value.as_py(), hashes)
-                for number, places_of in enumerate(places):
-                    if whole_items and number >= len(MASKS) and len(t) != len(places_of):
+                for number, (places_of, length) in enumerate(places):
+                    if whole_items and length is not None and len(t) != length:
                         continue
                     h = seed_hashes(t, places_of, number)
+                    if whole_items and length is not None:
+                        h = h[:1]
                     pos = np.arange(len(h))
                     if bits is not None and len(h):
                         slot = h & np.uint64(BITMAP_BITS - 1)
@@ -130,8 +158,8 @@ def bitmap_of(test: DataFrame) -> bytes:
 def contaminated(docs: DataFrame, bench: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that share a passage: doc, item, matches in the best window, its size, first place."""
     spark = docs.sparkSession
-    lengths = bench.select(F.size(F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[\\p{{L}}\\p{{N}}]+', 0)")).alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN))
-    short = tuple(sorted(r.n for r in lengths.distinct().collect()))  # lengths below SPAN: SPAN - 1 values at most
+    lengths = bench.select(F.size(F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[\\p{{L}}\\p{{N}}]+', 0)")).alias("n")).filter((F.col("n") > 0) & (F.col("n") < WINDOW))
+    short = tuple(sorted(r.n for r in lengths.distinct().collect()))  # lengths below WINDOW: WINDOW - 1 values at most
     test = seeds(bench, item_key, text, NO_ITEM_TOKEN, short)
     bitmap = spark.sparkContext.broadcast(bitmap_of(test))
     found = seeds(docs, doc_key, text, NO_DOC_TOKEN, short, bitmap)

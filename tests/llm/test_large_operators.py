@@ -211,6 +211,18 @@ def test_contaminated_equals_brute_force(spark, docs):
     assert clean == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_whole_items_of_11_to_14_tokens_with_two_changes(spark, docs):
+    rng = random.Random(12)
+    items = [words(rng, n) for n in range(decontaminate.SPAN, decontaminate.WINDOW)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        for gone in itertools.combinations(range(len(item.split())), 2):
+            want.add((len(rows), k))
+            rows.append((len(rows), f"{words(rng, 20)} {' '.join('zzz' if i in gone else w for i, w in enumerate(item.split()))} {words(rng, 20)}"))
+    found = decontaminate.contaminated(docs(*rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc, r.item) for r in found.collect()} == want
+
+
 # Pipeline
 
 

@@ -4,23 +4,23 @@ A seed mask reads some of the tokens in a short window and ignores the rest, so
 substitutions at the ignored places. The three masks below are a lossless family: however three tokens of a
 window of 15 are changed, one of them still hits. Test and training hashes are joined, and around each hit the aligned
 tokens are compared: a document is contaminated by an item if a window of 15 tokens (the whole item, if it
-is shorter) agrees in 80 % of its places. Whole items of 11 to 14 tokens may have two changes; for the places of
-two changes that the three masks miss there, further masks are read from the item's start.
+is shorter) agrees in 80 % of its places. For whole items of less than 15 tokens, masks that together are as lossless are
+made from the item's length and read from the item's start; below 5 tokens 80 % means all of them.
 
-A bitmap of fixed size, filled from the test hashes, rides along to the documents and lets only few
-training hashes into the join; the join itself is exact, so the bitmap's collisions cost time, not results. The
-table of test items may be of any size.
+Tokens are hashed a slice of texts at a time, by array operations. A bitmap, filled from the test hashes and sized by their number,
+rides along to the documents and lets only few training hashes into the join; the join itself is exact, so the bitmap's collisions cost
+time, not results. The table of test items may be of any size; beyond some four million seeds the bitmap does not grow and lets more through.
 
-Tokens are runs of letters and digits in lower case. Items without a token match nothing; items shorter than the
-masks' span match exact copies only. Null texts have no tokens. Rows with equal ids, null ids too, count as
-one document. Other columns are carried along and may have any name.
+Tokens are runs of letters and digits in lower case. Texts and items without a token (null and empty ones too) match nothing, and
+an empty table on either side gives an empty result. Rows with equal ids, null ids too, count as
+one document; repeated rows add hits, not matches. Long texts are worked on whole. Other columns are carried along and may have any name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -29,37 +29,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.shared import table
+from notelake.llm.shared import table, written
 
 #: Lossless for 3 changes in 15 tokens (a test runs through all of them). Weight 6, span 11 at most.
 MASKS = ("1111011", "11001000111", "11010110001")
 SPAN = max(map(len, MASKS))
 WINDOW, AGREE = 15, 0.8
-#: Bits of the bitmap: half a megabyte, whatever the number of test items.
-BITMAP_BITS = 1 << 22
+#: The bitmap has a power of two of bits, at least BITS_A_SEED for each test seed; from half a megabyte to eight.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 26
 #: Tokens on both sides of a seed that a window around it can reach.
 BEFORE, AFTER = WINDOW - 1, WINDOW
 TOKEN = re.compile(r"[^\W_]+")
 NO_DOC_TOKEN, NO_ITEM_TOKEN = 1, 2
+#: Characters of the texts that are hashed together; a longer text is a slice of its own.
+SLICE_CHARS = 1_000_000
 
 SEEDS = "h bigint, pos int, around array<bigint>"
 
 
-class TokenHashes(dict):
-    """64-bit hashes of tokens, remembered up to a bound."""
+class Characters:
+    """For each code point whether it belongs to a token, and a 64-bit number; filled in as blocks of 256 are met."""
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
+    def __init__(self) -> None:
+        self.known = np.zeros(0x1100, bool)
+        self.in_token, self.number = np.zeros(0x110000, bool), np.zeros(0x110000, np.uint64)
 
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[token] = xxhash.xxh64_intdigest(token.encode()) | 4
-        return h
+    def meet(self, points: np.ndarray) -> None:
+        for block in np.flatnonzero((np.bincount(points >> 8, minlength=0x1100) > 0) & ~self.known):
+            at = np.arange(block << 8, (block + 1) << 8)
+            self.in_token[at] = [TOKEN.fullmatch(chr(c)) is not None for c in at]
+            self.number[at] = mixed(at.astype(np.uint64) + np.uint64(1))
+            self.known[block] = True
 
 
-def tokens(text: str | None, hashes: TokenHashes) -> np.ndarray:
-    words = TOKEN.findall(text.lower()) if text else []
-    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+@lru_cache(1)
+def characters() -> Characters:
+    return Characters()
+
+
+@lru_cache(1)
+def powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, 0xD6E8FEB86659FD93, np.uint64))
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all tokens of the texts in order, and the number of tokens of each text."""
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = characters()
+    known.meet(points)
+    inside = known.in_token[points]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    first = np.cumsum(sizes) - sizes
+    chars = known.number[points[inside]]
+    power = powers(1 << int(sizes.max()).bit_length())
+    chars *= power[np.arange(len(chars)) - np.repeat(first, sizes)]
+    return mixed(np.add.reduceat(chars, first)) | np.uint64(4), counts
 
 
 def missed(n: int) -> list[tuple[int, ...]]:
@@ -70,13 +106,12 @@ def missed(n: int) -> list[tuple[int, ...]]:
 
 @lru_cache(16)
 def item_masks(n: int) -> tuple[tuple[int, ...], ...]:
-    """Places, from the start of a whole item of n tokens, that find what MASKS miss; below the span the whole item only."""
-    if n < SPAN:
-        return (tuple(range(n)),)
+    """Places, from the start of a whole item of n tokens, that find what MASKS miss."""
     skipped: list[set[int]] = []
+    #: As many places are left as MASKS read; half of a shorter item, more than half of a very short one.
+    left = MASKS[0].count("1") if n >= SPAN else max(n // 2, min(n - 1, 3))
     for gone in missed(n):
-        #: As many places are left as MASKS read.
-        fits = [x for x in skipped if len(x | set(gone)) <= n - MASKS[0].count("1")]
+        fits = [x for x in skipped if len(x | set(gone)) <= n - left]
         if fits:
             min(fits, key=lambda x: len(x | set(gone))).update(gone)
         else:
@@ -89,23 +124,27 @@ def mask_places(short_lengths: tuple[int, ...] = ()) -> list[tuple[tuple[int, ..
     return [(tuple(i for i, c in enumerate(m) if c == "1"), None) for m in MASKS] + [(places, n) for n in short_lengths for places in item_masks(n)]
 
 
-def seed_hashes(t: np.ndarray, places: tuple[int, ...], number: int) -> np.ndarray:
-    """The hash of every position at which the mask fits."""
-    n = len(t) - places[-1]
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, (0x9E3779B97F4A7C15 * (number + 1)) & (2**64 - 1), np.uint64)
+def seed_hashes(t: np.ndarray, at: np.ndarray, places: tuple[int, ...], number: int) -> np.ndarray:
+    """The hash of the mask at each of the given positions of t."""
+    h = np.full(len(at), (0x9E3779B97F4A7C15 * (number + 1)) & (2**64 - 1), np.uint64)
     for i in places:
-        h ^= t[i : i + n]
+        h ^= t[at + i]
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
     return h
 
 
-def around(t: np.ndarray, pos: np.ndarray, filler: int) -> np.ndarray:
-    """Token hashes from BEFORE places before each position to AFTER places after it."""
-    padded = np.concatenate([np.full(BEFORE, filler, np.uint64), t, np.full(AFTER, filler, np.uint64)])
-    return padded[pos[:, None] + np.arange(BEFORE + AFTER)]
+def slices(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) with SLICE_CHARS characters at most, or one text."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and size + len(t or "") > SLICE_CHARS:
+            yield first, held
+            held, size, first = [], 0, i
+        held.append(t or "")
+        size += len(t or "")
+    if held:
+        yield first, held
 
 
 def seeds(rows: DataFrame, key: str, text: str, filler: int, short_lengths: tuple[int, ...], bitmap=None) -> DataFrame:
@@ -114,53 +153,66 @@ def seeds(rows: DataFrame, key: str, text: str, filler: int, short_lengths: tupl
     whole_items = bitmap is None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, places = TokenHashes(), mask_places(short_lengths)
+        places = mask_places(short_lengths)
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            keys, h_out, p_out, a_out, n_rows = [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                t = tokens(value.as_py(), hashes)
+            for first, texts in slices(x.as_py() for x in batch.column(1)):
+                tokens, counts = token_hashes(texts)
+                #: Each text stands between fillers, so that no seed and no window reaches into another.
+                offset = np.cumsum(counts) - counts + np.arange(len(texts)) * (BEFORE + AFTER) + BEFORE
+                t = np.full(len(tokens) + len(texts) * (BEFORE + AFTER), filler, np.uint64)
+                owner = np.repeat(np.arange(len(texts)), counts)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+                t[offset[owner] + pos] = tokens
+                left = counts[owner] - pos
                 for number, (places_of, length) in enumerate(places):
-                    if whole_items and length is not None and len(t) != length:
-                        continue
-                    h = seed_hashes(t, places_of, number)
+                    fits = left > places_of[-1]
                     if whole_items and length is not None:
-                        h = h[:1]
-                    pos = np.arange(len(h))
-                    if bits is not None and len(h):
-                        slot = h & np.uint64(BITMAP_BITS - 1)
-                        pos = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
-                    if len(pos):
-                        keys.append(i)
-                        n_rows.append(len(pos))
-                        h_out.append(h[pos].view(np.int64))
-                        p_out.append(pos.astype(np.int32))
-                        a_out.append(around(t, pos, filler).view(np.int64))
-            if keys:
-                a = np.concatenate(a_out)
-                lists = pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel()))
-                ids = batch.column(0).take(pa.array(np.repeat(keys, n_rows)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(h_out)), pa.array(np.concatenate(p_out)), lists], names=["k", "h", "pos", "around"])
+                        fits &= (pos == 0) & (left == length)
+                    of, p = owner[fits], pos[fits]
+                    at = offset[of] + p
+                    h = seed_hashes(t, at, places_of, number)
+                    if bits is not None:
+                        slot = h & np.uint64(8 * len(bits) - 1)
+                        met = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+                        h, of, p, at = h[met], of[met], p[met], at[met]
+                    for some in range(0, len(h), 65536):
+                        part = slice(some, some + 65536)
+                        a = t[at[part, None] + np.arange(-BEFORE, AFTER)]
+                        lists = pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel().view(np.int64)))
+                        ids = batch.column(0).take(pa.array(first + of[part]))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(h[part].view(np.int64)), pa.array(p[part].astype(np.int32)), lists], names=["k", "h", "pos", "around"])
 
     return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(cut, f"k {kind}, {SEEDS}")
 
 
+def lengths_below_window(rows: DataFrame, text: str) -> tuple[int, ...]:
+    """The different numbers of tokens below WINDOW: WINDOW - 1 values at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = {int(x) for _, texts in slices(x.as_py() for x in batch.column(0)) for x in token_hashes(texts)[1]}
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in n if 0 < x < WINDOW], pa.int32())], names=["n"])
+
+    return tuple(sorted(r.n for r in rows.select(text).mapInArrow(count, "n int").distinct().collect()))
+
+
 def bitmap_of(test: DataFrame) -> bytes:
-    """BITMAP_BITS bits with a 1 at each test hash; the collected table has BITMAP_BITS / 8 rows at most."""
-    slot = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)).cast("int"))
-    got = test.select(F.shiftright(slot, 3).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
+    """A bit for each test hash; the collected table has MOST_BITS / 64 rows at most."""
+    n_bits = min(max(LEAST_BITS, 1 << (BITS_A_SEED * test.count()).bit_length()), MOST_BITS)
+    slot = F.col("h").bitwiseAND(F.lit(n_bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    got = test.select(F.shiftright(slot, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(n_bits // 64, "<i8")
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
     return bits.tobytes()
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that share a passage: doc, item, matches in the best window, its size, first place."""
     spark = docs.sparkSession
-    lengths = bench.select(F.size(F.expr(rf"regexp_extract_all(coalesce({text}, ''), '[\\p{{L}}\\p{{N}}]+', 0)")).alias("n")).filter((F.col("n") > 0) & (F.col("n") < WINDOW))
-    short = tuple(sorted(r.n for r in lengths.distinct().collect()))  # lengths below WINDOW: WINDOW - 1 values at most
-    test = seeds(bench, item_key, text, NO_ITEM_TOKEN, short)
+    short = lengths_below_window(bench, text)
+    test = written(seeds(bench, item_key, text, NO_ITEM_TOKEN, short), "test-seeds")
     bitmap = spark.sparkContext.broadcast(bitmap_of(test))
     found = seeds(docs, doc_key, text, NO_DOC_TOKEN, short, bitmap)
     n_item = F.size(F.filter("b.around", lambda x: x != NO_ITEM_TOKEN))

@@ -1,6 +1,7 @@
 """Line dedup, HTML, BPE, SimHash, decontamination and the pipeline against brute force, and on edge cases."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -201,26 +202,46 @@ def test_contaminated_equals_brute_force(spark, docs):
         for k, item in enumerate(items):
             a, b = decontaminate.TOKEN.findall((t or "").lower()), decontaminate.TOKEN.findall((item or "").lower())
             n = min(len(b), decontaminate.WINDOW)
-            share = 1 if len(b) < decontaminate.SPAN else decontaminate.AGREE
-            if n and any(sum(x == y for x, y in zip(a[i : i + n], b[j : j + n], strict=False)) >= share * n for i in range(len(a) - n + 1) for j in range(len(b) - n + 1)):
+            if n and any(sum(x == y for x, y in zip(a[i : i + n], b[j : j + n], strict=False)) >= decontaminate.AGREE * n for i in range(len(a) - n + 1) for j in range(len(b) - n + 1)):
                 want.add((d, k))
     got = {(r.doc, r.item) for r in decontaminate.contaminated(docs(*rows), bench).collect()}
-    short = {(d, k) for d, k in want if decontaminate.SPAN <= len(items[k].split()) < decontaminate.WINDOW}
-    assert want - short <= got <= want and {(d, k) for d, k in want if k < 3} <= got
+    assert got == want
     clean = {r.doc_id for r in decontaminate.decontaminated(docs(*rows), bench).collect()}
     assert clean == {d for d, _ in rows} - {d for d, _ in got}
 
 
-def test_whole_items_of_11_to_14_tokens_with_two_changes(spark, docs):
+def test_whole_items_of_every_length_with_all_changes(spark, docs):
     rng = random.Random(12)
-    items = [words(rng, n) for n in range(decontaminate.SPAN, decontaminate.WINDOW)]
+    items = [words(rng, n) for n in range(1, decontaminate.WINDOW)]
     rows, want = [], set()
     for k, item in enumerate(items):
-        for gone in itertools.combinations(range(len(item.split())), 2):
+        n = len(item.split())
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.AGREE)):
             want.add((len(rows), k))
             rows.append((len(rows), f"{words(rng, 20)} {' '.join('zzz' if i in gone else w for i, w in enumerate(item.split()))} {words(rng, 20)}"))
     found = decontaminate.contaminated(docs(*rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
-    assert {(r.doc, r.item) for r in found.collect()} == want
+    assert want <= {(r.doc, r.item) for r in found.collect()}
+
+
+def test_token_hashes_are_those_of_single_texts():
+    rng = random.Random(2)
+    texts = ["", "_a_B-c", "ÉTÉ été 10km", "ΟΔΟΣ Σ", "x" * 5000, "日本 語", "\U0001F600 a"] + [words(rng, 40) for _ in range(20)]
+    together, counts = decontaminate.token_hashes(texts)
+    tokens = [decontaminate.TOKEN.findall(t.lower()) for t in texts]
+    assert counts.tolist() == [len(x) for x in tokens]
+    by_token = {}
+    for token, h in zip(itertools.chain(*tokens), together.tolist(), strict=True):
+        assert by_token.setdefault(token, h) == h
+    assert len(set(by_token.values())) == len(by_token)
+
+
+def test_decontamination_of_empty_tables_and_long_texts(spark, docs):
+    item = words(random.Random(4), 30)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = [(1, "a " * 600_000 + item), (2, "b" * 1_200_000), (3, None)]
+    assert {(r.doc, r.item) for r in decontaminate.contaminated(docs(*rows), bench).collect()} == {(1, 0)}
+    assert decontaminate.contaminated(docs(*rows).limit(0), bench).count() == 0
+    assert decontaminate.decontaminated(docs(*rows), bench.limit(0)).count() == 3
 
 
 # Pipeline

@@ -6,9 +6,14 @@ text holds it near the same place. The join stores each text under its segments,
 substrings whose place and length the segment's number and the length difference allow. Pairs that meet are
 verified by a banded bit-parallel edit distance. All of it is DataFrame and SQL functions.
 
+A signature that more than HOT lines store (a passage with thousands of near copies) does not go through that join: its lines first get
+a sketch of all their letters, which tells nearly all pairs apart that are too far from each other, and are joined by themselves.
+
 Of a class, and of linked classes, the line of the first document stays: the order is by the smallest document id of a class,
-then by text. Lines shorter than MIN_CHARS are only linked to equal ones. Null texts count as empty, and empty lines belong to no
-class. Null ids come after all others; rows with equal ids count as one document. Extra columns of any name are carried along.
+then by text. Two edits are a similarity of 0.9 or more in a line of MIN_CHARS; shorter lines are only linked to equal ones. Null texts
+count as empty, and empty lines belong to no class. Null ids come after all others; rows with equal ids count as one document. Lines may be
+of any length up to a million characters (two longer ones of like length may stay unlinked). An empty table gives an empty table. Extra columns of any name are carried
+along, but ``without_repeated_lines`` uses the names ``__text``, ``__key``, ``__first`` and ``__cut`` for itself.
 """
 
 from __future__ import annotations
@@ -37,14 +42,24 @@ def hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.hash(line).alias("g")]
 
 
+#: Stored lines under one signature beyond which they are told apart by all their letters first.
+HOT = 64
+#: Signatures up to which the table of hot ones is broadcast: 8 MB.
+BROADCAST_SIGNATURES = 1_000_000
+
 #: Letters whose numbers, modulo 8, make up the low bits of a line's sketch; its length stands above them. One edit
 #: changes two of the numbers by one at most.
 SKETCHED = "etanirso"
 LETTER_BITS = 3 * len(SKETCHED)
 
 
+def letter_count(line: Column, letter: str) -> Column:
+    """How often an ASCII character occurs."""
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+
+
 def sketch(line: Column) -> Column:
-    count = lambda x: (F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("long")
+    count = lambda x: letter_count(line, x)
     return sum((F.shiftleft(count(x).bitwiseAND(F.lit(7)), 3 * i) for i, x in enumerate(SKETCHED)), F.shiftleft(F.length(line).cast("long"), LETTER_BITS))
 
 
@@ -55,6 +70,30 @@ def may_be_near(a: Column, b: Column) -> Column:
     return sum((F.least(apart(i), 8 - apart(i)) for i in range(len(SKETCHED))), F.lit(0)) <= 2 * EDITS
 
 
+#: The same for the lines of hot signatures: 31 characters, modulo 4.
+ALL_SKETCHED = "abcdefghijklmnopqrstuvwxyz .,01"
+
+
+def full_sketch(line: Column) -> Column:
+    return sum((F.shiftleft(letter_count(line, x).bitwiseAND(F.lit(3)), 2 * i) for i, x in enumerate(ALL_SKETCHED)), F.lit(0).cast("long"))
+
+
+def may_be_near_by_all(a: Column, b: Column) -> Column:
+    """False only for full sketches of texts that are more than EDITS edits apart; counts 0 to 3 stand in a circle."""
+    #: Digit by digit the difference modulo 4 (as 4 + a - b, two digits at a time so that nothing is carried over), then 1 for 1 and 3, 2 for 2.
+    even = F.lit(int("0011" * 16, 2) & (1 << 62) - 1)
+    four = F.lit(int("0100" * 16, 2) & (1 << 62) - 1)
+    digits = lambda c, k: F.shiftrightunsigned(c, 2 * k).bitwiseAND(even)
+    ones = F.lit(int("0001" * 16, 2) & (1 << 62) - 1)
+
+    def apart(k: int) -> Column:
+        d = (digits(a, k) + four - digits(b, k)).bitwiseAND(even)
+        low, high = d.bitwiseAND(ones), F.shiftrightunsigned(d, 1).bitwiseAND(ones)
+        return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
+
+    return apart(0) + apart(1) <= 2 * EDITS
+
+
 #: Slots of the bitmap that tells which texts to read again: one megabyte, in tables of 256 rows at most.
 BITMAP_SLOTS = 1 << 23
 
@@ -107,7 +146,8 @@ def signatures(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             for move in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
                 if less or move:
                     probing.append(F.when((start + move >= 1) & (start + move + size - 1 <= n), sig(n - less, i, start + move, size)))
-    out = [rows.select("h", "sketch", F.explode(F.array(*sigs)).alias("sig")).filter("sig IS NOT NULL") for sigs in (stored, probing)]
+    #: Compacted first: exploded as it is, the optimizer would compute the array several times.
+    out = [rows.select("h", "sketch", F.explode(F.array_compact(F.array(*sigs))).alias("sig")) for sigs in (stored, probing)]
     return out[0], out[1]
 
 
@@ -181,18 +221,43 @@ def edit_distance(a: Column, b: Column) -> Column:
     return bound(bound(bound(pair, rest), rest), lambda p: banded_distance(p["a"], p["b"]))
 
 
-def line_links(classes: DataFrame) -> DataFrame:
-    """(h, g, h2, g2, later): pairs of different lines within EDITS edits, each way; later: the second line comes first."""
-    stored, probing = signatures(classes)
-    asked = probing.unionByName(stored)
+def joined_pairs(stored: DataFrame, asked: DataFrame, near) -> DataFrame:
+    """(ha, hb): different lines that meet under a signature and may be near by their sketches; one row for each signature."""
     s, p = stored.alias("s"), asked.alias("p")
     size = lambda x: F.shiftright(F.col(f"{x}.sketch"), LETTER_BITS)
     once = (size("s") < size("p")) | (size("s") == size("p")) & (F.col("s.h") < F.col("p.h"))
-    met = s.join(p, (F.col("s.sig") == F.col("p.sig")) & once & may_be_near(F.col("s.sketch"), F.col("p.sketch")))
-    pairs = written(met.select(F.least("s.h", "p.h").alias("ha"), F.greatest("s.h", "p.h").alias("hb")).distinct(), "line-pairs")
+    met = s.join(p, (F.col("s.sig") == F.col("p.sig")) & once & near("s", "p"))
+    return met.select(F.least("s.h", "p.h").alias("ha"), F.greatest("s.h", "p.h").alias("hb"))
+
+
+def texts_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The classes whose h is among wanted(h), which has different rows only: an inner join, as a semi join would be pushed below the bitmap."""
+    return held_in_bitmap(classes.select("h", "g", "line", "first"), wanted).join(wanted, "h")
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """(ha, hb) of all lines that may be within EDITS edits, each pair once."""
+    stored, probing = signatures(classes)
+    asked = probing.unionByName(stored)
+    by_few = lambda s, p: may_be_near(F.col(f"{s}.sketch"), F.col(f"{p}.sketch"))
+    hot = written(stored.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("sig"), "hot-signatures")
+    n_hot = hot.count()
+    if not n_hot:
+        return joined_pairs(stored, asked, by_few).distinct()
+    marks = F.broadcast(hot) if n_hot <= BROADCAST_SIGNATURES else hot
+    cold = joined_pairs(stored.join(marks, "sig", "left_anti"), asked, by_few)
+    held = written(stored.join(marks, "sig").withColumn("stored", F.lit(True)).unionByName(asked.join(marks, "sig").withColumn("stored", F.lit(False))), "hot-lines")
+    letters = written(texts_of(classes, held.select("h").distinct()).select("h", full_sketch(F.col("line")).alias("all")), "hot-sketches")
+    told = held.join(letters, "h")
+    by_all = lambda s, p: may_be_near_by_all(F.col(f"{s}.all"), F.col(f"{p}.all"))
+    return cold.unionByName(joined_pairs(told.filter("stored"), told.filter("NOT stored"), by_all)).distinct()
+
+
+def line_links(classes: DataFrame) -> DataFrame:
+    """(h, g, h2, g2, later): pairs of different lines within EDITS edits, each way; later: the second line comes first."""
+    pairs = written(candidate_pairs(classes), "line-pairs")
     wanted = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
-    #: An inner join, as wanted is distinct: a semi join would be pushed below the bitmap.
-    texts = written(held_in_bitmap(classes.select("h", "g", "line", "first"), wanted).join(wanted, "h"), "line-texts")
+    texts = written(texts_of(classes, wanted), "line-texts")
     both = pairs.join(texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns]), F.col("ha") == F.col("h_a")).join(
         texts.select(*[F.col(c).alias(f"{c}_b") for c in texts.columns]), F.col("hb") == F.col("h_b")
     )
@@ -220,21 +285,42 @@ def judged_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return joined.select("doc", "h", "g", "class_id", "n", "n_links", (F.col("doc").eqNullSafe(F.col("first")) & ~F.col("later")).alias("kept"))
 
 
+def placed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, t, pos, line, again): every line with a character, its place (from 0) in the text named t, and whether the text has it before."""
+    by_line = F.array_sort(F.transform(text_lines(F.col(text)), lambda x, i: F.struct(x.alias("line"), i.alias("pos"))))
+    mark = lambda a: F.transform(a, lambda s, i: F.struct(s["line"].alias("line"), s["pos"].alias("pos"), ((i > 0) & (F.get(a, i - 1)["line"] == s["line"])).alias("again")))
+    marked = F.transform(F.array(by_line), mark)[0]
+    rows = docs.select(F.col(key).alias("doc"), text_name(F.col(text)).alias("t"), F.explode(marked).alias("x"))
+    return rows.select("doc", "t", "x.pos", "x.line", "x.again").filter("line <> ''")
+
+
+def text_name(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with repeated lines of min_chars or more cut from the texts of all but the first document.
+    """docs with repeated lines of min_chars or more cut from the texts of all but the first document, and there from all but the first place.
 
-    A document with the whole text of an earlier one loses the same lines as that one, so it stays its copy, for near-dedup.
+    A document with the whole text of an earlier one loses the same lines as that one, so it stays its copy, for near-dedup. A text all
+    of whose lines are cut becomes empty. Null texts stay null.
     """
-    digest = lambda: F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    gone = judged_lines(docs, key, text).filter(~F.col("kept") & (F.col("n") >= min_chars))
-    cut = gone.groupBy("doc").agg(F.collect_set(F.struct("h", "g")).alias("__cut"))
-    originals = docs.select(F.col(key).alias("__key"), digest().alias("__digest")).groupBy("__digest").agg(F.min("__key").alias("__first"))
-    by_text = originals.join(cut, F.col("__first").eqNullSafe(F.col("doc"))).select("__digest", "__cut")
-    rows = docs.join(by_text, digest() == F.col("__digest"), "left")
-    name = lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))
-    left = F.array_join(F.filter(text_lines(F.col(text)), lambda x: ~F.array_contains("__cut", name(x))), "\n")
-    shortened = F.when(F.col("__cut").isNotNull() & F.col(text).isNotNull(), left).otherwise(F.col(text))
-    return rows.withColumn(text, shortened).select(*[f"`{c}`" for c in docs.columns])
+    found = placed_lines(docs, key, text)
+    judged = judged_classes(found.filter(~F.col("again")).select("doc", "line")).select(F.col("h").alias("h_c"), F.col("g").alias("g_c"), "first", "n", "later")
+    lines = found.select("doc", "t", "pos", "again", *hashes(F.col("line")))
+    met = lines.join(judged, (F.col("h") == F.col("h_c")) & (F.col("g") == F.col("g_c")) & (F.col("n") >= min_chars))
+    gone = met.filter(F.col("again") | F.col("later") | ~F.col("doc").eqNullSafe(F.col("first")))
+    cut = gone.groupBy("doc", "t").agg(F.array_sort(F.collect_set("pos")).alias("__cut"))
+    originals = docs.select(F.col(key).alias("__key"), text_name(F.col(text)).alias("__text")).groupBy("__text").agg(F.min("__key").alias("__first"))
+    by_text = originals.join(cut, F.col("__first").eqNullSafe(F.col("doc")) & (F.col("__text") == F.col("t"))).select("__text", "__cut")
+    rows = docs.join(by_text, text_name(F.col(text)) == F.col("__text"), "left")
+
+    def left(lines: Column) -> Column:
+        """What stands between one cut line and the next."""
+        ends = F.concat("__cut", F.array(F.size(lines)))
+        return F.flatten(F.transform(ends, lambda end, i: F.slice(lines, F.coalesce(F.get(ends, i - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(ends, i - 1), F.lit(-1)) - 1)))
+
+    shortened = F.array_join(F.transform(F.array(text_lines(F.col(text))), left)[0], "\n")
+    return rows.withColumn(text, F.when(F.col("__cut").isNotNull() & F.col(text).isNotNull(), shortened).otherwise(F.col(text))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,9 @@ def changed(rng, text, n):
     return "".join(out)
 
 
-def test_edit_distance_and_links(spark, docs):
+@pytest.mark.parametrize("hot", [lines.HOT, 1])
+def test_edit_distance_and_links(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
     rng = random.Random(11)
     base = [words(rng, 6)[:n] for n in (20, 21, 33, 34, 35, 40)] + ["x" * 30, "short"]
     texts = [changed(rng, b, k) if len(b) > 5 else b for b in base for k in (0, 1, 1, 2, 2, 3, 4)]
@@ -79,6 +81,23 @@ def test_mostly_repeated_documents_lose_their_repeated_lines(docs):
     assert got == sorted([rows[0], rows[1], (2, own[2]), (3, own[2]), (4, "short"), (None, own[2]), (2, None)], key=str)
 
 
+def test_places_of_repeated_lines_inside_documents(docs):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 8) for _ in range(3))
+    rows = [(1, f"{a}\n{b}\n{a}\n\n{a}\nx\nx\n"), (7, f"{c}\n{b}"), (7, f"{b}\n{c}\n{a}"), (9, "y" * 300_000 + f"\n{b}")]
+    got = sorted((r.doc_id, r.text) for r in lines.without_repeated_lines(docs(*rows, rows[0])).collect())
+    assert got == sorted([(1, f"{a}\n{b}\n\nx\nx\n")] * 2 + [(7, c), (7, c), (9, "y" * 300_000)])
+
+
+def test_full_sketches_lose_no_near_line(spark):
+    rng = random.Random(9)
+    pairs = [(t, changed(rng, t, k)) for t in (words(rng, 9), words(rng, 40), "Zürich 10, 01. a b c d e") for k in (0, 1, 2, 2, 2) * 20]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(lines.may_be_near_by_all(lines.full_sketch(F.col("a")), lines.full_sketch(F.col("b"))).alias("near"))
+    assert rows.filter("NOT near").count() == 0
+    far = spark.createDataFrame([(words(rng, 9), words(rng, 9))] * 5, "a string, b string").select(lines.may_be_near_by_all(lines.full_sketch(F.col("a")), lines.full_sketch(F.col("b"))).alias("near"))
+    assert far.filter("near").count() == 0
+
+
 # HTML
 
 

@@ -35,8 +35,8 @@ from notelake.llm.shared import table, written
 MASKS = ("1111011", "11001000111", "11010110001")
 SPAN = max(map(len, MASKS))
 WINDOW, AGREE = 15, 0.8
-#: The bitmap has a power of two of bits, at least BITS_A_SEED for each test seed; from half a megabyte to eight.
-BITS_A_SEED, LEAST_BITS, MOST_BITS = 16, 1 << 22, 1 << 26
+#: The bitmap has a power of two of bits, at least BITS_A_SEED for each test seed; from four megabytes to eight.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 16, 1 << 25, 1 << 26
 #: Tokens on both sides of a seed that a window around it can reach.
 BEFORE, AFTER = WINDOW - 1, WINDOW
 TOKEN = re.compile(r"[^\W_]+")

@@ -146,8 +146,9 @@ def signatures(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             for move in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1):
                 if less or move:
                     probing.append(F.when((start + move >= 1) & (start + move + size - 1 <= n), sig(n - less, i, start + move, size)))
-    #: Compacted first: exploded as it is, the optimizer would compute the array several times.
-    out = [rows.select("h", "sketch", F.explode(F.array_compact(F.array(*sigs))).alias("sig")) for sigs in (stored, probing)]
+    #: The array is a column of its own, as a generator's argument is not compiled; compacted, it is not computed again for a filter.
+    arrays = [rows.select("h", "sketch", F.array(*sigs).alias("sigs")) for sigs in (stored, probing)]
+    out = [df.select("h", "sketch", F.explode(F.array_compact("sigs")).alias("sig")) for df in arrays]
     return out[0], out[1]
 
 
@@ -239,6 +240,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     """(ha, hb) of all lines that may be within EDITS edits, each pair once."""
     stored, probing = signatures(classes)
     asked = probing.unionByName(stored)
+    #: Twelve rows a line meet here; the sketch of eight letters drops most pairs at once, that of all letters most of the rest.
     by_few = lambda s, p: may_be_near(F.col(f"{s}.sketch"), F.col(f"{p}.sketch"))
     hot = written(stored.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("sig"), "hot-signatures")
     n_hot = hot.count()
@@ -257,11 +259,11 @@ def line_links(classes: DataFrame) -> DataFrame:
     """(h, g, h2, g2, later): pairs of different lines within EDITS edits, each way; later: the second line comes first."""
     pairs = written(candidate_pairs(classes), "line-pairs")
     wanted = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
-    texts = written(texts_of(classes, wanted), "line-texts")
+    texts = written(texts_of(classes, wanted).withColumn("all", full_sketch(F.col("line"))), "line-texts")
     both = pairs.join(texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns]), F.col("ha") == F.col("h_a")).join(
         texts.select(*[F.col(c).alias(f"{c}_b") for c in texts.columns]), F.col("hb") == F.col("h_b")
     )
-    near = both.filter(edit_distance(F.col("line_a"), F.col("line_b")) <= EDITS)
+    near = both.filter(may_be_near_by_all(F.col("all_a"), F.col("all_b"))).filter(edit_distance(F.col("line_a"), F.col("line_b")) <= EDITS)
     place = lambda x: F.struct(F.col(f"first_{x}").isNull(), F.col(f"first_{x}"), F.col(f"line_{x}"))
     one = near.select("h_a", "g_a", "h_b", "g_b", (place("b") < place("a")).alias("b_first"))
     way = lambda x, y, later: one.select(F.col(f"h_{x}").alias("h"), F.col(f"g_{x}").alias("g"), F.col(f"h_{y}").alias("h2"), F.col(f"g_{y}").alias("g2"), later.alias("later"))

@@ -265,7 +265,8 @@ def line_links(classes: DataFrame) -> DataFrame:
     )
     near = both.filter(may_be_near_by_all(F.col("all_a"), F.col("all_b"))).filter(edit_distance(F.col("line_a"), F.col("line_b")) <= EDITS)
     place = lambda x: F.struct(F.col(f"first_{x}").isNull(), F.col(f"first_{x}"), F.col(f"line_{x}"))
-    one = near.select("h_a", "g_a", "h_b", "g_b", (place("b") < place("a")).alias("b_first"))
+    #: Written, as both ways read it and the distances are worth computing once only.
+    one = written(near.select("h_a", "g_a", "h_b", "g_b", (place("b") < place("a")).alias("b_first")), "line-links")
     way = lambda x, y, later: one.select(F.col(f"h_{x}").alias("h"), F.col(f"g_{x}").alias("g"), F.col(f"h_{y}").alias("h2"), F.col(f"g_{y}").alias("g2"), later.alias("later"))
     return way("a", "b", F.col("b_first")).unionByName(way("b", "a", ~F.col("b_first")))
 

@@ -115,13 +115,83 @@ def test_main_text_of_awkward_pages():
 
 
 def test_tree_on_held_out_pages():
-    x, y = html_text.labelled_blocks()
-    pages = np.cumsum([0] + [p.count("|") + 1 for p in html_text.LABELLED_PAGES])
-    right = 0
-    for a, b in itertools.pairwise(pages):
-        rest = np.r_[0:a, b : len(y)]
-        right += (html_text.classify(x[a:b], html_text.grow(x[rest], y[rest])) == y[a:b]).sum()
-    assert right >= 0.85 * len(y)
+    x, y, page = html_text.labelled_blocks()
+    right, words = {True: 0, False: 0}, {True: 0, False: 0}
+    for p in range(len(html_text.LABELLED_PAGES)):
+        own = page == p
+        got = html_text.classify(x[own], html_text.grow(x[~own], y[~own]))
+        named = bool(x[own, 0].any())
+        right[named] += (x[own, 2] * (got == y[own])).sum()
+        words[named] += x[own, 2].sum()
+    assert right[True] >= 0.95 * words[True] and right[False] >= 0.9 * words[False]
+
+
+def test_tree_reads_words_and_links_of_neighbours():
+    def read(node):
+        return {html_text.FEATURES[node[0]]} | read(node[2]) | read(node[3]) if isinstance(node, tuple) else set()
+
+    assert {"words_before", "words_after", "link_density_before", "link_density_after"} & read(html_text.tree()) and {"article", "words", "link_density"} <= read(html_text.tree())
+    menu, long = "<ul><li><a href=x>Home</a></li><li><a href=x>Two words</a></li></ul>", "word " * 60
+    page = f"{menu}<div>Buy our nice shoes today for less</div><h1>My title here</h1><p>{long}</p><p>Short one.</p><p>{long}</p><div>Copyright 2024 Foo Inc. All rights reserved</div>"
+    assert html_text.main_text(page).replace("word ", "").replace("word", "") == "My title here\n\nShort one.\n"
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "post has-comments", "entry-content related", "story-body header-fixed"])
+def test_article_names_outweigh_others(name):
+    got = html_text.main_text(f'<nav><a href=x>Home</a></nav><div class="{name}"><h1>My title here</h1><p>{"word " * 60}</p></div><footer>Copyright</footer>')
+    assert got.split("\n")[0] == "My title here" and got.count("word") == 60
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(html_text.main_text("<article>" + "<div>x " * n)) == 2 * n - 1
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 16 * max(seconds(5_000), 0.02)
+
+
+def test_blocks_equal_brute_force():
+    """Blocks of random pages of closed elements, against a recursive reader of the same tree."""
+    rng = random.Random(7)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return words(rng, rng.randint(0, 4))
+        return [(rng.choice(["div", "section", "h2", "b", "i", "a", "ul", "li", "article", "aside"]), [tree(depth - 1) for _ in range(rng.randint(0, 3))])]
+
+    def page(node):
+        return node if isinstance(node, str) else "".join(f"<{t}>{''.join(map(page, kids))}</{t}>" for t, kids in node)
+
+    def flat(node, inside_link, out):
+        if isinstance(node, str):
+            out.append((node, inside_link))
+            return
+        for t, kids in node:
+            edge = t in html_text.BLOCK_TAGS
+            if edge:
+                out.append(None)
+            for k in kids:
+                flat(k, inside_link or t == "a", out)
+            if edge:
+                out.append(None)
+
+    for _ in range(200):
+        node, out = tree(5), []
+        flat(node, False, out)
+        want, held = [], []
+        for piece in [*out, None]:
+            if piece is not None:
+                held.append(piece)
+                continue
+            text = "".join(t for t, _ in held).split()
+            if text:
+                want.append((" ".join(text), len(text), min(len(text), sum(len(t.split()) for t, link in held if link))))
+            held = []
+        assert [(t, b[0], b[1]) for t, b in html_text.text_blocks(page(node))] == want
 
 
 def test_html_query_columns(spark, tmp_path):

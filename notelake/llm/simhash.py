@@ -4,22 +4,23 @@ A fingerprint has 64 bits; two texts are near-duplicates if their fingerprints d
 into four blocks of 16 bits, such a pair differs in one bit at most in some block. Each block has a
 vantage-point tree: every level splits by the Hamming distance of the block to a vantage point, one ring for each
 distance, and the rings of all levels name a leaf (a shard). By the triangle inequality a point within one
-bit of another lies in the same or the next ring on every level, and as one changed bit changes every distance
-by exactly one, it lies in the next ring on all levels or in the same leaf. All other branches are pruned;
-a point is stored in its own leaf of each tree and asks the 2 ** LEVELS leaves that its ball overlaps. Points at an even
-distance ask those at an odd one, so each pair meets once. Leaves are compared exactly, in blocks, and give
-a spanning forest of their links, never all pairs; star contraction joins forests into components.
+bit of another lies in the same or the next ring on every level; of all branches only those stay that hold the block
+itself or one of the 16 blocks a bit away, however many levels there are. A point is stored in its own leaf of each tree and asks these
+leaves. Points at an even distance from the first vantage point ask those at an odd one, so each pair meets once. Leaves are compared
+exactly, in parts, and give a spanning forest of their links, never all pairs; star contraction joins forests into components.
 
-The work inside leaves grows with the square of the number of distinct fingerprints, divided by what the
-levels prune; more levels prune more and store more.
+The number of levels grows with the number of distinct fingerprints until every block is a leaf of its own; a point never has more than
+17 rows a tree. The work inside leaves grows with the square of the number of distinct fingerprints, divided by that of the leaves.
 
-Null texts count as empty: fingerprint zero, linked like any other. Null ids are members of components but
-never name one. Equal fingerprints are compared once, whatever their number. Repeated rows are copies.
+Null and empty texts have fingerprint zero, linked like any other; a long text is read whole. Null ids are members of components but
+never name one. Equal fingerprints are compared once, whatever their number; repeated rows are copies. Of equal texts the smallest id names the
+group. An empty table gives an empty table. ``one_per_group`` keeps all columns; it uses the names ``__rows`` and ``__key`` for itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,11 @@ from notelake.llm.shared import table, written
 
 BITS_APART = 4
 BLOCKS, BLOCK_BITS = 4, 16
-#: Vantage points of the levels; any two are 8 bits apart, so their distances are nearly independent.
-VANTAGE_POINTS = (0x0000, 0x00FF, 0x0F0F, 0x3333)
-LEVELS = len(VANTAGE_POINTS)
+#: Vantage points of the levels, as many as MOST_LEVELS; any two are 8 bits apart or 4, so their distances are nearly independent.
+VANTAGE_POINTS = (0x0000, 0x00FF, 0x0F0F, 0x3333, 0x5555, 0x0FF0, 0x3C3C, 0x5A5A, 0x1248, 0x8421, 0x7000, 0x0700)
+LEAST_LEVELS, MOST_LEVELS = 4, len(VANTAGE_POINTS)
+#: Points that a leaf is meant to hold on average, weighted by its points.
+POINTS_A_LEAF = 1_000
 #: Leaves with more points than this are dealt to several tasks.
 LEAF_POINTS = 20_000
 SHINGLE, SEED = 4, 42
@@ -69,19 +72,33 @@ def simhash(text: Column) -> Column:
     return F.pandas_udf(_fingerprints, "bigint")(text)
 
 
-def leaf_rows(points: DataFrame) -> DataFrame:
-    """(leaf, f, asks): each point in its own leaf of every tree, and as a question in those it overlaps."""
-    trees = []
-    for k in range(BLOCKS):
-        block = F.shiftrightunsigned("f", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        rings = [F.bit_count(block.bitwiseXOR(F.lit(v))).cast("long") for v in VANTAGE_POINTS]
-        own = sum((F.shiftleft(r + 1, 5 * i) for i, r in enumerate(rings)), F.lit(k << 5 * LEVELS).cast("long"))
-        trees.append(F.struct(own.alias("own"), (rings[0] % 2 == 0).alias("even")))
-    placed = points.select("f", F.explode(F.array(*trees)).alias("t")).select("f", "t.own", "t.even")
-    steps = [sum((1 if s >> i & 1 else -1) << 5 * i for i in range(LEVELS)) for s in range(1 << LEVELS)]
-    asked = F.when(F.col("even"), F.lit([0, *steps])).otherwise(F.lit([0]))
-    rows = placed.select("f", "own", F.explode(asked).alias("step"))
-    return rows.select((F.col("own") + F.col("step")).alias("leaf"), "f", (F.col("step") != 0).alias("asks"))
+@lru_cache(1)
+def leaves_of_levels() -> tuple[float, ...]:
+    """How many leaves of equal size would be as good as those of 1, 2, ... levels, if blocks are spread evenly."""
+    block, leaf, out = np.arange(1 << BLOCK_BITS, dtype=np.int64), np.zeros(1 << BLOCK_BITS, np.int64), []
+    for i, v in enumerate(VANTAGE_POINTS):
+        leaf += np.bitwise_count(block ^ v).astype(np.int64) << 5 * i
+        size = np.unique(leaf, return_counts=True)[1] / len(block)
+        out.append(1 / (size**2).sum())
+    return tuple(out)
+
+
+def levels_for(n_points: int) -> int:
+    return next((i for i, n in enumerate(leaves_of_levels(), 1) if i >= LEAST_LEVELS and n_points <= n * POINTS_A_LEAF), MOST_LEVELS)
+
+
+def leaf_rows(points: DataFrame, levels: int = LEAST_LEVELS) -> DataFrame:
+    """(leaf, f, asks): each point in its own leaf of every tree, and as a question in those that its ball overlaps."""
+    vantage = VANTAGE_POINTS[:levels]
+    block = lambda k: F.shiftrightunsigned("f", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    trees = F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("block")) for k in range(BLOCKS)])
+    placed = points.select("f", F.explode(trees).alias("t")).select("f", "t.k", "t.block")
+    leaf = lambda b: sum((F.shiftleft(F.bit_count(b.bitwiseXOR(F.lit(v))).cast("long"), 5 * i) for i, v in enumerate(vantage)), F.lit(0).cast("long"))
+    flips = F.array(*[F.lit(1 << i) for i in range(BLOCK_BITS)])
+    near = F.when(F.bit_count(F.col("block")) % 2 == 0, F.array_distinct(F.transform(flips, lambda bit: leaf(F.col("block").bitwiseXOR(bit))))).otherwise(F.array().cast("array<bigint>"))
+    ways = placed.select("f", "k", F.concat(F.array(leaf(F.col("block"))), near).alias("leaves"))
+    rows = ways.select("f", "k", F.posexplode("leaves").alias("way", "leaf"))
+    return rows.select(F.struct("k", "leaf").alias("leaf"), "f", (F.col("way") > 0).alias("asks"))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -118,46 +135,51 @@ def leaf_forest(own: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaf by leaf over rows that come sorted by leaf and part."""
-
-    def grouped() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            rows = np.empty((batch.num_rows, 4), np.int64)
-            for j in range(4):
-                rows[:, j] = batch.column(j).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            pieces = np.split(rows, cuts)
-            if held and len(pieces[0]) and (held[-1][-1, :2] != pieces[0][0, :2]).any():
-                yield np.concatenate(held)
-                held = []
-            for piece in pieces[:-1]:
-                yield np.concatenate([*held, piece]) if held else piece
-                held = []
-            if len(pieces[-1]):
-                held.append(pieces[-1])
-        if held:
-            yield np.concatenate(held)
-
-    a, b, n = [], [], 0
-    for group in grouped():
-        asks = group[:, 3] == 1
-        x, y = leaf_forest(group[~asks, 2].view(np.uint64), np.unique(group[asks, 2]).view(np.uint64))
+    """Leaf by leaf over rows that come sorted by leaf, part and asks: the own points are held, those that ask pass by in pieces."""
+    own: list[np.ndarray] = []
+    asking: list[np.ndarray] = []
+    n_asking, whole = 0, False
+    place: tuple[int, ...] | None = None
+
+    def compared() -> Iterator[pa.RecordBatch]:
+        nonlocal asking, n_asking, whole
+        if not own or whole and not asking:
+            return
+        points = np.concatenate(own).view(np.uint64)
+        asks = np.unique(np.concatenate(asking)).view(np.uint64) if asking else np.empty(0, np.uint64)
+        x, y = leaf_forest(points, asks)
+        asking, n_asking, whole = [], 0, True
         if len(x):
-            a.append(x.view(np.int64))
-            b.append(y.view(np.int64))
-            n += len(x)
-        if n > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b, n = [], [], 0
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        rows = np.empty((batch.num_rows, 5), np.int64)
+        for j in range(5):
+            rows[:, j] = batch.column(j).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+        for piece in np.split(rows, cuts):
+            if not len(piece):
+                continue
+            here = tuple(piece[0, :3].tolist())
+            if here != place:
+                yield from compared()
+                own, asking, n_asking, whole, place = [], [], 0, False, here
+            if piece[0, 3]:
+                for i in range(0, len(piece), LEAF_POINTS):
+                    asking.append(piece[i : i + LEAF_POINTS, 4])
+                    n_asking += len(asking[-1])
+                    if n_asking >= LEAF_POINTS:
+                        yield from compared()
+            else:
+                own.append(piece[:, 4])
+    yield from compared()
 
 
 def links(points: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column f) that connect what BITS_APART connects."""
-    rows = dealt(leaf_rows(points)).repartition("leaf", "part").sortWithinPartitions("leaf", "part")
-    return rows.select("leaf", "part", "f", F.col("asks").cast("int").alias("asks")).mapInArrow(_forests, "a bigint, b bigint").distinct()
+    rows = dealt(leaf_rows(points, levels_for(points.count()))).select("leaf.k", "leaf.leaf", "part", F.col("asks").cast("int").alias("asks"), "f")
+    sorted_rows = rows.repartition("k", "leaf", "part").sortWithinPartitions("k", "leaf", "part", "asks")
+    return sorted_rows.mapInArrow(_forests, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

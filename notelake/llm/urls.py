@@ -4,8 +4,9 @@ The model sees hashed character n-grams of the host and of the path. It is fitte
 table that is built from the fixed words below; its weights become one SQL expression, so judging a table
 of URLs is a projection without shuffle and without Python.
 
-A null URL, or one without ``://``, has an empty host and path; the model then judges its bias alone. No
-other column is read, repeated rows get equal verdicts, and an empty table gives an empty table.
+The labelled table holds no host of the tables that the model is used on. A null URL, or one without ``://``, has an empty host and path; the model then judges its bias alone. No
+other column is read, repeated rows get equal verdicts, very long URLs are judged whole, and an empty table gives an empty table. Given columns
+host, path, rule, verdict and score are replaced.
 """
 
 from __future__ import annotations
@@ -22,21 +23,27 @@ from notelake.llm.shared import ascii_lower, table
 #: (host, path prefix, verdict). A rule holds for the host and all its subdomains.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Fixed words of the labelled table: name parts of unwanted and of ordinary hosts, their ends, and paths.
-BAD_HOSTS = (
-    "casino", "poker", "slots", "jackpot", "betting", "free-bets", "lotto-win", "cheap-pills", "viagra", "pharma-deal", "diet-pills", "adult-cam", "xxx-video", "hot-dating",
-    "spam-farm", "link-farm", "click-bait", "ads-track", "adserver", "tracker", "pop-ads", "crack-warez", "keygen", "torrent-free", "replica-watch", "payday-loan", "fast-cash", "crypto-double", "malware-kit", "phish-login",
+#: Fixed words of the labelled table: what unwanted hosts are about and what is put before and behind it, words of ordinary hosts, and syllables for names without a sense.
+BAD_WORDS = (
+    "casino", "poker", "slots", "jackpot", "betting", "sportsbet", "bets", "bookmaker", "lottery", "viagra", "pharmacy", "pills", "dietpills", "adult", "adultcam", "xxxtube", "porn", "hookup", "escort",
+    "spam", "spammer", "phishing", "malware", "trojan", "warez", "keygen", "cracks", "torrent", "replica", "payday", "quickloan", "getrich", "doubler", "adserver", "adsclick", "tracker", "popunder", "clickbait", "linkfarm",
 )
-GOOD_HOSTS = (
-    "garden", "library", "history", "science", "recipes", "weather", "museum", "school", "university", "journal", "gazette", "council", "hospital", "railway", "theatre", "orchestra",
-    "mountain", "harbour", "bakery", "cinema", "sports-club", "reading-room", "open-source", "docs", "forum", "notes", "maps", "archive", "kitchen", "travel-guide",
-    "thther", "tionsh", "therin", "heroun", "ererth", "schule", "verein", "ecole", "mairie", "escuela",
+BAD_STARTS, BAD_ENDS = ("best-", "my-", "top", "buy-"), ("", "-bonus", "-deal", "-zone", "4u", "-hub", "-online", "-pro")
+GOOD_WORDS = (
+    "garden", "library", "history", "science", "recipes", "weather", "museum", "school", "university", "journal", "gazette", "council", "hospital", "railway", "theatre", "orchestra", "mountain", "harbour", "bakery", "cinema",
+    "sports-club", "reading-room", "open-source", "docs", "forum", "notes", "maps", "archive", "kitchen", "travel-guide", "schule", "verein", "ecole", "mairie", "escuela", "radio", "village", "chess-club", "city-hall", "photo-blog",
+)
+SYLLABLES = ("ba", "le", "ri", "mo", "nu", "tha", "er", "en", "st", "ion", "ly", "or")
+#: Hosts to measure the model on: none shares a word with the labelled table.
+HELD_OUT = (
+    *((h, 1.0) for h in ("roulette-vip", "blackjack-palace", "megabets", "freeslot-spins", "cialis-store", "cheappills", "nude-cams", "sexdating", "spamlink", "ad-tracking", "cracked-apps", "loans-fast", "fake-replicas", "clickads", "pornhubby")),
+    *((h, 0.0) for h in ("carpentry", "geology-dept", "poetry-circle", "newspaper", "parliament", "astronomy", "cycling-tours", "pottery", "meteorology", "genealogy", "fire-brigade", "allotments", "zoology", "translation", "bookshop")),
 )
 PREFIXES, SUFFIXES = ("", "www.", "blog.", "m."), (".example.com", ".example.org", ".example.net", ".test")
 PATHS = ("/en/421", "/de/17.html", "/fr/news/3", "/es/12/", "", "/en/88.html", "/fr/5", "/")
 BAD_PATHS = ("/win/bonus", "/buy-now/deal", "/go/click?aff=1", "/free/spins")
 #: N-gram lengths and hash slots of a feature vector; hosts and paths have slots of their own.
-GRAMS, SLOTS = (3, 4), 1024
+GRAMS, SLOTS = (3, 4), 4096
 #: A URL is blocked above this probability.
 THRESHOLD = 0.5
 
@@ -73,15 +80,19 @@ def gram_slots(host: Column, path: Column) -> Column:
     return F.concat(*[slots(text, n, part) for part, text in enumerate((host, path)) for n in GRAMS])
 
 
+def named_urls(hosts: Sequence[tuple[str, float]]) -> list[tuple[str, float]]:
+    """(url, label) of each host with every prefix, ends and paths in turn."""
+    return [(f"https://{prefix}{word}{SUFFIXES[(i + j) % len(SUFFIXES)]}{PATHS[(i + 3 * j) % len(PATHS)]}", label) for i, (word, label) in enumerate(hosts) for j, prefix in enumerate(PREFIXES)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The training table (url, label 1 for unwanted): every host word with every prefix, ends and paths in turn."""
-    rows = []
-    for label, hosts in ((1.0, BAD_HOSTS), (0.0, GOOD_HOSTS)):
-        for i, word in enumerate(hosts):
-            for j, prefix in enumerate(PREFIXES):
-                rows.append((f"https://{prefix}{word}{SUFFIXES[(i + j) % len(SUFFIXES)]}{PATHS[(i + 3 * j) % len(PATHS)]}", label))
+    """The training table (url, label 1 for unwanted): unwanted words with some start or end, ordinary words, and names of three syllables."""
+    names = [f"{a}{b}{c}" for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for k, c in enumerate(SYLLABLES) if (i + 5 * j + 7 * k) % 13 == 0]
+    bad = [(word + BAD_ENDS[(i + 3 * j) % len(BAD_ENDS)], 1.0) for i, word in enumerate(BAD_WORDS) for j in range(2)]
+    bad += [(BAD_STARTS[(i + j) % len(BAD_STARTS)] + word, 1.0) for i, word in enumerate(BAD_WORDS) for j in range(2)]
+    rows = named_urls(bad) + named_urls([(x, 0.0) for x in (*GOOD_WORDS, *names)])
     for i, path in enumerate(BAD_PATHS):
-        rows += [(f"http://{PREFIXES[j]}{GOOD_HOSTS[i + 7 * j]}{SUFFIXES[j]}{path}", 1.0) for j in range(len(PREFIXES))]
+        rows += [(f"http://{PREFIXES[j]}{GOOD_WORDS[i + 7 * j]}{SUFFIXES[j]}{path}", 1.0) for j in range(len(PREFIXES))]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -91,8 +102,10 @@ def fit(labelled: DataFrame) -> tuple[list[float], float]:
     numbers = F.sequence(F.lit(0), F.lit(SLOTS - 1))
     #: The slots are bound once as a lambda's argument; a plain column would be computed anew for each number.
     dense = F.transform(F.array(F.array_distinct(gram_slots(host, path))), lambda slots: F.transform(numbers, lambda i: F.array_contains(slots, i).cast("double")))[0]
-    rows = labelled.select("label", array_to_vector(dense).alias("features")).coalesce(1)
-    model = LogisticRegression(maxIter=60, regParam=0.01, standardization=False).fit(rows)
+    n = labelled.groupBy("label").count().collect()  # two rows: both labels weigh the same in sum
+    weight = F.create_map(*[F.lit(x) for r in n for x in (r["label"], 1.0 / r["count"])])[F.col("label")]
+    rows = labelled.select("label", array_to_vector(dense).alias("features"), weight.alias("weight")).coalesce(1)
+    model = LogisticRegression(maxIter=100, regParam=0.002, standardization=False, weightCol="weight").fit(rows)
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 

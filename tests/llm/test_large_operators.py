@@ -248,8 +248,10 @@ def test_components_equal_brute_force(spark, docs):
     assert sorted(r.doc_id for r in kept) == sorted(set(least.values())) and simhash.near_duplicates(docs(*rows).limit(0)).count() == 0
 
 
-def test_links_of_dense_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF_POINTS", 50)
+@pytest.mark.parametrize("leaf_points, points_a_leaf", [(50, 1_000), (7, 1)])
+def test_links_of_dense_fingerprints(spark, monkeypatch, leaf_points, points_a_leaf):
+    monkeypatch.setattr(simhash, "LEAF_POINTS", leaf_points)
+    monkeypatch.setattr(simhash, "POINTS_A_LEAF", points_a_leaf)
     rng = random.Random(1)
     points = {0, -1} | {rng.getrandbits(64) for _ in range(200)}
     for p in list(points)[:40]:

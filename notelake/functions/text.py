@@ -5,6 +5,8 @@ White space means Unicode white space and the separators U+001C to U+001F, as in
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +21,13 @@ def let(value: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Without white space at both ends. A run inside is passed once: it is only entered at its first character, and given up whole."""
+    return F.regexp_replace(c, rf"(?U)\A{WS}++|(?<!{WS}){WS}++\z", "")
+
+
+def strip_any(c: Column, characters: str) -> Column:
+    """Without those characters (inside a regular expression's brackets) at both ends."""
+    return F.regexp_replace(c, rf"\A[{characters}]++|(?<![{characters}])[{characters}]++\z", "")
 
 
 def collapse(c: Column) -> Column:
@@ -40,10 +48,14 @@ def norm_ext(c: Column) -> Column:
     return strip(F.regexp_replace(collapse(F.lower(strip(c))), "[“”\"'`]", ""))
 
 
+def without_sentence_end(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?<![.!?。！？])[.!?。！？]++\z", "")
+
+
 def norm_db(c: Column) -> Column:
     """norm_ext without a run of sentence ends at the end."""
     text = F.regexp_replace(collapse(F.lower(strip(c))), "[“”\"'`]", "")
-    return strip(F.regexp_replace(text, r"[.!?。！？]+\z", ""))
+    return strip(without_sentence_end(text))
 
 
 def item_key(kind: Column, language: Column, normalized: Column) -> Column:
@@ -95,14 +107,13 @@ def safe_tag(c: Column) -> Column:
     """A tag part: a-z, digits, underscore, slash and hyphen; empty gives unknown."""
     text = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), rf"(?U){WS}+", "_"), r"\+", "plus")
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9_/-]", ""), "_+", "_")
-    text = F.regexp_replace(text, r"\A[_/-]+|[_/-]+\z", "")
-    return let(text, lambda t: F.when(t == "", "unknown").otherwise(t))
+    return let(strip_any(text, "_/-"), lambda t: F.when(t == "", "unknown").otherwise(t))
 
 
 def fix_path(c: Column) -> Column:
-    """A path value without quotes, with single forward slashes."""
-    text = F.regexp_replace(strip(c), r"\A[\"']+|[\"']+\z", "")
-    return F.regexp_replace(F.regexp_replace(text, r"\\", "/"), "/{2,}", "/")
+    """A path value with single forward slashes, without one layer of matching double quotes and then one of single quotes."""
+    bare = lambda x, q: F.regexp_replace(x, rf"(?s)\A{q}(.*){q}\z", "$1")
+    return F.regexp_replace(F.regexp_replace(bare(bare(strip(c), '"'), "'"), r"\\+", "/"), "/{2,}", "/")
 
 
 def source_type(c: Column) -> Column:
@@ -113,7 +124,15 @@ def source_type(c: Column) -> Column:
     )
 
 
+def _accented() -> tuple[str, str]:
+    """Every small letter of the Latin, Greek and Cyrillic blocks that Unicode takes apart into a letter and marks, and that letter."""
+    blocks = (range(0xC0, 0x250), range(0x370, 0x530), range(0x1E00, 0x2000))
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for block in blocks for c in block]
+    whole = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:]) and c == c.lower()]
+    return "".join(c for c, _ in whole), "".join(d for _, d in whole)
+
+
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits in lower case, without the accents of Western European letters."""
-    plain = F.translate(F.lower(c), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Runs of letters and digits in lower case, without accents: composed letters lose them, combining marks go."""
+    plain = F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), *_accented())
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda x: x != "")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.functions.text import strip
+from notelake.operators.notes import fm_lines, with_front_matter
+
 #: Fixed default of the data model.
 STALE_DAYS = 14
 VIEWS = ("never-accessed", "least-accessed", "oldest-accessed", "recently-accessed", "high-seen-low-access", "stale-learning")
@@ -58,28 +61,27 @@ def activity_report(view: DataFrame, name: str, as_of: str, n: int = 20, languag
     return rows.filter(keep).orderBy(*order, "item_key").limit(n)
 
 
-#: Properties of a note that activity keeps up to date.
-SYNCED = ("review_status", "review_priority", "access_count", "last_accessed_at")
+#: Properties of a note that activity keeps up to date, in the order in which missing ones are appended.
+SYNCED = ("access_count", "last_accessed_at", "last_reviewed_at", "review_status", "review_priority", "stale_after_days")
 
 
 def sync_activity(parsed: DataFrame, view: DataFrame, only_active: bool = True) -> DataFrame:
-    """(path, n_changed, new_fm): front matter with the synced properties replaced in place, missing ones appended."""
+    """(path, n_changed, text) of notes whose front matter differs: synced properties replaced in place, missing ones appended.
+
+    view may lack last_reviewed_at, which no touch sets; it is then empty.
+    """
     rows = view.filter("access_count > 0") if only_active else view
-    shown = {"review_status": F.col("review_status"), "review_priority": F.col("review_priority"), "access_count": F.col("access_count").cast("string"), "last_accessed_at": F.coalesce(F.date_format("last_accessed_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))}
-    wanted = rows.select(F.col("obsidian_path").alias("path"), *[v.alias(f"new_{k}") for k, v in shown.items()])
-    notes = parsed.filter("has_fm").join(wanted, "path")
-    lines = F.filter(F.split(F.regexp_replace("raw_fm", r"\A\n+|\n+\z", ""), "\n"), lambda x: x.isNotNull())
-    key = lambda line: F.regexp_extract(line, r"\A([A-Za-z0-9_]+)\s*:", 1)
-    fresh = {k: F.concat(F.lit(f"{k}: "), F.col(f"new_{k}")) for k in SYNCED}
-
-    def replaced(line: Column) -> Column:
-        out = line
-        for k, text in fresh.items():
-            out = F.when(key(line) == k, text).otherwise(out)
-        return out
-
-    present = F.transform(lines, key)
-    missing = F.array_compact(F.array(*[F.when(~F.array_contains(present, k), text) for k, text in fresh.items()]))
-    new = F.concat(F.transform(lines, replaced), missing)
-    changed = F.size(F.array_except(new, lines))
-    return notes.select("path", changed.alias("n_changed"), F.array_join(new, "\n").alias("new_fm")).filter("n_changed > 0")
+    time = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    shown = {k: time(k) if k.endswith("_at") and k in view.columns else F.col(k).cast("string") if k in view.columns else F.lit("") for k in SYNCED}
+    wanted = rows.select(F.col("obsidian_path").alias("path"), F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in shown.items()]).alias("wanted"))
+    notes = parsed.filter("has_fm").join(wanted, "path").withColumn("lines", fm_lines())
+    key = lambda line: F.regexp_extract(line, r"\A\s*([A-Za-z0-9_]+)\s*:", 1)
+    said = lambda indent, w: F.concat(indent, w["key"], F.when(w["value"] == "", ":").otherwise(F.concat(F.lit(": "), w["value"])))
+    mine = lambda line: F.filter("wanted", lambda w: w["key"] == key(line))[0]
+    value = lambda line: strip(F.regexp_replace(line, r"\A\s*[A-Za-z0-9_]+\s*:", ""))
+    replaced = F.transform("lines", lambda line: F.when(key(line).isin(*SYNCED), said(F.regexp_extract(line, r"\A(\s*)", 1), mine(line))).otherwise(line))
+    present = F.transform("lines", key)
+    missing = F.filter("wanted", lambda w: ~F.array_contains(present, w["key"]))
+    other = F.filter("lines", lambda line: key(line).isin(*SYNCED) & (value(line) != mine(line)["value"]))
+    changed = notes.withColumns({"n_changed": F.size(missing) + F.size(other), "new_lines": F.concat(replaced, F.transform(missing, lambda w: said(F.lit(""), w)))})
+    return changed.filter("n_changed > 0").select("path", "n_changed", with_front_matter(F.array_join("new_lines", "\n")).alias("text"))

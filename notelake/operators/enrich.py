@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import LINK, collapse, norm_db, norm_ext, note_link, section, stem, strip, without_md
+from notelake.functions.text import LINK, collapse, norm_db, norm_ext, note_link, section, stem, strip, strip_any, without_md
 from notelake.operators.index import filled, item_language, item_type
 from notelake.operators.notes import links_of, prop, transcript_text
 
@@ -36,7 +36,7 @@ def transcripts(parsed: DataFrame) -> DataFrame:
 
 def safe_name(sentence: Column, most: int = 80) -> Column:
     """A file name for a sentence."""
-    name = F.regexp_replace(collapse(F.regexp_replace(strip(sentence), r'[\\/:*?"<>|]', " ")), r"\A[ .]+|[ .]+\z", "")
+    name = strip_any(collapse(F.regexp_replace(strip(sentence), r'[\\/:*?"<>|]', " ")), " .")
     return F.concat(F.when(name == "", "Untitled Sentence").otherwise(F.rtrim(F.left(name, F.lit(most)))), F.lit(".md"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import basename, clean_body, item_key, let, norm_db, note_link, safe_tag, stem, strip, without_md
@@ -118,9 +118,8 @@ def build_items(parsed: DataFrame, as_of: str) -> DataFrame:
     counted = note_items(parsed).filter("skip_reason IS NULL").drop("skip_reason", "body")
     filled = counted.withColumns({c: F.when(F.col(c) == "", as_of).otherwise(F.col(c)) for c in ("created_at", "updated_at")})
     key = ["type", "language", "normalized"]
-    last, whole = Window.partitionBy(*key).orderBy(F.desc("path")), Window.partitionBy(*key)
-    ranked = filled.withColumns({"__k": F.row_number().over(last), "created_at": F.min_by("created_at", "path").over(whole), "first_path": F.min("path").over(whole)})
-    return ranked.filter("__k = 1").drop("__k", "path").withColumn("item_key", item_key(F.col("type"), F.col("language"), F.col("normalized")))
+    rows = filled.groupBy(*key).agg(F.max_by(F.struct(*[c for c in filled.columns if c not in (*key, "path", "created_at")]), "path").alias("last"), F.min_by("created_at", "path").alias("created_at"), F.min("path").alias("first_path"))
+    return rows.select(*key, "last.*", "created_at", "first_path").withColumn("item_key", item_key(F.col("type"), F.col("language"), F.col("normalized")))
 
 
 def item_tags(items: DataFrame, column: str) -> DataFrame:

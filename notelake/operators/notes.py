@@ -27,6 +27,16 @@ def split_frontmatter(notes: DataFrame) -> DataFrame:
     })
 
 
+def fm_lines() -> Column:
+    """The lines of raw_fm, without empty ones at both ends."""
+    return F.split(F.regexp_replace("raw_fm", r"\A\n++|(?<!\n)\n++\z", ""), "\n")
+
+
+def with_front_matter(lines: Column) -> Column:
+    """The note's text with other front matter, an empty line, and its body."""
+    return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), F.col("body"))
+
+
 def scalar(value: Column) -> Column:
     """A value without one layer of matching quotes; null words are empty."""
     quoted = (F.length(value) >= 2) & ((value.startswith('"') & value.endswith('"')) | (value.startswith("'") & value.endswith("'")))
@@ -129,14 +139,19 @@ def transcript_text(body: Column) -> Column:
     return norm_cell(text)
 
 
+def shown_links(c: Column) -> Column:
+    """Links and embeds as what they show: the alias, or the last part of the target."""
+    text = F.regexp_replace(c, r"(?U)!?\[\[[^\]|]+\|\s*+([^\]]*?)\s*\]\]", "$1")
+    return F.regexp_replace(text, r"(?U)!?\[\[(?:[^\]|]*[/\\])?\s*([^\]|/\\]*?)\s*\]\]", "$1")
+
+
 def clean_display(c: Column) -> Column:
-    """Note text for display: no front matter, links as what they show, headings bold, two empty lines at most."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)\A---\n.*?\n---\n?", "")
-    text = F.regexp_replace(text, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1")
-    text = F.regexp_replace(text, r"\[\[(?:[^\]|]*/)?([^\]|/]+)\]\]", "$1")
-    text = F.regexp_replace(text, r"(?m)^#{1,6}[ \t]+([^\n]+?)[ \t]*$", "**$1**")
+    """Note text for display: no front matter, links as what they show, headings bold, one empty line at most between others."""
+    text = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?s)\A---[ \t]*\n(?:.*?\n)??[ \t]*---[ \t]*(?:\n|\z)", "")
+    text = F.regexp_replace(shown_links(text), r"(?m)^[ \t]*#{1,6}[ \t]+(\S[^\n]*?)[ \t]*$", "**$1**")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def clean_inline(c: Column) -> Column:
-    return norm_cell(F.regexp_replace(clean_display(c), "`", ""))
+    """A text on one line: links as what they show, code without its backticks. Front matter and headings stay."""
+    return norm_cell(F.regexp_replace(shown_links(F.coalesce(c, F.lit(""))), "`([^`]+)`", "$1"))

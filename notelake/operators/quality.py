@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.text import collapse, fix_path, item_key, strip
+from notelake.functions.text import collapse, fix_path, item_key, strip, without_sentence_end
 from notelake.operators.index import filled
-from notelake.operators.notes import prop
+from notelake.operators.notes import fm_lines, prop, with_front_matter
+from notelake.sources.tables import written
 
 #: Note type, key type, folder by language, required properties.
 NOTE_TYPES = (
@@ -48,7 +49,7 @@ def norm_key(df: DataFrame, text: str, kind: str) -> DataFrame:
     """df with columns key_text and operations (the steps that changed the text, in order)."""
     final = F.lower(strip(F.col(kind))).isin(*NO_FINAL_PUNCTUATION)
     steps = df.withColumn("__0", F.col(text)).withColumn("__1", nfkc(F.col("__0"))).withColumn("__2", strip(F.col("__1"))).withColumn("__3", collapse(F.col("__2"))).withColumn("__4", casefold(F.col("__3")))
-    steps = steps.withColumn("__5", F.when(final, strip(F.regexp_replace("__4", r"[.!?。！？]+\z", ""))).otherwise(F.col("__4")))
+    steps = steps.withColumn("__5", F.when(final, strip(without_sentence_end(F.col("__4")))).otherwise(F.col("__4")))
     names = ("unicode:NFKC", "trim", "collapse_whitespace", "casefold", "strip_terminal_punctuation")
     done = F.array_compact(F.array(*[F.when(F.col(f"__{i}") != F.col(f"__{i + 1}"), n) for i, n in enumerate(names)]))
     return steps.withColumns({"key_text": F.col("__5"), "operations": done}).drop(*[f"__{i}" for i in range(6)])
@@ -138,16 +139,72 @@ def sync_tags(parsed: DataFrame, tags: DataFrame) -> DataFrame:
     return rows.select("path", F.when(F.col("has_fm"), new).otherwise(F.col("text")).alias("text"))
 
 
-PATH_FIELDS = ("source_file", "source_path", "audio_path")
+#: The properties that hold paths.
+PATH_FIELDS = ("source_path", "audio_path", "video_path")
 
 
 def fix_paths(parsed: DataFrame) -> DataFrame:
-    """(path, text): path values of the front matter with single forward slashes and no quotes."""
-    key = lambda x: F.regexp_extract(x, r"\A([a-z_]+)\s*:", 1)
-    repaired = lambda x: F.when(key(x).isin(*PATH_FIELDS), F.concat(key(x), F.lit(": "), fix_path(F.regexp_replace(x, r"\A[a-z_]+\s*:", "")))).otherwise(x)
-    lines = F.array_join(F.transform(F.split("raw_fm", "\n"), repaired), "\n")
-    new = F.concat(F.lit("---"), lines, F.lit("---"), F.substr("text", F.length("raw_fm") + 7))
-    return parsed.select("path", F.when(F.col("has_fm"), new).otherwise(F.col("text")).alias("text"))
+    """(path, text): path values of the front matter with single forward slashes and no quotes. Notes without a path to mend stay as they are."""
+    lead = lambda x: F.regexp_extract(x, r"\A(\s*[A-Za-z0-9_]+\s*:\s*)", 1)
+    value = lambda x: F.substr(x, F.length(lead(x)) + 1, F.length(x))
+    wrong = lambda x: F.regexp_extract(x, r"\A\s*([A-Za-z0-9_]+)\s*:", 1).isin(*PATH_FIELDS) & (fix_path(value(x)) != strip(value(x)))
+    rows = parsed.withColumn("__lines", fm_lines())
+    mended = F.array_join(F.transform("__lines", lambda x: F.when(wrong(x), F.concat(lead(x), fix_path(value(x)))).otherwise(x)), "\n")
+    new = with_front_matter(mended)
+    return rows.select("path", F.when(F.col("has_fm") & F.exists("__lines", wrong), new).otherwise(F.col("text")).alias("text"))
+
+
+#: Where the key of a note may stand, in order.
+NORMALIZED_FIELDS, KEY_FIELDS = ("normalized", "normalized_text", "canonical"), ("item_key", "key", "id")
+#: The start of a key inside a text: type, language, and what follows up to the end of the first run of letters and digits.
+KEY_START = r"[A-Za-z0-9_-]+\|[A-Za-z0-9_-]+\|"
+BLOCK = rf"\A({KEY_START})[^\p{{L}}\p{{N}}\n]*([\p{{L}}\p{{N}}]*)"
+
+
+def own_key_renamed(parsed: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(path, text): the first normalized field and the first key field of notes in renamed(path, new_key) hold the new key."""
+    rows = parsed.join(renamed.select("path", F.col("new_key").alias("__new")), "path", "left").withColumn("__lines", fm_lines())
+    name = lambda x: F.regexp_extract(x, r"\A([A-Za-z0-9_]+)\s*:", 1)
+    held = F.transform("__lines", name)
+    values = {NORMALIZED_FIELDS: F.element_at(F.split("__new", r"\|", 3), 3), KEY_FIELDS: F.col("__new")}
+    first = {fields: F.coalesce(*[F.when(F.array_contains(held, f), f) for f in fields]) for fields in values}
+
+    def line(x: Column) -> Column:
+        out = x
+        for fields, value in values.items():
+            out = F.when(name(x) == first[fields], F.concat(first[fields], F.lit(": "), value)).otherwise(out)
+        return out
+
+    changes = F.col("has_fm") & F.col("__new").isNotNull() & F.coalesce(*first.values()).isNotNull()
+    return rows.select("path", F.when(changes, with_front_matter(F.array_join(F.transform("__lines", line), "\n"))).otherwise(F.col("text")).alias("text"))
+
+
+def rewrite_keys(notes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(path, text, n_replaced): every whole old key of mapping(old_key, new_key) in any note's text replaced by the new one.
+
+    Texts are cut where a key may start. A piece meets only those old keys that have its type, language and first run of letters and
+    digits, of which the longest that the piece starts with wins; so nothing is replaced twice, and no key inside a longer one. A key
+    ends before a character that is no letter or digit, or where another key starts.
+    """
+    pieces = notes.select("path", F.posexplode(F.split("text", rf"(?<![\p{{L}}\p{{N}}_|-])(?={KEY_START})", -1)).alias("pos", "piece"))
+    head, block = lambda c: F.regexp_extract(c, BLOCK, 1), lambda c: F.concat(F.regexp_extract(c, BLOCK, 1), F.regexp_extract(c, BLOCK, 2))
+    old = mapping.filter("old_key <> new_key").select(block(F.col("old_key")).alias("block"), "old_key", "new_key").distinct()
+    #: A key without letters and digits of its own has no run, whatever follows it in a text.
+    starts = pieces.withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("piece")), head(F.col("piece")))))).filter("block <> ''").join(old, "block")
+    whole = F.startswith("piece", "old_key") & ~F.substr("piece", F.length("old_key") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+    best = starts.filter(whole).groupBy("path", "pos").agg(F.max_by(F.struct("old_key", "new_key"), F.length("old_key")).alias("k"))
+    mended = pieces.join(best.select("path").distinct(), "path", "left_semi").join(best, ["path", "pos"], "left")
+    now = F.coalesce(F.concat("k.new_key", F.substr("piece", F.length("k.old_key") + 1, F.length("piece"))), F.col("piece"))
+    texts = mended.select("path", F.struct("pos", now.alias("t")).alias("p"), F.col("k").isNotNull().cast("long").alias("hit")).groupBy("path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("new"), F.sum("hit").alias("n")
+    )
+    return notes.join(texts, "path", "left").select("path", F.coalesce("new", "text").alias("text"), F.coalesce("n", F.lit(0).cast("long")).alias("n_replaced"))
+
+
+def migrate_keys(parsed: DataFrame, audit: DataFrame) -> DataFrame:
+    """(path, text, n_replaced): the changed keys of audit_keys carried out, in the notes that have them and wherever else they stand."""
+    changed = written(audit.filter("changed").select("path", "old_key", "new_key"), "key-changes")
+    return rewrite_keys(own_key_renamed(parsed, changed), changed.groupBy("old_key").agg(F.min("new_key").alias("new_key")))
 
 
 def quality_gate(issues: DataFrame, audit: DataFrame, relation_issues: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import norm_db, preview, tokens
+from notelake.sources.tables import written
 
 GRAM = 3
 K1, B = 1.2, 0.75
@@ -197,7 +198,7 @@ def bm25(postings: DataFrame, q: DataFrame, matches: DataFrame) -> DataFrame:
 
 def text_search(docs: DataFrame, q: DataFrame, n: int = 10) -> DataFrame:
     """Phrase matches first, then documents with all terms, each by score; n per query and the pass that found them."""
-    postings = build_postings(docs)
+    postings = written(build_postings(docs), "postings")
     both = phrase_match(postings, q).withColumn("pass", F.lit(1)).unionByName(all_terms_match(postings, q).withColumn("pass", F.lit(2)))
     found = both.groupBy("qid", "path").agg(F.min("pass").alias("pass"))
     asked = q.select("qid", F.col("language").alias("q_language"), F.col("type").alias("q_type"))

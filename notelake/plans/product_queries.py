@@ -18,6 +18,7 @@ from notelake.operators import study as Y
 from notelake.plans import oracle as O
 from notelake.plans.graph_queries import GRAPH, audit, relations_of
 from notelake.plans.index_queries import ITEM_COLUMNS, items_of, parsed, stored
+from notelake.plans.index_queries import ORACLE as INDEX_ORACLE
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.search_queries import _act, _sentences, activity_view, touched
 from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, view
@@ -75,8 +76,21 @@ def h9_sync_tags(spark, sf_dir):
     return H.sync_tags(notes, I.metadata_tags(notes))
 
 
+#: The notes view with a path to mend in every transcript.
+ODD_PATHS = f"SELECT path, replace(text, 'source_file: rec_', 'source_path: D:/' || '/audio' || chr(92) || chr(92) || 'rec_') AS text FROM ({NOTES}) n"
+
+
+def h5_migrate_keys(spark, sf_dir):
+    """Key changes carried out in notes that name their own key at the end."""
+    notes = stored(spark, sf_dir)
+    keys = written(H.audit_keys(keys_of(notes)), "key-audit")
+    named = notes.join(keys.select("path", "old_key"), "path", "left").withColumn("text", F.concat("text", F.coalesce(F.concat(F.lit("\n\n<"), "old_key", F.lit(">\n")), F.lit("")))).drop("old_key")
+    return H.migrate_keys(N.split_frontmatter(named), keys)
+
+
 def h10_fix_paths(spark, sf_dir):
-    return H.fix_paths(stored(spark, sf_dir))
+    notes = spark.sql(ODD_PATHS.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return H.fix_paths(N.split_frontmatter(notes))
 
 
 def h11_run_summary(spark, sf_dir):
@@ -125,9 +139,7 @@ def k1_touch_stream(spark, sf_dir):
     """The touches as a stream of files; the result is the table after the last of them."""
     folder = f"{shared_folder(spark).rstrip('/')}/touch-stream-{uuid.uuid4().hex}"
     touched(spark, sf_dir, items_of(stored(spark, sf_dir))).write.parquet(f"{folder}/in")
-    name = f"touch_counts_{uuid.uuid4().hex}"
-    incremental.run_touch_stream(spark, f"{folder}/in", name, f"{folder}/state").awaitTermination()
-    return spark.table(name)
+    return incremental.run_touch_stream(spark, f"{folder}/in", f"{folder}/counts", f"{folder}/state")
 
 
 def k2_item_stream(spark, sf_dir):
@@ -145,7 +157,10 @@ def b20_safe_name(spark, sf_dir):
 
 
 def b21_fix_path(spark, sf_dir):
-    odd = F.concat(F.lit('"C:\\\\'), F.regexp_replace("path", "/", r"\\\\\\\\"), F.lit('" '))
+    """Values with backslashes, and quotes that match, do not match, or come twice, by the length of the path."""
+    back, n = F.concat(F.lit("C:"), F.lit("\\" * 2), F.regexp_replace("path", "/", r"\\\\\\\\")), F.length("path") % 4
+    quoted = lambda a, b: F.concat(F.lit(a), back, F.lit(b))
+    odd = F.when(n == 0, quoted('"', '" ')).when(n == 1, quoted("'", "")).when(n == 2, quoted("\"'", "'\"")).otherwise(quoted('""', '""'))
     return view(spark, sf_dir, NOTES).select("path", fix_path(odd).alias("fixed"))
 
 
@@ -158,7 +173,7 @@ def b23_review_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
+        a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h5_migrate_keys, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j2_deck_summary, k1_touch_stream,
         k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, b20_safe_name, b21_fix_path, b23_review_status,
     )
@@ -253,12 +268,12 @@ vocab AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_term')}, ''), {O
 phrases AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_sentence')}, ''), {O.stem('path')})")} AS phrase, coalesce(nullif(lower({O.strip('p_language')}), ''), 'unknown') AS lang FROM props WHERE has_fm AND lower({O.strip('p_type')}) = 'sentence')
 """
 ORACLE |= {
-    "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, lower(section) AS language FROM words",
+    "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END AS language FROM words",
     "i7_upsert_vocabulary": f"WITH {_tables} SELECT 'Vocabulary/' || section || '/' || word || '.md' AS path, 1 AS seen_count, '{AS_OF[:10]}' AS last_seen, 'created' AS action FROM words GROUP BY 1",
     "k2_item_stream": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
     "b8_transcript_text": SPOKEN.replace("WHERE has_fm AND type = 'transcript'", "WHERE has_fm") + "SELECT path, md5(text) AS digest FROM spoken",
     "b20_safe_name": f"SELECT doc_id, {_name('text')} AS name FROM documents",
-    "b21_fix_path": f"WITH notes AS ({NOTES}) SELECT path, 'C:/' || path AS fixed FROM notes",
+    "b21_fix_path": f"WITH notes AS ({NOTES}) SELECT path, CASE length(path) % 4 WHEN 1 THEN chr(39) || 'C:/' || path WHEN 3 THEN chr(34) || 'C:/' || path || chr(34) ELSE 'C:/' || path END AS fixed FROM notes",
     "b23_review_status": PRELUDE
     + _act
     + f""" SELECT item_key, CASE WHEN status IN ('ignored', 'archived') THEN 'ignored' WHEN access_count = 0 THEN 'unreviewed' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(date_trunc('second', last_accessed_at)) >= 86400 * stale_after_days THEN 'stale' ELSE 'active' END AS review_status FROM act_view""",
@@ -270,3 +285,17 @@ ORACLE |= {
     + """SELECT s.path AS sentence_path, v.path AS term_path FROM phrases s JOIN vocab v ON v.lang = s.lang AND length(v.term) >= 3 AND contains(s.phrase, v.term)
     WHERE contains(v.term, ' ') OR regexp_matches(' ' || s.phrase || ' ', '[^A-Za-z0-9_ÄÖÜäöüß]' || regexp_escape(v.term) || '[^A-Za-z0-9_ÄÖÜäöüß]')""",
 }
+
+#: Display text from lines and regular expressions of another dialect.
+_bare = f"regexp_replace({O.strip('text')}, '\\A---[ \\t]*\\n(?:(?s:.*?)\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)', '')"
+_linked = f"regexp_replace(regexp_replace({_bare}, '!?\\[\\[[^\\]|]+\\|{O.S}*([^\\]]*?){O.S}*\\]\\]', '\\1', 'g'), '!?\\[\\[(?:[^\\]|]*[/\\\\])?{O.S}*([^\\]|/\\\\]*?){O.S}*\\]\\]', '\\1', 'g')"
+_bold = f"regexp_replace({_linked}, '(?m)^[ \\t]*#{{1,6}}[ \\t]+([^\\s][^\\n]*?)[ \\t]*$', '**\\1**', 'g')"
+_mended = """list_transform(string_split(regexp_replace(raw_fm, '^\\n+|\\n+$', '', 'g'), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\\s*(source_path|audio_path|video_path)\\s*:')
+    THEN regexp_extract(x, '^\\s*[A-Za-z0-9_]+\\s*:\\s*') || regexp_replace(regexp_replace(regexp_replace(x, '^\\s*[A-Za-z0-9_]+\\s*:\\s*', ''), '\\\\+', '/', 'g'), '/+', '/', 'g') ELSE x END)"""
+ORACLE |= {
+    "b9_clean_display": PRELUDE + f"SELECT path, {O.strip(f"regexp_replace({_bold}, '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS shown FROM notes",
+    "h10_fix_paths": PRELUDE.replace(f"WITH notes AS ({NOTES})", f"WITH notes AS ({ODD_PATHS})")
+    + f"SELECT path, CASE WHEN has_fm AND contains(raw_fm, 'source_path:') THEN '---' || chr(10) || array_to_string({_mended}, chr(10)) || chr(10) || '---' || chr(10) || chr(10) || body ELSE text END AS text FROM cut",
+    "h9_sync_tags": f"WITH tagged AS ({INDEX_ORACLE['b19_metadata_tags']}), notes AS ({NOTES}), " + """fenced AS (SELECT path, text, CASE WHEN starts_with(text, '---') AND len(string_split(text, '---')) >= 3 THEN string_split(text, '---')[2] END AS raw_fm FROM notes)
+    SELECT path, CASE WHEN raw_fm IS NULL THEN text ELSE '---' || raw_fm || 'tags:' || chr(10) || array_to_string(list_transform(string_split(tags, ' '), lambda t: '  - ' || t || chr(10)), '') || '---' || substr(text, length(raw_fm) + 7) END AS text FROM fenced LEFT JOIN tagged USING (path)""",
+}

@@ -269,3 +269,7 @@ ORACLE = {
     "g1_sentences": f"SELECT path, sentence, normalized FROM ({_sentences('(SELECT doc_id AS path, text FROM documents)', O.norm_ext, True)})",
 }
 ORACLE |= {f"f3_{k.replace('-', '_')}": PRELUDE + _act + f" SELECT item_key, access_count, last_accessed_at, seen_count FROM act_view {v} LIMIT 20" for k, v in _report.items()}
+
+_synced = "'access_count: ' || access_count || chr(10) || 'last_accessed_at: ' || strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'last_reviewed_at:' || chr(10) || 'review_status: ' || review_status || chr(10) || 'review_priority: normal' || chr(10) || 'stale_after_days: 14'"
+ORACLE["f4_sync_activity"] = PRELUDE + _act + f""" SELECT path, 6 AS n_changed, '---' || chr(10) || regexp_replace(raw_fm, '^\\n+|\\n+$', '', 'g') || chr(10) || {_synced} || chr(10) || '---' || chr(10) || chr(10) || body AS text
+FROM act_view JOIN cut ON path = obsidian_path WHERE has_fm AND access_count > 0"""

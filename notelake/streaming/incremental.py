@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,18 +12,29 @@ def touch_counts(touches: DataFrame) -> DataFrame:
     return touches.groupBy("item_key").agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed_at"))
 
 
-def run_touch_stream(spark: SparkSession, source: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Counts all touches that lie in the source folder of Parquet files, into an in-memory table of that name, and stops."""
+def run_touch_stream(spark: SparkSession, source: str, folder: str, checkpoint: str) -> DataFrame:
+    """Counts all touches that lie in the source folder of Parquet files; each batch merges the keys that it changed into folder/0, folder/1, ...
+
+    Returns the last version. A batch that runs again writes its version again, so counts survive a lost driver.
+    """
+    done: list[int] = []
+
+    def merge(changed: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{folder}/{number - 1}").join(changed, "item_key", "left_anti") if number else changed.limit(0)
+        before.unionByName(changed).write.mode("overwrite").parquet(f"{folder}/{number}")
+        done.append(number)
+
     touches = spark.readStream.schema("item_key string, ts timestamp").parquet(source)
-    return touch_counts(touches).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    touch_counts(touches).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/{max(done)}") if done else touch_counts(spark.read.schema("item_key string, ts timestamp").parquet(source)).limit(0)
 
 
 def merge_items(current: DataFrame, batch: DataFrame) -> DataFrame:
     """current and batch item rows by item_key: the row of the last path wins, the created_at of the first path stays."""
     rows = current.unionByName(batch)
-    whole = Window.partitionBy("item_key")
-    ranked = rows.withColumns({"__k": F.row_number().over(whole.orderBy(F.desc("obsidian_path"))), "created_at": F.min_by("created_at", "first_path").over(whole), "first_path": F.min("first_path").over(whole)})
-    return ranked.filter("__k = 1").drop("__k")
+    kept = [c for c in rows.columns if c not in ("item_key", "created_at", "first_path")]
+    merged = rows.groupBy("item_key").agg(F.max_by(F.struct(*kept), "obsidian_path").alias("last"), F.min_by("created_at", "first_path").alias("created_at"), F.min("first_path").alias("first_path"))
+    return merged.select("item_key", "last.*", "created_at", "first_path").select(*rows.columns)
 
 
 def run_item_stream(spark: SparkSession, source: str, folder: str, checkpoint: str, to_items) -> StreamingQuery:

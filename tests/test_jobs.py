@@ -29,13 +29,13 @@ def test_extract_key(notes):
 
 
 def test_migrations_do_nothing_twice(notes):
-    df = notes(("a", '---\ntype: tts_audio\ntags:\n  - old\nsource_file: "C:\\\\x\\\\y.mp3"\n---\nbody'), ("b", "text"))
+    df = notes(("a", '---\ntype: tts_audio\ntags:\n  - old\nsource_path: "C:\\\\x\\\\y.mp3"\nsource_file: a\\\\b\n---\nbody'), ("b", "text"))
     for job in (lambda p: H.backfill_schema_version(p, "v1"), H.fix_paths, lambda p: H.sync_tags(p, p.select("path", F.array(F.lit("los/x")).alias("tags")))):
         once = job(N.parse_frontmatter(df))
         assert {r.path: r.status for r in files.change_set(df, once).collect()} == {"a": "would_update", "b": "unchanged"}
         assert {r.status for r in files.change_set(once, job(N.parse_frontmatter(once))).collect()} == {"unchanged"}
     fixed = H.fix_paths(N.parse_frontmatter(df)).filter("path = 'a'").first().text
-    assert "source_file: C:/x/y.mp3" in fixed and fixed.endswith("---\nbody")
+    assert "\nsource_path: C:/x/y.mp3\nsource_file: a\\\\b\n" in fixed and fixed.endswith("\n---\n\nbody")
 
 
 def test_tables_by_both_rules(notes):
@@ -109,5 +109,80 @@ def test_registry_and_queue_files(spark, tmp_path):
 def test_touch_stream_equals_batch(spark, tmp_path):
     touches = spark.createDataFrame([("a", "2024-01-02"), ("a", "2024-01-01"), ("b", "2024-01-03")], "item_key string, t string").select("item_key", F.to_timestamp("t").alias("ts"))
     touches.repartition(2).write.parquet(str(tmp_path / "in"))
-    incremental.run_touch_stream(spark, str(tmp_path / "in"), "touch_test", str(tmp_path / "state")).awaitTermination()
-    assert sorted(map(tuple, spark.table("touch_test").collect())) == sorted(map(tuple, incremental.touch_counts(touches).collect()))
+    run = lambda: incremental.run_touch_stream(spark, str(tmp_path / "in"), str(tmp_path / "counts"), str(tmp_path / "state"))
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, incremental.touch_counts(touches).collect()))
+    touches.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, incremental.touch_counts(spark.read.parquet(str(tmp_path / "in"))).collect()))
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    texts = [(f"a{c * 300_000}b",) for c in (" ", ".", "_", "\n", '"')]
+    began = time.time()
+    df = spark.createDataFrame(texts, "t string")
+    got = df.select(T.strip(F.col("t")).alias("a"), T.norm_db(F.col("t")).alias("b"), T.safe_tag(F.col("t")).alias("c"), E.safe_name(F.col("t")).alias("d")).collect()
+    assert [r.a for r in got] == [x for x, in texts] and time.time() - began < 60
+    ends = spark.createDataFrame([(" \u00a0 x  y \t",), ("   ",), ("",), (None,)], "t string").select(T.strip(F.col("t")).alias("a")).collect()
+    assert [r.a for r in ends] == ["x  y", "", "", None]
+
+
+def test_path_values(spark):
+    rows = [('"D:\\\\a\\b"', "D:/a/b"), ("'x//y'", "x/y"), ("\"'x'\"", "x"), ('"x', '"x'), ('""x""', '"x"'), (" D:////Dev////f.mp3 ", "D:/Dev/f.mp3"), ("", "")]
+    assert [r.p for r in spark.createDataFrame(rows, "t string, w string").select(T.fix_path(F.col("t")).alias("p")).collect()] == [w for _, w in rows]
+
+
+def test_display_and_inline_text(spark):
+    rows = [("---\na: b\n---\n# T #x\n![[p/q.png]] [[a/b|c d]]\n\n\n\nz", "**T #x**\nq.png c d\n\nz", "--- a: b --- # T #x q.png c d z"), (" ---\n---\nx `y` z", "x `y` z", "--- --- x y z"), ("---\nopen", "---\nopen", "--- open"), ("[[a\\\\b ]]", "b", "b")]
+    got = spark.createDataFrame(rows, "t string, d string, i string").select(N.clean_display(F.col("t")).alias("d"), N.clean_inline(F.col("t")).alias("i")).collect()
+    assert [(r.d, r.i) for r in got] == [(d, i) for _, d, i in rows]
+
+
+def test_tokens_lose_all_accents(spark):
+    assert spark.createDataFrame([("Šő ñ e\u0301 ǆ Ά_x ł",)], "t string").select(T.tokens(F.col("t")).alias("t")).first().t == ["so", "n", "e", "ǆ", "α", "x", "ł"]
+
+
+def test_activity_replaces_and_appends(spark, notes):
+    df = N.parse_frontmatter(notes(("a.md", "---\ntype: x\n  review_status:old\naccess_count: 2\n---\nbody"), ("b.md", "---\ntype: x\n---\n"), ("c.md", "no")))
+    view = spark.createDataFrame([("a.md", 2, "active"), ("b.md", 0, "unreviewed"), ("c.md", 5, "active")], "obsidian_path string, access_count long, review_status string").withColumns({"last_accessed_at": F.to_timestamp(F.lit("2024-01-02 03:04:05")), "review_priority": F.lit("normal"), "stale_after_days": F.lit(14)})
+    got = {r.path: (r.n_changed, r.text) for r in A.sync_activity(df, view).collect()}
+    assert got == {"a.md": (5, "---\ntype: x\n  review_status: active\naccess_count: 2\nlast_accessed_at: 2024-01-02T03:04:05\nlast_reviewed_at:\nreview_priority: normal\nstale_after_days: 14\n---\n\nbody")}
+    again = A.sync_activity(N.parse_frontmatter(notes(("a.md", got["a.md"][1]))), view)
+    assert again.count() == 0
+
+
+def test_keys_are_rewritten_whole_and_longest_first(spark, notes):
+    import random
+
+    mapping = [("voc|de|Haus", "voc|de|haus"), ("voc|de|Haus bau", "voc|de|haus-bau"), ("voc|de|haus", "voc|de|x"), ("s|en|(A) b.", "s|en|a b"), ("s|en|!?", "s|en|none"), ("g|de|Über", "g|de|über")]
+    rng = random.Random(4)
+    parts = [old for old, _ in mapping] + [" ", "\n", "x", "voc|de|Hausbau", "|", ".", "ab|cd|", "[[", "]]"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12))) for _ in range(150)] + [""]
+
+    def brute(text):
+        import re
+
+        out, at, n = [], 0, 0
+        while at < len(text):
+            starts = lambda i: not (i and (text[i - 1].isalnum() or text[i - 1] in "_|-")) and re.compile(H.KEY_START).match(text, i)
+            ends = lambda i: not text[i : i + 1].isalnum() or starts(i)
+            fits = [m for m in mapping if starts(at) and text.startswith(m[0], at) and ends(at + len(m[0])) and not any(starts(i) for i in range(at + 1, at + len(m[0])))]
+            best = max(fits, key=lambda m: len(m[0]), default=None)
+            if best:
+                out.append(best[1])
+                at, n = at + len(best[0]), n + 1
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out), n
+
+    df = notes(*[(str(i), t) for i, t in enumerate(texts)])
+    got = {r.path: (r.text, r.n_replaced) for r in H.rewrite_keys(df, spark.createDataFrame(mapping, "old_key string, new_key string")).collect()}
+    assert got == {str(i): brute(t) for i, t in enumerate(texts)}
+
+
+def test_key_migration_of_notes(notes):
+    df = notes(("a", "---\ntype: voc\nlanguage: de\nnormalized: Haus\nkey: voc|de|Haus\n---\nsee voc|de|Haus."), ("b", "to voc|de|Haus, not voc|de|Hausbau"), ("c", "x"))
+    audit = H.audit_keys(H.extract_key(N.parse_frontmatter(df)))
+    got = {r.path: (r.text, r.n_replaced) for r in H.migrate_keys(N.parse_frontmatter(df), audit).collect()}
+    assert got == {"a": ("---\ntype: voc\nlanguage: de\nnormalized: haus\nkey: voc|de|haus\n---\n\nsee voc|de|haus.", 1), "b": ("to voc|de|haus, not voc|de|Hausbau", 1), "c": ("x", 0)}

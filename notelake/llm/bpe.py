@@ -35,7 +35,7 @@ from notelake.llm.shared import table
 #: Bytes beyond which a word is contracted with a heap.
 LONG_WORD = 1024
 #: Rows that all rounds of one recursive query may hold, words of a slice, and words in each of two generations that a worker remembers.
-QUERY_ROWS, SLICE_WORDS, REMEMBERED = 3_000_000, 200_000, 150_000
+QUERY_ROWS, SLICE_WORDS, REMEMBERED = 3_000_000, 400_000, 200_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 DUCKDB_MEMORY = "200MB"
@@ -64,7 +64,7 @@ ended AS (SELECT word, max(round) AS round FROM rounds GROUP BY word)
 SELECT word, list(token ORDER BY pos) AS ids FROM rounds JOIN ended USING (word, round) GROUP BY word
 """
 #: The vocabulary's text has a character for each byte (U+0000 to U+00FF).
-DECODE = "SELECT row, string_agg(chars, '' ORDER BY pos) AS chars FROM tokens JOIN vocabulary USING (token) GROUP BY row"
+DECODE = "SELECT row, array_to_string(list(chars ORDER BY pos), '') AS chars FROM tokens JOIN vocabulary USING (token) GROUP BY row"
 
 
 @lru_cache(2)
@@ -196,7 +196,7 @@ def splitter(pattern: str):
 
 def encoded(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[tuple[int, np.ndarray, bytes]]:
     """(number of the text, ids, decoded bytes) in order; a long text comes in several pieces, one without words in none."""
-    find, known = splitter(pattern).finditer, remembered(path)
+    words_of, known = splitter(pattern), remembered(path)
 
     def answer(words: list[str], owners: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, bytes]]:
         coded = pa.array(words, pa.string()).dictionary_encode()
@@ -216,13 +216,17 @@ def encoded(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[tu
     held: list[str] = []
     owners: list[tuple[int, int]] = []
     for doc, text in enumerate(texts):
-        matches = (m[0] for m in find(text or ""))
-        while part := list(islice(matches, SLICE_WORDS)):
+        #: All words at once, unless there may be more than a slice holds.
+        short = len(text or "") <= SLICE_WORDS
+        matches = iter(()) if short else (m[0] for m in words_of.finditer(text))
+        part = words_of.findall(text or "") if short else list(islice(matches, SLICE_WORDS))
+        while part:
             held += part
             owners.append((doc, len(part)))
             if len(held) >= SLICE_WORDS:
                 yield from answer(held, owners)
                 held, owners = [], []
+            part = list(islice(matches, SLICE_WORDS))
     if held:
         yield from answer(held, owners)
 

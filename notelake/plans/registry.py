@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notelake.plans import graph_queries, index_queries, product_queries, search_queries
+from notelake.plans import graph_queries, index_queries, note_queries, product_queries, search_queries
 
-MODULES = (index_queries, graph_queries, search_queries, product_queries)
+MODULES = (index_queries, graph_queries, search_queries, product_queries, note_queries)
 flagship = index_queries.flagship
 
 

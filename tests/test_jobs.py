@@ -10,6 +10,7 @@ from notelake.operators import enrich as E
 from notelake.operators import notes as N
 from notelake.operators import quality as H
 from notelake.operators import queues as U
+from notelake.operators import relation_notes as R
 from notelake.operators import search as S
 from notelake.sources import files
 from notelake.sources.markdown import markdown_tables
@@ -186,3 +187,29 @@ def test_key_migration_of_notes(notes):
     audit = H.audit_keys(H.extract_key(N.parse_frontmatter(df)))
     got = {r.path: (r.text, r.n_replaced) for r in H.migrate_keys(N.parse_frontmatter(df), audit).collect()}
     assert got == {"a": ("---\ntype: voc\nlanguage: de\nnormalized: haus\nkey: voc|de|haus\n---\n\nsee voc|de|haus.", 1), "b": ("to voc|de|haus, not voc|de|Hausbau", 1), "c": ("x", 0)}
+
+
+def test_relation_sections(notes):
+    texts = {
+        "old": "---\ntype: vocabulary\n---\n\n## Similar Meaning\n\n- [[b|B]]\n- [[B.md]]\n- [[c#x]]\n",
+        "blank": "---\ntype: grammar\nrelations_template_version: 1.0\n---\n\n## Relations\n\n<!-- [[x]] -->\n### Similar To\n\n- TODO\n\n## Notes\nx\n",
+        "used": "---\ntype: sentence\n---\n\n## Meaning\nm\n\n## Contrast with\n[[q]] [[z|zz]] [[TODO]]\n## Relations\n\n### Contrast With\n- [[q|Q]]\n- TODO\n\n### Odd\nfoo\n\n## Opposites\n[[o]]\n",
+        "other": "---\ntype: transcript\n---\n\n## Opposites\n[[o]]\n",
+        "bare": "## Opposites\n[[o]]\n",
+        "empty": "",
+        "null": None,
+        "heading": "---\ntype: grammar\n---\n\n## Relations",
+    }
+    parsed = N.parse_frontmatter(notes(*texts.items()))
+    made = {r.path: r.text for r in R.relations_template(parsed).collect()}
+    assert made["old"].count("## Meanings / Senses") == 1 and made["old"].count("relation_type:") == 12 and made["old"].endswith("`register_variant_of`\n\n- TODO\n")
+    assert made["blank"].startswith("---\ntype: grammar\nrelations_template_version: 1.1\n---\n\n## Relations\n\nAdd") and made["blank"].endswith("- TODO\n\n## Notes\nx\n") and made["blank"].count("###") == 4
+    assert made["used"] == texts["used"].replace("sentence\n", "sentence\nrelations_template_version: 1.1\n")
+    assert all(made[k] == texts[k] for k in ("other", "bare", "empty", "null"))
+    assert made["heading"] == "---\ntype: grammar\nrelations_template_version: 1.1\n---\n\n## Relations\n"
+    moved = {r.path: r.text for r in R.backfill_relations(parsed).collect()}
+    assert "`similar_to`\n\n- [[b|B]]\n- [[c#x]]\n\n### Opposite Of" in moved["old"] and moved["old"].count("relation_type:") == 12
+    assert "### Contrast With\n- [[q|Q]]\n- [[z|zz]]\n\n### Odd\nfoo\n\n### Opposite Of\n\nrelation_type: `opposite_of`\n\n- [[o]]\n\n## Opposites" in moved["used"]
+    assert all(moved[k] == texts[k] for k in texts if k not in ("old", "used"))
+    for job, once in ((R.relations_template, made), (R.backfill_relations, moved)):
+        assert {r.path: r.text for r in job(N.parse_frontmatter(notes(*once.items()))).collect()} == once

@@ -103,10 +103,12 @@ def sections(parsed: DataFrame) -> DataFrame:
     )
 
 
-def study_sections(parsed: DataFrame) -> DataFrame:
-    """(path, key, content): same-named sections of a note joined in order, empty ones dropped; keys in lower case with _."""
-    named = sections(parsed).filter("level > 0 AND content <> ''").withColumn("key", F.regexp_replace(F.lower("heading"), r"[^\p{L}\p{N}]+", "_"))
-    return named.groupBy("path", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "\n\n").alias("content"))
+def study_sections(body: Column) -> Column:
+    """Array of (key, content) of the sections of any level, empty ones dropped; keys in lower case with _ for white space."""
+    pieces = F.filter(F.split(body, r"(?m)(?=^#{1,6}\s)"), lambda x: x.rlike(r"\A#{1,6}\s"))
+    heading = lambda x: strip(F.regexp_replace(F.regexp_extract(x, r"\A#{1,6}([^\n]*)", 1), r"(?<!#)#+\s*\z", ""))
+    named = F.transform(pieces, lambda x: F.struct(F.regexp_replace(F.lower(heading(x)), r"(?U)\s+", "_").alias("key"), strip(F.regexp_replace(x, r"\A[^\n]*", "")).alias("content")))
+    return F.filter(named, lambda x: x["content"] != "")
 
 
 def links_of(c: Column, pattern: str = LINK_NO_ANCHOR) -> Column:

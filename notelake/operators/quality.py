@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.text import collapse, fix_path, item_key, strip, without_sentence_end
+from notelake.functions.text import collapse, fix_path, item_key, let, strip, without_sentence_end
 from notelake.operators.index import filled
 from notelake.operators.notes import fm_lines, prop, with_front_matter
 from notelake.sources.tables import written
@@ -57,12 +57,12 @@ def norm_key(df: DataFrame, text: str, kind: str) -> DataFrame:
 
 def extract_key(parsed: DataFrame) -> DataFrame:
     """(path, item_type, language, normalized): an explicit key of three parts, else the first filled fields, else no row."""
-    first = lambda *names: F.coalesce(*[F.nullif(strip(prop(n)), F.lit("")) for n in names])
-    parts = F.split(first("item_key", "key", "id"), r"\|", 3)
-    explicit = F.when(F.size(parts) == 3, F.struct(*[strip(F.get(parts, i)).alias(n) for i, n in enumerate(("item_type", "language", "normalized"))]))
-    made = F.struct(first("type", "item_type", "note_type").alias("item_type"), first("language", "lang").alias("language"), first("normalized", "normalized_text", "canonical").alias("normalized"))
-    rows = parsed.select("path", F.coalesce(explicit, made).alias("k")).select("path", "k.*")
-    return rows.filter("item_type IS NOT NULL AND language IS NOT NULL AND normalized IS NOT NULL")
+    first = lambda *names: F.get(F.filter(F.transform(F.array(*[prop(n) for n in names]), strip), lambda x: x != ""), 0)
+    named = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, ("item_type", "language", "normalized"))])
+    made = named(first("type", "item_type", "note_type"), first("language", "lang"), first("normalized", "normalized_text", "canonical"))
+    key = let(F.split(first("item_key", "key", "id"), r"\|", 3), lambda k: F.when(F.size(k) == 3, named(*[strip(F.get(k, i)) for i in range(3)])).otherwise(made))
+    whole = F.filter(F.array(key), lambda k: k["item_type"].isNotNull() & k["language"].isNotNull() & k["normalized"].isNotNull())
+    return parsed.select("path", F.inline(whole))
 
 
 def note_types(spark: SparkSession) -> DataFrame:

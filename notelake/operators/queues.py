@@ -74,9 +74,13 @@ def dedupe_cards(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def card_candidates(rows: DataFrame, front: Column, back: Column, note: Column, wants: Column, language: Column) -> DataFrame:
-    """(path, line_no, front, back, language) of table rows that want a card and have both sides; a section named after German is German, any other English."""
+    """(path, line_no, front, back, language, tags) of table rows that want a card and have both sides.
+
+    A section named after German is German, any other English; the tags are the language and what the card is.
+    """
     whole = F.concat_ws("\n\n", F.nullif(strip(back), F.lit("")), F.nullif(strip(note), F.lit("")))
     cards = rows.filter(wants_card(wants)).select("path", "line_no", strip(front).alias("front"), whole.alias("back"), F.when(language.contains("German"), "german").otherwise("english").alias("language"))
+    cards = cards.withColumn("tags", F.array("language", F.lit("sentence"), F.lit("candidate")))
     return cards.filter("front <> '' AND back <> ''")
 
 

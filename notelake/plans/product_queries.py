@@ -110,7 +110,7 @@ def i1_approve_vocabulary(spark, sf_dir):
 
 def i3_card_candidates(spark, sf_dir):
     rows, cell = markdown_tables(view(spark, sf_dir, TABLE_NOTES)), F.col("cells")
-    return U.card_candidates(rows, cell["Word / Phrase"], cell["Meaning"], cell["Source"], cell["Example Sentence"], F.col("section")).drop("line_no")
+    return U.card_candidates(rows, cell["Word / Phrase"], cell["Meaning"], cell["Source"], cell["Example Sentence"], F.col("section")).drop("line_no").withColumn("tags", F.array_join("tags", " "))
 
 
 def i7_upsert_vocabulary(spark, sf_dir):
@@ -122,17 +122,27 @@ def i5_mark_candidates(spark, sf_dir):
     return U.mark_candidates(stored(spark, sf_dir))
 
 
-def deck(spark, sf_dir):
+def cards_and_views(spark, sf_dir, text=None):
     notes = stored(spark, sf_dir)
-    return Y.build_deck(notes, G.relation_views(relations_of(notes, spark)))
+    views = written(G.relation_views(relations_of(notes, spark)), "relation-views")
+    return Y.build_deck(notes, views, text), views
 
 
 def j1_build_deck(spark, sf_dir):
-    return deck(spark, sf_dir)
+    return cards_and_views(spark, sf_dir)[0]
+
+
+def j1_deck_search(spark, sf_dir):
+    """Cards that hold a text, or whose relations do; this one stands in the labels of some relations and in some texts."""
+    return cards_and_views(spark, sf_dir, " Contains ")[0].select("path", "item_key")
+
+
+def j1_card_relations(spark, sf_dir):
+    return Y.card_relations(*cards_and_views(spark, sf_dir))
 
 
 def j2_deck_summary(spark, sf_dir):
-    return Y.deck_summary(deck(spark, sf_dir))
+    return Y.deck_summary(cards_and_views(spark, sf_dir)[0])
 
 
 def k1_touch_stream(spark, sf_dir):
@@ -174,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h5_migrate_keys, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
-        h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j2_deck_summary, k1_touch_stream,
+        h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j1_deck_search, j1_card_relations, j2_deck_summary, k1_touch_stream,
         k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, b20_safe_name, b21_fix_path, b23_review_status,
     )
 }
@@ -203,11 +213,24 @@ _audit = f""", key_audit AS (
            text, {O.strip('text')} AS s1, {O.collapse(O.strip('text'))} AS s2, folded, CASE WHEN type = 'sentence' THEN {O.strip("regexp_replace(folded, '[.!?。！？]+$', '')")} ELSE folded END AS s4
     FROM (SELECT *, {_fold(O.collapse(O.strip('text')))} AS folded FROM counted)
 )"""
-_deck = f""", cards AS (
-    SELECT c.path, c.item_key, c.type, c.language, c.text AS front, coalesce(nullif({O.strip("regexp_replace(regexp_replace(m.content, '\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}, ''), '{Y.PLACEHOLDER}') AS back, coalesce(v.n, 0) AS n_relations
-    FROM counted c LEFT JOIN (SELECT path, heading, string_agg(line, chr(10) ORDER BY n) AS content FROM l2_lines GROUP BY path, heading) m ON m.path = c.path AND m.heading = CASE WHEN c.type = 'grammar' THEN 'explanation' ELSE 'meaning' END
-    LEFT JOIN (SELECT item_key, count(*) AS n FROM views GROUP BY item_key) v ON v.item_key = c.item_key WHERE c.type IN ('vocabulary', 'sentence', 'grammar')
-)"""
+_shown = lambda x: f"regexp_replace(regexp_replace({x}, '!?\\[\\[[^\\]|]+\\|{O.S}*([^\\]]*?){O.S}*\\]\\]', '\\1', 'g'), '!?\\[\\[(?:[^\\]|]*[/\\\\])?{O.S}*([^\\]|/\\\\]*?){O.S}*\\]\\]', '\\1', 'g')"
+_without_fm = lambda x: f"regexp_replace({O.strip(x)}, '\\A---[ \\t]*\\n(?:(?s:.*?)\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)', '')"
+_display = lambda x: O.strip(f"regexp_replace(regexp_replace({_shown(_without_fm(x))}, '(?m)^[ \\t]*#{{1,6}}[ \\t]+([^\\s][^\\n]*?)[ \\t]*$', '**\\1**', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+_deck = f""", pieces AS (
+    SELECT path, unnest(string_split(regexp_replace(chr(10) || body, '\\n(#{{1,6}}[ \\t\\n])', chr(10) || chr(1) || '\\1', 'g'), chr(10) || chr(1))) AS piece,
+           generate_subscripts(string_split(regexp_replace(chr(10) || body, '\\n(#{{1,6}}[ \\t\\n])', chr(10) || chr(1) || '\\1', 'g'), chr(10) || chr(1)), 1) AS n FROM cut
+), parts AS (
+    SELECT path, key, string_agg(content, chr(10) || chr(10) ORDER BY n) AS content FROM (
+        SELECT path, n, regexp_replace(lower({O.strip("regexp_replace(regexp_extract(piece, '^[^\\n]*'), '^#+|#+$', '', 'g')")}), '{O.S}+', '_', 'g') AS key, {O.strip("regexp_replace(piece, '^[^\\n]*', '')")} AS content
+        FROM pieces WHERE regexp_matches(piece, '^#{{1,6}}[ \\t\\n]')
+    ) WHERE content <> '' GROUP BY path, key
+), sides AS (SELECT path, map_from_entries(list((key, content))) AS m FROM parts GROUP BY path), cards AS (
+    SELECT c.path, c.item_key, c.type, c.language, {O.collapse(O.strip(f"regexp_replace({_shown(f"coalesce(nullif({O.strip('p_term')}, ''), nullif({O.strip('p_sentence')}, ''), nullif({O.strip('p_title')}, ''), c.normalized)")}, '`([^`]+)`', '\\1', 'g')"))} AS front,
+           CASE c.type WHEN 'vocabulary' THEN 'Vocabulary item' WHEN 'sentence' THEN 'Sentence card' ELSE 'Grammar concept' END AS subtitle,
+           {_display("coalesce(m['meaning'], m['explanation'], m['definition'], m['pattern'], m['notes'], 'No Meaning/Explanation found yet.')")} AS back, {_display("coalesce(m['examples'], m['example'], m['sentences'], '')")} AS examples,
+           {_display("coalesce(m['notes'], m['usage'], m['grammar_notes'], m['pattern'], '')")} AS notes, coalesce(v.n, 0) AS n_relations
+    FROM counted c JOIN props USING (path) LEFT JOIN sides USING (path) LEFT JOIN (SELECT item_key, count(*) AS n FROM views GROUP BY item_key) v ON v.item_key = c.item_key WHERE c.type IN ('vocabulary', 'sentence', 'grammar')
+), named AS (SELECT item_key, direction, CASE relation_type WHEN 'contains_vocabulary' THEN 'Contains Vocabulary' WHEN 'uses_grammar' THEN 'Uses Grammar' WHEN 'similar_to' THEN 'Similar to' END AS label, array_to_string(string_split(other_key, '|')[3:], '|') AS other_text FROM views)"""
 _version = "CASE WHEN has_fm AND p_type <> '' AND p_schema_version = '' THEN '---' || chr(10) || 'schema_version: note_v1' || chr(10) || regexp_replace(substr(note_text, 4), '^\\n', '') ELSE note_text END"
 ORACLE = {
     "a4_markdown_tables": f"WITH {_tables} SELECT path, section, word, meaning, source FROM words",
@@ -245,6 +268,9 @@ ORACLE = {
         WHEN meaning IN ({', '.join(f"'{x}'" for x in U.EMPTY_MEANINGS)}) THEN 'meaning is empty or TODO' END AS reason FROM seen)
     SELECT path, reason IS NULL AND n >= 2 AS marked, coalesce(reason, 'seen_count ' || n || CASE WHEN n < 2 THEN ' < ' ELSE ' >= ' END || 'min_seen 2') AS reason FROM why""",
     "j1_build_deck": GRAPH + _deck + " SELECT * FROM cards",
+    "j1_deck_search": GRAPH + _deck + """ SELECT path, item_key FROM cards c WHERE contains(lower(concat_ws(chr(10), item_key, type, language, front, subtitle, back, examples, notes, path)), 'contains')
+    OR EXISTS (SELECT 1 FROM named n WHERE n.item_key = c.item_key AND contains(lower(label || ' ' || other_text), 'contains'))""",
+    "j1_card_relations": GRAPH + _deck + " SELECT path, item_key, direction, label, other_text FROM cards JOIN named USING (item_key)",
     "j2_deck_summary": GRAPH + _deck + " SELECT type, language, count(*) AS n FROM cards GROUP BY GROUPING SETS ((type), (language), ())",
     "k1_touch_stream": PRELUDE + _act + " SELECT item_key, access_count, last_accessed_at FROM act",
 }
@@ -253,10 +279,10 @@ _name = lambda x: f"""coalesce(nullif(rtrim(substr(regexp_replace({O.collapse(f"
 _pick = "coalesce(" + ", ".join(f"nullif((SELECT {O.strip('content')} FROM sec WHERE sec.path = t.path AND sec.heading = '{h}'), '')" for h in ("raw transcript", "full transcript", "timestamped transcript")) + ", body)"
 _stamp = "`?\\[[0-9]{2}:[0-9]{2}(:[0-9]{2})?\\s*-\\s*[0-9]{2}:[0-9]{2}(:[0-9]{2})?\\]`?"
 _plain = f"regexp_replace(regexp_replace(regexp_replace({_pick}, '{_stamp}', ' ', 'g'), '(?m)^#+\\s+[^\\n]*$', ' ', 'g'), '(?m)^\\s*-\\s+', '', 'g')"
-_shown = f"regexp_replace(regexp_replace({_plain}, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g')"
+_spoken = f"regexp_replace(regexp_replace({_plain}, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '\\2', 'g'), '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g')"
 #: Transcripts, and their sentences by the two rules.
 SPOKEN = GRAPH + f""", sec AS (SELECT path, heading, string_agg(line, chr(10) ORDER BY n) AS content FROM l2_lines GROUP BY path, heading),
-spoken AS (SELECT path, language, {O.collapse(O.strip(_shown))} AS text FROM typed t WHERE has_fm AND type = 'transcript'),
+spoken AS (SELECT path, language, {O.collapse(O.strip(_spoken))} AS text FROM typed t WHERE has_fm AND type = 'transcript'),
 said AS ({_sentences('spoken', O.norm_ext, True)}), heard AS ({_sentences('spoken', O.norm_db, False)}),
 extracted AS (
     SELECT language, name, arg_min(sentence, path || lpad(CAST(ord AS VARCHAR), 9, '0')) AS sentence, count(DISTINCT path) AS seen_count, '{AS_OF[:10]}' AS last_seen FROM (SELECT s.*, p.language, {_name('sentence')} AS name FROM said s JOIN spoken p USING (path))
@@ -268,7 +294,7 @@ vocab AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_term')}, ''), {O
 phrases AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_sentence')}, ''), {O.stem('path')})")} AS phrase, coalesce(nullif(lower({O.strip('p_language')}), ''), 'unknown') AS lang FROM props WHERE has_fm AND lower({O.strip('p_type')}) = 'sentence')
 """
 ORACLE |= {
-    "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END AS language FROM words",
+    "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END AS language, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END || ' sentence candidate' AS tags FROM words",
     "i7_upsert_vocabulary": f"WITH {_tables} SELECT 'Vocabulary/' || section || '/' || word || '.md' AS path, 1 AS seen_count, '{AS_OF[:10]}' AS last_seen, 'created' AS action FROM words GROUP BY 1",
     "k2_item_stream": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
     "b8_transcript_text": SPOKEN.replace("WHERE has_fm AND type = 'transcript'", "WHERE has_fm") + "SELECT path, md5(text) AS digest FROM spoken",

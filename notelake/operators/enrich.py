@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import LINK, collapse, norm_db, norm_ext, note_link, section, stem, strip, strip_any, without_md
-from notelake.operators.index import filled, item_language, item_type
+from notelake.operators.index import filled, item_language, item_type, looked_up
 from notelake.operators.notes import links_of, prop, transcript_text
 
 #: Characters that a single word must not touch.
@@ -40,17 +40,63 @@ def safe_name(sentence: Column, most: int = 80) -> Column:
     return F.concat(F.when(name == "", "Untitled Sentence").otherwise(F.rtrim(F.left(name, F.lit(most)))), F.lit(".md"))
 
 
-def extract_sentences(parsed: DataFrame, as_of: str) -> DataFrame:
-    """(language, name, sentence, seen_count, last_seen, action): a sentence item per language and file name.
+def contexts(parsed: DataFrame) -> DataFrame:
+    """(path, ord, language, name, sentence, line, action): each sentence of each English or German transcript, and the line that names it.
 
-    Its contexts are the transcripts that hold it. English and German only. action tells a new note from one that exists.
+    created: its sentence note does not exist yet; unchanged: the note has the line; updated: it gains it.
     """
     source = transcripts(parsed).filter(F.col("language").isin("english", "german"))
-    found = sentences(source.select("path", "text")).join(source.select("path", "language"), "path").withColumn("name", safe_name(F.col("sentence")))
-    items = found.groupBy("language", "name").agg(F.min_by("sentence", F.struct("path", "ord")).alias("sentence"), F.countDistinct("path").alias("seen_count"))
-    old = parsed.filter("has_fm").filter(item_type() == "sentence").select(item_language().alias("language"), F.concat(stem(F.col("path")), F.lit(".md")).alias("name"), F.lit(True).alias("__old")).distinct()
-    rows = items.join(old, ["language", "name"], "left")
-    return rows.withColumns({"last_seen": F.lit(as_of[:10]), "action": F.when(F.col("__old"), "updated").otherwise("created")}).drop("__old")
+    alias = parsed.select("path", filled(prop("source_file"), stem(F.col("path"))).alias("alias"))
+    found = sentences(source.select("path", "text")).join(source.select("path", "language"), "path").join(alias, "path").withColumn("name", safe_name(F.col("sentence")))
+    rows = found.withColumn("line", F.concat(F.lit("- "), note_link(F.col("path"), F.col("alias")), F.lit(" — "), "sentence"))
+    old = sentence_files(parsed)
+    lines = context_lines(parsed).withColumn("__stated", F.lit(True))
+    known = rows.join(old.select("language", "name", F.lit(True).alias("__old")), ["language", "name"], "left").join(lines, ["language", "name", "line"], "left")
+    action = F.when(F.col("__old").isNull(), "created").when(F.col("__stated"), "unchanged").otherwise("updated")
+    return known.select("path", "ord", "language", "name", "sentence", "line", action.alias("action"))
+
+
+def _sentence_files(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("has_fm").filter(item_type() == "sentence").withColumns({"language": item_language(), "name": F.concat(stem(F.col("path")), F.lit(".md"))})
+
+
+def sentence_files(parsed: DataFrame) -> DataFrame:
+    """(language, name, first_seen, last_seen) of the sentence notes that exist, one a language and file name."""
+    return _sentence_files(parsed).groupBy("language", "name").agg(F.min(prop("first_seen")).alias("first_seen"), F.max(prop("last_seen")).alias("last_seen"))
+
+
+def context_lines(parsed: DataFrame) -> DataFrame:
+    """(language, name, line): the distinct context lines that sentence notes have."""
+    lines = _sentence_files(parsed).select("language", "name", F.explode(F.split(section(F.col("body"), "Contexts"), "\n")).alias("line"))
+    return lines.select("language", "name", strip(F.col("line")).alias("line")).filter("startswith(line, '- ')").distinct()
+
+
+def extract_sentences(parsed: DataFrame, as_of: str) -> DataFrame:
+    """(language, name, sentence, seen_count, first_seen, last_seen, action): a sentence item per language and file name.
+
+    Counted are the context lines that the note has or gains. A note that gains none is unchanged and keeps its dates. The table should
+    be kept: the sentences are joined with what exists.
+    """
+    new = contexts(parsed)
+    both = new.select("language", "name", "line", F.struct("path", "ord", "sentence").alias("at"), "action").unionByName(
+        context_lines(parsed).withColumns({"at": F.lit(None).cast("struct<path:string,ord:int,sentence:string>"), "action": F.lit(None).cast("string")})
+    )
+    lines = both.groupBy("language", "name", "line").agg(F.min("at").alias("at"), F.max("action").alias("action"))
+    gains = F.count(F.when(F.col("action").isin("created", "updated"), 1))
+    items = lines.groupBy("language", "name").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("seen_count"), gains.alias("__gains")).filter("at IS NOT NULL")
+    old = sentence_files(parsed).withColumn("__old", F.lit(True))
+    rows, day = items.join(old, ["language", "name"], "left"), F.lit(as_of[:10])
+    action = F.when(F.col("__old").isNull(), "created").when(F.col("__gains") > 0, "updated").otherwise("unchanged")
+    first = F.coalesce(F.nullif("first_seen", F.lit("")), day)
+    return rows.withColumn("action", action).select(
+        "language", "name", F.col("at.sentence").alias("sentence"), "seen_count", first.alias("first_seen"), F.when(F.col("action") == "unchanged", F.col("last_seen")).otherwise(day).alias("last_seen"), "action",
+    )
+
+
+def extract_totals(found: DataFrame) -> DataFrame:
+    """(path, n_sentences, n_created, n_updated, n_unchanged) of contexts, and over all notes where path is null."""
+    counts = [F.count(F.when(F.col("action") == a, 1)).alias(f"n_{a}") for a in ("created", "updated", "unchanged")]
+    return found.groupingSets([["path"], []], "path").agg(F.count(F.lit(1)).alias("n_sentences"), *counts)
 
 
 def extract_summary(extracted: DataFrame) -> DataFrame:
@@ -60,14 +106,30 @@ def extract_summary(extracted: DataFrame) -> DataFrame:
     )
 
 
+#: How a sentence's status is shown; any other is a question mark.
+ICONS = {"new": "🔴", "learning": "🟡", "learned": "✅", "generated": "🔊", "raw_transcript": "🎧"}
+
+
+def annotated_sentences(parsed: DataFrame, items: DataFrame) -> DataFrame:
+    """(path, ord, sentence, found, status, has_card, shown): a transcript's sentences, with the item of its language that each one is.
+
+    Shown is the status and a link to the item's note, with a pin where it has a card; a sentence without an item is marked as new.
+    Transcripts of unknown language are left out.
+    """
+    source = transcripts(parsed).filter("language <> 'unknown'")
+    said = sentences(source.select("path", "text"), "annotate").join(source.select("path", "language"), "path")
+    known = items.filter("type = 'sentence'").select("language", "normalized", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("anki_status", F.lit("none")).isin("added", "duplicate").alias("has_card"), F.col("obsidian_path").alias("__note"), F.lit(True).alias("__known"))
+    rows = said.join(known, ["language", "normalized"], "left").withColumn("found", F.coalesce("__known", F.lit(False)))
+    safe = F.replace(F.replace(F.replace("sentence", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    icon = F.concat(F.coalesce(looked_up(F.lower(strip(F.col("status"))), ICONS), F.lit("❔")), F.when(F.col("has_card"), " 📌").otherwise(""))
+    shown = F.when(F.col("found"), F.concat(icon, F.lit(" "), note_link(F.col("__note"), F.col("sentence")))).otherwise(F.concat(F.lit('<span class="los-new">● '), safe, F.lit("</span>")))
+    return rows.select("path", "ord", "sentence", "found", "status", "has_card", shown.alias("shown"))
+
+
 def annotate(parsed: DataFrame, items: DataFrame) -> DataFrame:
     """(path, n_sentences, n_found, n_new): how many of a transcript's sentences are items of its language."""
-    source = transcripts(parsed)
-    found = sentences(source.select("path", "text"), "annotate").join(source.select("path", "language"), "path")
-    known = items.filter("type = 'sentence'").select("language", "normalized", F.lit(1).alias("__known"))
-    rows = found.join(known, ["language", "normalized"], "left")
-    n = F.count(F.lit(1))
-    return rows.groupBy("path").agg(n.alias("n_sentences"), F.count("__known").alias("n_found"), (n - F.count("__known")).alias("n_new"))
+    n, found = F.count(F.lit(1)), F.count_if("found")
+    return annotated_sentences(parsed, items).groupBy("path").agg(n.alias("n_sentences"), found.alias("n_found"), (n - found).alias("n_new"))
 
 
 def vocabulary(parsed: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notelake.functions.text import source_type
+from notelake.functions.text import norm_db, source_type
+from notelake.operators import enrich as E
 from notelake.operators import notes as N
 from notelake.operators import quality as H
 from notelake.operators import queues as U
@@ -12,7 +13,8 @@ from notelake.operators import relation_notes as R
 from notelake.plans import oracle as O
 from notelake.plans.index_queries import stored
 from notelake.plans.oracle import PRELUDE
-from notelake.plans.views import CANDIDATES, NOTES, view
+from notelake.plans.product_queries import SPOKEN, _name
+from notelake.plans.views import AS_OF, CANDIDATES, NOTES, view
 from notelake.sources.tables import written
 
 #: The notes view, some notes without a meaning and some with a Relations section that nobody has filled in.
@@ -66,7 +68,33 @@ def i6_sync_card_status(spark, sf_dir):
     return U.sync_card_status(rows, sent).select("doc_id", "new_status")
 
 
-QUERIES = {f.__name__: f for f in (h7_relations_template, h8_backfill_relations, b17_extract_key, b22_source_type, i2_approve_errors, i4_dedupe_cards, i6_sync_card_status)}
+def second_run(spark, sf_dir):
+    """The notes, with sentence notes that an earlier extraction made: every other one, each with its first context."""
+    notes = stored(spark, sf_dir)
+    first = written(E.contexts(notes), "contexts").filter(F.length("name") % 2 == 0).groupBy("language", "name").agg(F.min("line").alias("line"))
+    text = F.concat(F.lit("---\ntype: sentence\nfirst_seen: 2024-01-01\nlanguage: "), "language", F.lit("\n---\n\n## Contexts\n\n"), "line", F.lit("\n\n## Related\n\n- \n"))
+    made = N.parse_frontmatter(first.select(F.concat(F.lit("Sentences/"), F.initcap("language"), F.lit("/"), "name").alias("path"), text.alias("text")))
+    return written(notes.unionByName(made), "second-run")
+
+
+def g2_second_run(spark, sf_dir):
+    return E.extract_sentences(second_run(spark, sf_dir), AS_OF).select("language", "name", "seen_count", "first_seen", "last_seen", "action")
+
+
+def g3_extract_totals(spark, sf_dir):
+    return E.extract_totals(written(E.contexts(second_run(spark, sf_dir)), "contexts"))
+
+
+def g4_annotated_sentences(spark, sf_dir):
+    """Against the sentences that an extraction made, of several statuses."""
+    notes = stored(spark, sf_dir)
+    made = E.extract_sentences(notes, AS_OF).groupBy("language", norm_db(F.col("sentence")).alias("normalized")).agg(F.min("name").alias("name")).filter(F.length("name") % 2 == 0)
+    statuses = F.array(*[F.lit(s) for s in ("new", "Learning", "learned", "generated", "raw_transcript", "other")])
+    items = made.select(F.lit("sentence").alias("type"), "language", "normalized", F.get(statuses, F.length("name") % 6).alias("status"), F.when(F.length("name") % 8 == 0, "added").otherwise("none").alias("anki_status"), F.concat(F.lit("Sentences/"), "name").alias("obsidian_path"))
+    return E.annotated_sentences(notes, items).drop("ord")
+
+
+QUERIES = {f.__name__: f for f in (h7_relations_template, h8_backfill_relations, b17_extract_key, b22_source_type, i2_approve_errors, i4_dedupe_cards, i6_sync_card_status, g2_second_run, g3_extract_totals, g4_annotated_sentences)}
 
 _labels = {
     "vocabulary": "Uses Grammar, Example Of, Similar To, Opposite Of, Contrast With, Confusable With, Translation Of, Translation Variant Of, Formal Variant Of, Informal Variant Of, Slang Variant Of, Register Variant Of",
@@ -108,3 +136,24 @@ ORACLE = {
     "i6_sync_card_status": f"""WITH keyed AS (SELECT doc_id, {O.collapse(O.strip('text'))} AS k FROM documents), last_of AS (SELECT k, max(doc_id) % 4 AS s FROM keyed GROUP BY k)
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' no ' WHEN s IN (0, 1) THEN 'Added' WHEN s = 2 THEN 'Error' WHEN doc_id % 3 = 1 THEN 'Yes' ELSE '' END AS new_status FROM keyed JOIN last_of USING (k)""",
 }
+
+_again = SPOKEN + f""", found AS (
+    SELECT s.path, p.language, s.sentence, {_name('s.sentence')} AS name, '- [[' || regexp_replace(s.path, '\\.md$', '') || '|' || coalesce(nullif(r.p_source_file, ''), {O.stem('s.path')}) || ']] — ' || s.sentence AS line
+    FROM said s JOIN spoken p USING (path) JOIN props r USING (path) WHERE p.language IN ('english', 'german')
+), held AS (SELECT language, name, min(line) AS line FROM found WHERE length(name) % 2 = 0 GROUP BY language, name),
+occurred AS (SELECT f.*, h.line IS NOT NULL AS old, CASE WHEN h.line IS NULL THEN 'created' WHEN h.line = f.line THEN 'unchanged' ELSE 'updated' END AS action FROM found f LEFT JOIN held h USING (language, name))
+"""
+ORACLE |= {
+    "g2_second_run": _again
+    + f"""SELECT language, name, count(DISTINCT line) AS seen_count, CASE WHEN bool_or(old) THEN '2024-01-01' ELSE '{AS_OF[:10]}' END AS first_seen, CASE WHEN bool_and(action = 'unchanged') THEN '' ELSE '{AS_OF[:10]}' END AS last_seen,
+    CASE WHEN NOT bool_or(old) THEN 'created' WHEN bool_and(action = 'unchanged') THEN 'unchanged' ELSE 'updated' END AS action FROM occurred GROUP BY language, name""",
+    "g3_extract_totals": _again
+    + """SELECT path, count(*) AS n_sentences, count(*) FILTER (action = 'created') AS n_created, count(*) FILTER (action = 'updated') AS n_updated, count(*) FILTER (action = 'unchanged') AS n_unchanged FROM occurred GROUP BY GROUPING SETS ((path), ())""",
+    "g4_annotated_sentences": _again
+    + f""", firsts AS (SELECT language, name, arg_min(sentence, path || lpad(CAST(ord AS VARCHAR), 9, '0')) AS sentence FROM (SELECT s.*, p.language, {_name('s.sentence')} AS name FROM said s JOIN spoken p USING (path)) WHERE language IN ('english', 'german') GROUP BY language, name),
+    known AS (SELECT language, {O.norm_db('sentence')} AS normalized, min(name) AS name FROM firsts GROUP BY 1, 2 HAVING length(min(name)) % 2 = 0)
+    SELECT h.path, h.sentence, k.name IS NOT NULL AS found, ['new', 'Learning', 'learned', 'generated', 'raw_transcript', 'other'][length(k.name) % 6 + 1] AS status, CASE WHEN k.name IS NOT NULL THEN length(k.name) % 8 = 0 END AS has_card,
+           CASE WHEN k.name IS NULL THEN '<span class="los-new">● ' || replace(replace(replace(h.sentence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>'
+                ELSE CASE length(k.name) % 6 WHEN 0 THEN '🔴' WHEN 1 THEN '🟡' WHEN 2 THEN '✅' WHEN 3 THEN '🔊' WHEN 4 THEN '🎧' ELSE '❔' END || CASE WHEN length(k.name) % 8 = 0 THEN ' 📌' ELSE '' END || ' [[Sentences/' || regexp_replace(k.name, '\\.md$', '') || '|' || h.sentence || ']]' END AS shown
+    FROM heard h JOIN spoken p USING (path) LEFT JOIN known k ON k.language = p.language AND k.normalized = h.normalized WHERE p.language <> 'unknown'""",
+}

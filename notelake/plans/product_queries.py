@@ -285,7 +285,7 @@ SPOKEN = GRAPH + f""", sec AS (SELECT path, heading, string_agg(line, chr(10) OR
 spoken AS (SELECT path, language, {O.collapse(O.strip(_spoken))} AS text FROM typed t WHERE has_fm AND type = 'transcript'),
 said AS ({_sentences('spoken', O.norm_ext, True)}), heard AS ({_sentences('spoken', O.norm_db, False)}),
 extracted AS (
-    SELECT language, name, arg_min(sentence, path || lpad(CAST(ord AS VARCHAR), 9, '0')) AS sentence, count(DISTINCT path) AS seen_count, '{AS_OF[:10]}' AS last_seen FROM (SELECT s.*, p.language, {_name('sentence')} AS name FROM said s JOIN spoken p USING (path))
+    SELECT language, name, arg_min(sentence, path || lpad(CAST(ord AS VARCHAR), 9, '0')) AS sentence, count(DISTINCT (path, sentence)) AS seen_count, '{AS_OF[:10]}' AS first_seen, '{AS_OF[:10]}' AS last_seen FROM (SELECT s.*, p.language, {_name('sentence')} AS name FROM said s JOIN spoken p USING (path))
     WHERE language IN ('english', 'german') GROUP BY language, name
 ),
 old AS (SELECT DISTINCT language, {O.stem('path')} || '.md' AS name FROM typed WHERE has_fm AND type = 'sentence'),
@@ -306,7 +306,7 @@ ORACLE |= {
     "g2_extract_sentences": SPOKEN + "SELECT * FROM acted",
     "g3_extract_summary": SPOKEN + "SELECT language, action, count(*) AS n, sum(seen_count)::BIGINT AS n_contexts FROM acted GROUP BY GROUPING SETS ((language, action), (action))",
     "g4_annotate": SPOKEN
-    + "SELECT path, count(*) AS n_sentences, count(i.item_key) AS n_found, count(*) - count(i.item_key) AS n_new FROM heard h JOIN spoken USING (path) LEFT JOIN items i ON i.type = 'sentence' AND i.language = spoken.language AND i.normalized = h.normalized GROUP BY path",
+    + "SELECT path, count(*) AS n_sentences, count(i.item_key) AS n_found, count(*) - count(i.item_key) AS n_new FROM heard h JOIN spoken USING (path) LEFT JOIN items i ON i.type = 'sentence' AND i.language = spoken.language AND i.normalized = h.normalized WHERE spoken.language <> 'unknown' GROUP BY path",
     "g5_match_terms": SPOKEN
     + """SELECT s.path AS sentence_path, v.path AS term_path FROM phrases s JOIN vocab v ON v.lang = s.lang AND length(v.term) >= 3 AND contains(s.phrase, v.term)
     WHERE contains(v.term, ' ') OR regexp_matches(' ' || s.phrase || ' ', '[^A-Za-z0-9_ÄÖÜäöüß]' || regexp_escape(v.term) || '[^A-Za-z0-9_ÄÖÜäöüß]')""",

@@ -198,24 +198,21 @@ def with_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Templ
     """
     known = template_table(docs.sparkSession, templates, base)
     found = written(votes(docs, text, known), "license-votes")
-    spans = written(candidates(found, known), "license-candidates")
+    facts = written(base_places(found, known).join(candidates(found, known), "digest", "full"), "license-facts")
     rules = [(r.label, list(r.names), list(r.words)) for r in known.orderBy("template").collect()]
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "license_spans", "score")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
-    rows = docs.select(F.struct(*own).alias("__row"), digest.alias("digest"))
-    # Words are cut again after the join, so that a shuffle carries the text once.
-    met = rows.join(spans, "digest", "left").withColumn("__w", words(F.col("__row")[text])).withColumn("n_words", F.size("__w").cast("long"))
+    own = [c for c in docs.columns if c not in added]
+    said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(own)], said.alias("__text"), F.sha2(said.cast("binary"), 256).alias("digest"))
+    met = rows.join(facts, "digest", "left").withColumn("__w", words(F.col("__text")))
     cut = F.transform("spans", lambda s: F.struct(s["template"].alias("template"), s["start"].alias("start"), F.slice("__w", s["start"] + 1, s["end"] - s["start"]).alias("words")))
-    judged = met.select("__row", "digest", "n_words", verified(cut, rules).alias("license_spans"))
-    out = judged.join(base_places(found, known), "digest", "left")
+    out = met.withColumn("n_words", F.size("__w").cast("long")).withColumn("__spans", verified(cut, rules))
     none = F.array().cast("array<string>")
-    own_labels = F.coalesce(F.transform("license_spans", lambda s: s["label"]), none)
-    labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), own_labels)))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("license_spans", lambda s: s["score"])), F.lit(0.0)))
+    labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), F.transform("__spans", lambda s: s["label"]))))
+    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("__spans", lambda s: s["score"])), F.lit(0.0)))
     return out.select(
-        "__row.*", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.array_join(F.array_sort(F.coalesce("base", none)), ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"), F.coalesce("license_spans", F.array().cast(HIT)).alias("license_spans"), score.alias("score"),
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(own)], "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
+        F.array_join(F.array_sort(F.coalesce("base", none)), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.col("__spans").alias("license_spans"), score.alias("score"),
     )
 
 

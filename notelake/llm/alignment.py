@@ -35,7 +35,7 @@ from notelake.llm.shared import table, written
 
 #: A pair of ids as one number: A's id times this, and B's.
 SIDE = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 BROADCAST_PAIRS, SALTS = 1_000_000, 32
 
 ADDED = "n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string"

@@ -9,8 +9,8 @@ and the words that name the license must be among the span's. Of overlapping spa
 The base phrases are templates as well, which must have all votes on one diagonal.
 
 The templates are a small table given by the caller (at most MAX_TEMPLATE_WORDS words in all, checked), which is why they may be broadcast;
-texts are not shuffled for the votes. Equal texts are known by their SHA-256 and vote once. A text goes to the candidates of its
-own digest for verification, candidates are a kept table, and Spark decides by its size whether that join needs a shuffle.
+texts are never shuffled. A hit takes the words beside it along, which is all that verification reads. Equal texts are known by their SHA-256 and
+vote once; what was found for a digest joins the documents at the end.
 
 Defined results: null and empty texts have no words, no places and no labels, and score 0. Whole texts of any length are read. Several places of
 equal phrases all count. Repeated rows give equal rows, an empty table gives an empty one, and further columns are
@@ -33,7 +33,7 @@ K, MERGE, SIMILAR = 3, 8, 0.8
 MAX_TEMPLATE_WORDS = 100_000
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-HIT = "array<struct<label:string,start:int,end:int,score:double>>"
+SPAN = "array<struct<less:int,start:int,end:int,label:string,score:double>>"
 
 
 class Template(NamedTuple):
@@ -118,13 +118,15 @@ def template_table(spark: SparkSession, templates: Sequence[Template], base: Seq
 
 
 def votes(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
-    """(digest, template, d, t): the distinct hits of each distinct text."""
+    """(digest, template, d, t, around): the distinct hits of each distinct text, with the words (at, word) up to MERGE beside the run."""
     at = known.select("template", F.col("words").alias("__words"), F.posexplode(runs(F.col("words"))).alias("t", "run"))
     at = at.select("template", "t", "run", F.slice("__words", F.col("t") + 1, K).alias("__run_words"))
     # The texts' words and digests are computed once a text, before their runs are laid out.
     each = docs.select(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("digest"), words(F.col(text)).alias("__w"))
-    hits = each.select("digest", "__w", F.posexplode(runs(F.col("__w"))).alias("d", "run")).join(F.broadcast(at), "run")
-    return hits.filter(F.slice("__w", F.col("d") + 1, K) == F.col("__run_words")).select("digest", "template", "d", "t").distinct()
+    hits = each.select("digest", "__w", F.posexplode(runs(F.col("__w"))).alias("d", "run")).join(F.broadcast(at), "run").filter(F.slice("__w", F.col("d") + 1, K) == F.col("__run_words"))
+    first = F.greatest(F.col("d") - MERGE, F.lit(0))
+    around = F.transform(F.slice("__w", first + 1, F.col("d") - first + K + MERGE), lambda x, i: F.struct((first + i).alias("at"), x.alias("word")))
+    return hits.select("digest", "template", "d", "t", around.alias("around")).groupBy("digest", "template", "d", "t").agg(F.first("around").alias("around"))
 
 
 def base_places(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -135,17 +137,20 @@ def base_places(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(digest, spans): per text its candidate spans (template, start, end), from merged neighbouring diagonals with enough votes."""
-    loose = known.filter("NOT exact").select("template", "size", "least")
-    diagonals = found.join(F.broadcast(loose), "template").groupBy("digest", "template", "size", "least", (F.col("d") - F.col("t")).alias("at")).agg(F.collect_set("t").alias("ts"))
-    order = Window.partitionBy("digest", "template").orderBy("at")
-    apart = F.col("at") - F.lag("at").over(order) > MERGE
-    merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)).groupBy("digest", "template", "size", "least", "group").agg(
-        F.min("at").alias("low"), F.max("at").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n")
+    """(digest, template, said): candidate spans from merged neighbouring diagonals with enough votes, as their words (at, word) in order.
+
+    Words further than MERGE from every hit are left out; they are no part of what is common.
+    """
+    loose = known.filter("NOT exact").select("template", "least")
+    diagonal = ["digest", "template", "least", (F.col("d") - F.col("t")).alias("diagonal")]
+    words_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    diagonals = found.join(F.broadcast(loose), "template").groupBy(*diagonal).agg(F.collect_set("t").alias("ts"), words_of("around").alias("around"))
+    order = Window.partitionBy("digest", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > MERGE
+    merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)).groupBy("digest", "template", "least", "group").agg(
+        F.size(words_of("ts")).alias("n"), F.array_sort(words_of("around")).alias("said")
     )
-    # Words before the first run and behind the last may have moved by MERGE, too; verification cuts the span to what it needs.
-    span = F.struct("template", F.greatest(F.col("low") - MERGE, F.lit(0)).cast("int").alias("start"), (F.col("high") + F.col("size") + MERGE).cast("int").alias("end"))
-    return merged.filter("n >= least").groupBy("digest").agg(F.collect_list(span).alias("spans"))
+    return merged.filter("n >= least").select("digest", "template", "said")
 
 
 def common(a: Sequence[str], b: Sequence[str]) -> tuple[int, int]:
@@ -165,30 +170,38 @@ def common(a: Sequence[str], b: Sequence[str]) -> tuple[int, int]:
     return most, taken
 
 
-def verified(spans: Column, templates: Sequence[tuple[str, list[str], list[str]]]) -> Column:
-    """The spans of structs (template, start, words) that hold their template, best first and none over another."""
+def verified(said: Column, template: Column, templates: Sequence[tuple[list[str], list[str]]]) -> Column:
+    """Of a candidate's words (at, word) the span that holds its template: (start, end, n common words), or null."""
 
-    def judge(rows: pd.Series) -> pd.Series:
+    def judge(rows: pd.Series, which: pd.Series) -> pd.DataFrame:
         out = []
-        for row in rows:
-            held = []
-            for s in [] if row is None else row:
-                label, names, text = templates[s["template"]]
-                said = list(s["words"])
-                if set(names) <= set(said):
-                    n, end = common(said, text)
-                    if n >= SIMILAR * len(text) - 1e-9:
-                        _, length = common(said[:end][::-1], text[::-1])
-                        held.append((-n, s["start"] + end - length, s["start"] + end, label, n / len(text)))
-            kept: list[dict] = []
-            for _, start, end, label, score in sorted(held):
-                # A better span keeps others out that share over half of the shorter one.
-                if all(min(end, k["end"]) - max(start, k["start"]) <= min(end - start, k["end"] - k["start"]) / 2 for k in kept):
-                    kept.append({"label": label, "start": start, "end": end, "score": score})
-            out.append(kept)
-        return pd.Series(out)
-
-    return F.pandas_udf(judge, HIT)(spans)
+        for row, k in zip(rows, which, strict=True):
+            names, text = templates[k]
+            held = [s["word"] for s in row]
+            n, end = common(held, text) if set(names) <= set(held) else (0, 0)
+            if n < SIMILAR * len(text) - 1e-9:
+                out.append((None, None, None))
+                continue
+            _, length = common(held[:end][::-1], text[::-1])
+            out.append((row[end - length]["at"], row[end - 1]["at"] + 1, n))
+        return pd.DataFrame(out, columns=["start", "end", "n"]).astype("Int64")
+
+    return F.pandas_udf(judge, "start int, end int, n int")(said, template)
+
+
+def best_apart(spans: Column) -> Column:
+    """spans (less common words first in order, start, end, label, score) without those that share over half of the shorter one with a better one."""
+    keep = lambda s, kept: F.forall(kept, lambda k: F.least(s["end"], k["end"]) - F.greatest(s["start"], k["start"]) <= F.least(s["end"] - s["start"], k["end"] - k["start"]) / 2)
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), lambda kept, s: F.when(keep(s, kept), F.concat(kept, F.array(s))).otherwise(kept))
+
+
+def facts(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(digest, n_base, first_word, last_word, base, spans) of texts with phrases or verified spans."""
+    rules = [(list(r.names), list(r.words)) for r in known.orderBy("template").collect()]
+    held = candidates(found, known).withColumn("v", verified(F.col("said"), F.col("template"), rules)).filter("v.n IS NOT NULL").join(F.broadcast(known.select("template", "label", "size")), "template")
+    span = F.struct((-F.col("v.n")).alias("less"), F.col("v.start").alias("start"), F.col("v.end").alias("end"), "label", (F.col("v.n") / F.col("size")).alias("score"))
+    spans = held.groupBy("digest").agg(best_apart(F.collect_list(span)).alias("spans"))
+    return base_places(found, known).join(spans, "digest", "full")
 
 
 def with_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str]] = BASE) -> DataFrame:
@@ -198,15 +211,11 @@ def with_licenses(docs: DataFrame, text: str = "text", templates: Sequence[Templ
     """
     known = template_table(docs.sparkSession, templates, base)
     found = written(votes(docs, text, known), "license-votes")
-    facts = written(base_places(found, known).join(candidates(found, known), "digest", "full"), "license-facts")
-    rules = [(r.label, list(r.names), list(r.words)) for r in known.orderBy("template").collect()]
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "license_spans", "score")
     own = [c for c in docs.columns if c not in added]
     said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(own)], said.alias("__text"), F.sha2(said.cast("binary"), 256).alias("digest"))
-    met = rows.join(facts, "digest", "left").withColumn("__w", words(F.col("__text")))
-    cut = F.transform("spans", lambda s: F.struct(s["template"].alias("template"), s["start"].alias("start"), F.slice("__w", s["start"] + 1, s["end"] - s["start"]).alias("words")))
-    out = met.withColumn("n_words", F.size("__w").cast("long")).withColumn("__spans", verified(cut, rules))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(own)], F.size(words(said)).cast("long").alias("n_words"), F.sha2(said.cast("binary"), 256).alias("digest"))
+    out = rows.join(written(facts(found, known), "license-facts"), "digest", "left").withColumn("__spans", F.transform(F.coalesce("spans", F.array().cast(SPAN)), lambda s: s.dropFields("less")))
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), F.transform("__spans", lambda s: s["label"]))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("__spans", lambda s: s["score"])), F.lit(0.0)))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +91,12 @@ class Tokenizers:
         """Per text the counts, groups, and distinct linked pairs with their links, identical pairs apart."""
         a_ids, b_ids = self.encode(texts)
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((a_ids, n_a), (b_ids, n_b)))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a_ids, n_a), (b_ids, n_b)))
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # All texts in a row: both sides end together at each text's end, so no group spans two texts.
-        ends = np.union1d(a_end, b_end)
+        a_last, b_last = (x[np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))] == y if len(x) else y > 0 for x, y in ((b_end, a_end), (a_end, b_end)))
+        ends = np.sort(np.concatenate((a_end, b_end[~b_last])), kind="stable")
         a_at, b_at = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        a_last, b_last = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
         doc_of_a = np.repeat(np.arange(len(texts)), n_a)
         doc = doc_of_a[a_at] if len(ends) else a_at
         left, right = a[a_at], b[b_at]
@@ -103,15 +104,13 @@ class Tokenizers:
         same = self.same[left] == right
         found = []
         for keep in (same, ~same):
-            pair = left[keep] * SIDE + right[keep]
-            order = np.lexsort((pair, doc[keep]))
-            pair, at = pair[order], doc[keep][order]
-            first = np.ones(len(pair), bool)
-            first[1:] = (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])
+            key = np.sort((doc[keep] * SIDE + left[keep]) * SIDE + right[keep])
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
             starts = np.flatnonzero(first)
-            counts = np.diff(np.append(starts, len(pair)))
-            offsets = np.searchsorted(at[starts], np.arange(len(texts) + 1))
-            found.append((pair[starts], counts.astype(np.int32), offsets))
+            counts = np.diff(np.append(starts, len(key)))
+            offsets = np.searchsorted(key[starts], np.arange(len(texts) + 1) * SIDE * SIDE)
+            found.append((key[starts] % (SIDE * SIDE), counts.astype(np.int32), offsets))
 
         # The digest's order: a group's tokens of A, then its tokens of B.
         groups_before_a, groups_before_b = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last

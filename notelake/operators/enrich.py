@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import LINK, collapse, norm_db, norm_ext, note_link, section, stem, strip, strip_any, without_md
+from notelake.operators.grams import build_grams, candidates
 from notelake.operators.index import filled, item_language, item_type, looked_up
 from notelake.operators.notes import links_of, prop, transcript_text
+from notelake.sources.tables import written
 
 #: Characters that a single word must not touch.
 BOUNDARY = "A-Za-z0-9_ÄÖÜäöüß"
@@ -148,22 +150,48 @@ def sentence_notes(parsed: DataFrame) -> DataFrame:
     return base.withColumn("sentence_norm", norm_db(F.col("sentence")))
 
 
+def _runs_of(texts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(sentence_path, language, k, run, before, after): each run of k - 2 whole words, by its hash, and the words beside it; k from lengths(k).
+
+    A row has two words and a hash, whatever the sentence's length.
+    """
+    sized = lengths.agg(F.array_sort(F.collect_set("k")).alias("ks"))  # one row: a term's length in words is bounded by its own text
+    split = texts.select("sentence_path", "language", F.split("sentence_norm", " ").alias("w")).join(F.broadcast(sized))
+    ends = F.filter("ks", lambda k: k <= F.size("w"))
+    at = split.select("sentence_path", "language", "w", F.explode(ends).alias("k"))
+    at = at.select("sentence_path", "language", "w", "k", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("k"))).alias("i"))
+    return at.select("sentence_path", "language", "k", _run(F.slice("w", F.col("i") + 2, F.col("k") - 2)).alias("run"), F.get("w", F.col("i")).alias("before"), F.get("w", F.col("i") + F.col("k") - 1).alias("after"), F.slice("w", F.col("i") + 2, F.col("k") - 2).alias("inner"))
+
+
+def _run(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
 def match_terms(words: DataFrame, texts: DataFrame) -> DataFrame:
     """(sentence_path, term_path): terms of 3 characters or more in sentences of their language.
 
-    Single words made of boundary characters meet sentences on their tokens. The rest meet on their first three characters:
-    several words may match inside words, other single words must not touch a boundary character.
+    Several words may begin inside a word and end inside one; a single word must not touch a boundary character. So single words of
+    boundary characters meet sentences on their tokens. Of three words or more all but the ends are whole words: they meet on the hash of
+    those, one for each length, and the ends are compared with the words beside them. What is left, two words or a word with other
+    signs, is looked up in a gram index of the sentences, and only its candidates are compared with the sentences' texts.
     """
     terms = words.filter(F.length("term_norm") >= 3).select(F.col("path").alias("term_path"), "language", "term_norm")
+    terms = terms.withColumn("w", F.split("term_norm", " ")).withColumn("k", F.size("w"))
     plain = F.col("term_norm").rlike(rf"\A[{BOUNDARY}]+\z")
-    split = texts.select(F.col("path").alias("sentence_path"), "language", "sentence_norm")
+    split = written(texts.select(F.col("path").alias("sentence_path"), "language", "sentence_norm"), "sentence-texts")
     tokens = split.select("sentence_path", "language", F.explode(F.array_distinct(F.split("sentence_norm", rf"[^{BOUNDARY}]+"))).alias("term_norm"))
     single = terms.filter(plain).join(tokens, ["language", "term_norm"]).select("sentence_path", "term_path")
-    grams = split.filter(F.length("sentence_norm") >= 3).select("sentence_path", "language", "sentence_norm", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("sentence_norm") - 2), lambda i: F.substr("sentence_norm", i, F.lit(3))))).alias("gram"))
-    other = terms.filter(~plain).withColumn("gram", F.left("term_norm", F.lit(3))).join(grams, ["language", "gram"]).filter(F.contains("sentence_norm", "term_norm"))
+
+    several = terms.filter("k >= 3").select("term_path", "language", "k", F.slice("w", 2, F.col("k") - 2).alias("t_inner"), F.get("w", F.lit(0)).alias("first"), F.get("w", F.col("k") - 1).alias("last"))
+    met = _runs_of(split, several).join(several.withColumn("run", _run(F.col("t_inner"))), ["language", "k", "run"])
+    phrases = met.filter((F.col("inner") == F.col("t_inner")) & F.endswith("before", "first") & F.startswith("after", "last")).select("sentence_path", "term_path")
+
+    rest = written(terms.filter(~plain & (F.col("k") < 3)).select(F.monotonically_increasing_id().alias("qid"), "term_path", "language", "term_norm", "k"), "odd-terms")
+    kept = written(split.withColumn("id", F.monotonically_increasing_id()), "sentences-by-id")
+    looked = candidates(build_grams(kept, "id", F.col("sentence_norm")), rest, "term_norm").join(rest, "qid").join(kept.withColumnRenamed("language", "s_language"), "id").filter("language = s_language")
     escaped = F.concat(F.lit(rf"(?<![{BOUNDARY}])\Q"), F.col("term_norm"), F.lit(rf"\E(?![{BOUNDARY}])"))
-    held = F.contains("term_norm", F.lit(" ")) | F.regexp_like("sentence_norm", escaped)
-    return single.unionByName(other.filter(held).select("sentence_path", "term_path")).distinct()
+    held = F.contains("sentence_norm", "term_norm") & ((F.col("k") > 1) | F.regexp_like("sentence_norm", escaped))
+    return single.unionByName(phrases).unionByName(looked.filter(held).select("sentence_path", "term_path")).distinct()
 
 
 def enrich_links(parsed: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """Lookup and full-text search of whole tables of queries q(qid, text, language, type).
 
 Null language or type means any. Joins are equi-joins throughout: an exact match on the normal form, a part of a text on the
-grams that both must share, full text on tokens, similar texts on the lengths that a ratio allows.
+query's rarest grams, full text on tokens, similar texts on rare letters that both must have. Hits are ranked as ids; texts are read where they are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import norm_db, preview, tokens
+from notelake.operators.grams import GramIndex, build_grams, candidates, letters
 from notelake.sources.tables import written
 
-GRAM = 3
 K1, B = 1.2, 0.75
 
 
@@ -38,37 +41,52 @@ def exact_lookup(items: DataFrame, q: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).select("qid", "rank", "item_key", "text", "seen_count")
 
 
-def _grams(c: Column) -> Column:
-    """All distinct pieces of 1 to GRAM characters."""
-    pieces = []
-    for n in range(1, GRAM + 1):
-        starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-        pieces.append(F.transform(starts, _piece(c, n)))
-    return F.array_distinct(F.concat(*pieces))
+class LookupIndex(NamedTuple):
+    """Items with an id that ascends in the order given, and the grams of their texts; both are kept and serve any number of queries."""
+
+    items: DataFrame
+    grams: GramIndex
+
+
+def in_order(items: DataFrame, *order: Column | str) -> DataFrame:
+    """items kept in that order, with ids that ascend in it: ranks then compare ids instead of texts."""
+    rows = items.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.withColumn("id", F.monotonically_increasing_id()), "lookup-items")
+
+
+def _low(c: str) -> Column:
+    return F.lower(F.coalesce(F.col(c), F.lit("")))
+
 
+def index_by_text(items: DataFrame) -> LookupIndex:
+    """The index that find_items reads."""
+    kept = in_order(items, "text", "item_key")
+    return LookupIndex(kept, build_grams(kept, "id", F.col("normalized")))
 
-def _piece(c: Column, n: int):
-    return lambda i: F.substr(c, i, F.lit(n))
 
+def index_for_grades(items: DataFrame) -> LookupIndex:
+    """The index that graded_lookup reads."""
+    kept = in_order(items, "type", "language", "normalized", "item_key")
+    return LookupIndex(kept, build_grams(kept, "id", _low("normalized"), _low("title"), _low("text_preview")))
 
-def contains_join(items: DataFrame, key: str, text: Column, q: DataFrame, part: str) -> DataFrame:
-    """(qid, key) of items whose text holds the query's part: they meet on its first characters, then the whole is compared."""
-    grams = items.select(key, text.alias("__text")).select(key, "__text", F.explode(_grams(F.col("__text"))).alias("__gram"))
-    asked = q.filter(F.col(part) != "").select("qid", F.col(part).alias("__part"), F.left(part, F.lit(GRAM)).alias("__gram"))
-    return grams.join(asked, "__gram").filter(F.contains("__text", "__part")).select("qid", key)
 
+def _same(items: DataFrame, text: Column, asked: DataFrame, part: str) -> DataFrame:
+    """(qid, id) of items whose text has the hash of the query's part."""
+    return items.select("id", F.xxhash64(text).alias("h")).join(asked.select("qid", F.xxhash64(part).alias("h")), "h").select("qid", "id")
 
-def find_items(items: DataFrame, q: DataFrame, n: int = 10) -> DataFrame:
+
+def find_items(items: DataFrame | LookupIndex, q: DataFrame, n: int = 10) -> DataFrame:
     """Exact matches, vocabulary first; queries without any get up to n items that hold the query, most seen first."""
-    asked = _queries(q)
-    exact = items.join(asked, F.col("normalized") == F.col("q_norm")).filter(_fits())
+    index = items if isinstance(items, LookupIndex) else index_by_text(items)
+    kept, asked = index.items, _queries(q)
+    exact = _same(kept, F.col("normalized"), asked, "q_norm").join(asked, "qid").join(kept, "id").filter(F.col("normalized") == F.col("q_norm")).filter(_fits())
     kind = F.when(F.col("type") == "vocabulary", 1).when(F.col("type") == "sentence", 2).when(F.col("type") == "grammar", 3).otherwise(9)
-    order = Window.partitionBy("qid").orderBy(kind, "language", "text", "item_key")
-    exact = exact.withColumn("rank", F.row_number().over(order)).select("qid", F.lit("exact").alias("match"), "rank", "item_key")
+    order = Window.partitionBy("qid").orderBy(kind, "language", "id")
+    exact = written(exact.select("qid", "type", "language", "id").withColumn("rank", F.row_number().over(order)).select("qid", F.lit("exact").alias("match"), "rank", "id"), "exact-hits")
     rest = asked.join(exact.select("qid").distinct(), "qid", "left_anti")
-    held = contains_join(items, "item_key", F.col("normalized"), rest, "q_norm").join(items, "item_key").join(rest, "qid").filter(_fits())
-    fallback = top(held, [F.desc("seen_count"), F.asc("text"), F.asc("item_key")], n).select("qid", F.lit("contains").alias("match"), "rank", "item_key")
-    return exact.unionByName(fallback)
+    held = candidates(index.grams, rest, "q_norm").join(rest, "qid").join(kept, "id").filter(F.contains("normalized", "q_norm")).filter(_fits())
+    fallback = top(held.select("qid", "id", "seen_count"), [F.desc("seen_count"), F.asc("id")], n).select("qid", F.lit("contains").alias("match"), "rank", "id")
+    return exact.unionByName(fallback).join(kept.select("id", "item_key"), "id").drop("id")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -82,30 +100,73 @@ def ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(score, "double")(a, b)
 
 
-def length_pairs(items: DataFrame, q: DataFrame, threshold: float) -> DataFrame:
-    """Items and queries whose lengths alone allow the ratio: 200 * shorter / (shorter + longer) is threshold or more."""
-    sized = items.withColumn("__n", F.length("normalized")).filter("__n > 0")
+def _bag(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, token): each letter of a text with its number among equal ones, so that common tokens count common letters."""
+    each = rows.select(id, F.explode(letters(F.col(text))).alias("letter")).groupBy(id, "letter").agg(F.count(F.lit(1)).alias("n"))
+    return each.select(id, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.concat("letter", k.cast("string")))).alias("token"))
+
+
+def _by_rarity(bag: DataFrame, id: str, counts: DataFrame) -> DataFrame:
+    order = Window.partitionBy(id).orderBy(F.coalesce("n_holders", F.lit(0)), "token")
+    return bag.join(counts, "token", "left").select(id, "token", F.row_number().over(order).alias("r"))
+
+
+def letter_pairs(items: DataFrame, asked: DataFrame, lengths: Callable[[Column], tuple[Column, Column]], needed: Callable[[Column, Column], Column]) -> DataFrame:
+    """(qid, id): items(id, normalized) and queries asked(qid, q_norm) that can have as many letters in common as they need.
+
+    lengths(n) are the least and greatest length of a text that goes with one of n letters, needed(n, m) the common letters that n and m
+    letters need, which grows with m. Two texts with k common letters of n share one of the n - k + 1 tokens that are rarest in all
+    items; so they meet on such a token and the item's length. Pairs that need no common letter meet on the length alone.
+    """
     n = F.length("q_norm")
-    low, high = F.ceil(n * threshold / (200 - threshold)), F.floor(n * (200 - threshold) / threshold)
-    asked = _queries(q).filter("q_norm <> ''").withColumn("__n", F.explode(F.sequence(low, high))).withColumn("__n", F.col("__n").cast("int"))
-    return sized.join(asked, "__n").filter(_fits()).drop("__n")
+    sides = asked.select("qid", "q_norm", n.alias("n"), F.explode(F.sequence(*lengths(n))).alias("m"))
+    sides = sides.select("qid", "q_norm", "n", F.col("m").cast("int").alias("m"))
+    # Items of no asked length, long texts among them, are not taken apart.
+    sized = items.select("id", "normalized", F.length("normalized").alias("m")).join(sides.select("m").distinct(), "m", "left_semi")
+    bag = written(_bag(sized, "id", "normalized"), "item-letters")
+    counts = bag.groupBy("token").agg(F.count(F.lit(1)).alias("n_holders"))
+    m = F.col("m")
+    least = needed(m, lengths(m)[0])
+    ranked = _by_rarity(bag, "id", counts).join(sized.select("id", "m"), "id")
+    held = ranked.filter(F.col("r") <= m - least + 1).select("id", "m", "token").unionByName(sized.filter(least <= 0).select("id", "m", F.lit("").alias("token")))
+    need = needed(F.col("n"), m)
+    tokens_of = _by_rarity(_bag(asked, "qid", "q_norm"), "qid", counts)
+    wanted = sides.select("qid", "n", "m").join(tokens_of, "qid").filter(F.col("r") <= F.col("n") - need + 1).select("qid", "m", "token")
+    wanted = wanted.unionByName(sides.filter(need <= 0).select("qid", "m", F.lit("").alias("token")))
+    return held.join(wanted, ["token", "m"]).select("qid", "id").distinct()
+
+
+def _with_ids(items: DataFrame) -> DataFrame:
+    return items if "id" in items.columns else written(items.withColumn("id", F.monotonically_increasing_id()), "lookup-items")
+
+
+def fuzzy_pairs(items: DataFrame, q: DataFrame, threshold: float = 70) -> DataFrame:
+    """The pairs of items(id, ...) and queries that a ratio of threshold allows, by three bounds that lose none.
+
+    A ratio counts letters of a common subsequence twice, over both lengths. So the common letters bound it (letter_pairs), and so does the edit
+    distance d of lengths n and m: a common subsequence has (n + m - d) / 2 letters at most.
+    """
+    asked = _queries(q).filter("q_norm <> ''")
+    lengths = lambda n: (F.ceil(n * threshold / (200 - threshold) - 1e-9), F.floor(n * (200 - threshold) / threshold + 1e-9))
+    needed = lambda n, m: F.ceil((n + m) * threshold / 200 - 1e-9)
+    met = letter_pairs(items.filter("normalized <> ''"), asked, lengths, needed).join(asked, "qid").join(items, "id").filter(_fits())
+    both = F.length("q_norm") + F.length("normalized")
+    return met.filter(F.levenshtein("q_norm", "normalized") <= both * (100 - threshold) / 100 + 1e-9)
 
 
 def fuzzy_lookup(items: DataFrame, q: DataFrame, threshold: float = 70, n: int = 10) -> DataFrame:
-    """Items like the query, best first. Lengths and then letter counts bound the ratio before it is computed."""
-    pairs = length_pairs(items, q, threshold)
-    letters = lambda c: F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    missing = F.size(F.array_except(letters(F.col("q_norm")), letters(F.col("normalized"))))
-    bound = 200 * (F.length("q_norm") - missing) / (F.length("q_norm") + F.length("normalized"))
-    scored = pairs.filter(bound >= threshold).withColumn("score", ratio(F.col("q_norm"), F.col("normalized"))).filter(F.col("score") >= threshold)
+    """Items like the query, best first."""
+    pairs = fuzzy_pairs(_with_ids(items), q, threshold)
+    scored = pairs.select("qid", "item_key", "seen_count", ratio(F.col("q_norm"), F.col("normalized")).alias("score")).filter(F.col("score") >= threshold)
     return top(scored, [F.desc("score"), F.desc("seen_count"), F.asc("item_key")], n).select("qid", "rank", "item_key", "score")
 
 
 def levenshtein_lookup(items: DataFrame, q: DataFrame, edits: int = 2, n: int = 10) -> DataFrame:
-    """Items within some edits of the query, nearest first; pairs meet on the lengths that allow it."""
-    sized = items.withColumn("__n", F.length("normalized"))
-    asked = _queries(q).withColumn("__n", F.explode(F.sequence(F.length("q_norm") - edits, F.length("q_norm") + edits)))
-    scored = sized.join(asked, "__n").filter(_fits()).withColumn("distance", F.levenshtein("normalized", "q_norm", edits)).filter("distance >= 0")
+    """Items within some edits of the query, nearest first. Each edit costs one common letter of the longer text at most."""
+    kept, asked = _with_ids(items), _queries(q)
+    lengths = lambda n: (F.greatest(n - edits, F.lit(0)), n + edits)
+    met = letter_pairs(kept, asked, lengths, lambda n, m: F.greatest(n, m) - edits).join(asked, "qid").join(kept, "id").filter(_fits())
+    scored = met.select("qid", "item_key", "seen_count", F.levenshtein("normalized", "q_norm", edits).alias("distance")).filter("distance >= 0")
     return top(scored, [F.asc("distance"), F.desc("seen_count"), F.asc("item_key")], n).select("qid", "rank", "item_key", "distance")
 
 
@@ -133,18 +194,17 @@ def consolidate(*sources: DataFrame) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k", "__source")
 
 
-def graded_lookup(items: DataFrame, q: DataFrame, n: int = 20) -> DataFrame:
+def graded_lookup(items: DataFrame | LookupIndex, q: DataFrame, n: int = 20) -> DataFrame:
     """Items by how they match: key 100, normal form 90, its start 75, a part of it 60, a part of title or preview 40."""
-    asked = _queries(q).withColumn("q_low", F.lower("q_text"))
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    by_key = items.select("item_key", F.lower("item_key").alias("q_low")).join(asked.select("qid", "q_low"), "q_low").select("qid", "item_key")
-    met = by_key
-    for c in ("normalized", "title", "text_preview"):
-        met = met.unionByName(contains_join(items, "item_key", low(c), asked, "q_low"))
-    rows = met.distinct().join(items, "item_key").join(asked, "qid").filter(_fits())
-    norm, ask = low("normalized"), F.col("q_low")
-    score = F.when(ask == low("item_key"), 100).when(ask == norm, 90).when(F.startswith(norm, ask), 75).when(F.contains(norm, ask), 60).otherwise(40)
-    return top(rows.withColumn("score", score), [F.desc("score"), F.asc("type"), F.asc("language"), F.asc("normalized")], n).select("qid", "rank", "item_key", "score")
+    index = items if isinstance(items, LookupIndex) else index_for_grades(items)
+    kept, asked = index.items, _queries(q).withColumn("q_low", F.lower("q_text")).filter("q_low <> ''")
+    met = _same(kept, F.lower("item_key"), asked, "q_low").unionByName(candidates(index.grams, asked, "q_low")).distinct()
+    rows = met.join(asked, "qid").join(kept, "id").filter(_fits())
+    norm, ask = _low("normalized"), F.col("q_low")
+    held = F.contains(_low("title"), ask) | F.contains(_low("text_preview"), ask)
+    score = F.when(ask == _low("item_key"), 100).when(ask == norm, 90).when(F.startswith(norm, ask), 75).when(F.contains(norm, ask), 60).when(held, 40)
+    graded = rows.select("qid", "id", score.alias("score")).filter("score IS NOT NULL")
+    return top(graded, [F.desc("score"), F.asc("id")], n).join(kept.select("id", "item_key"), "id").select("qid", "rank", "item_key", "score")
 
 
 def with_relations(matches: DataFrame, views: DataFrame) -> DataFrame:

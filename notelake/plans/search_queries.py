@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from notelake.functions.text import stem, tokens
+from notelake.functions.text import norm_db, stem, tokens
 from notelake.operators import activity as A
 from notelake.operators import enrich as E
 from notelake.operators import graph as G
@@ -173,6 +173,19 @@ def g5_match_terms(spark, sf_dir):
     return E.match_terms(E.vocabulary(notes), E.sentence_notes(notes))
 
 
+def phrase_terms(spark, sf_dir):
+    """Terms of one to four words, some cut inside words or with a sign, from the start of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    term = F.when(F.col("doc_id") % 5 == 0, F.regexp_extract("text", "[a-z]{2} [a-z]{2}", 0)).when(F.col("doc_id") % 5 == 1, F.regexp_extract("text", "[a-z]+, [a-z]+", 0)).when(F.col("doc_id") % 5 == 2, F.regexp_extract("text", "[a-z]{2} [a-z]+ [a-z]{2}", 0)).when(F.col("doc_id") % 5 == 3, F.regexp_extract("text", "[a-z]+ [a-z]+ [a-z]+ [a-z]", 0)).otherwise(F.regexp_extract("text", "[a-z]+[.,]", 0))
+    return docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), norm_db(term).alias("term_norm"))
+
+
+def g5_match_phrases(spark, sf_dir):
+    """Terms of several words and with signs, in whole texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return E.match_terms(phrase_terms(spark, sf_dir), docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("language"), norm_db(F.col("text")).alias("sentence_norm")))
+
+
 def g6_enrich_links(spark, sf_dir):
     return E.enrich_links(stored(spark, sf_dir))
 
@@ -182,7 +195,7 @@ QUERIES = {
     for f in (
         e1_exact_lookup, e2_find_items, e3_fuzzy_lookup, e3_levenshtein_lookup, e4_lookup, e5_graded_lookup, e6_consolidate, e7_with_relations, e8_tokens, e9_postings, e10_phrase_match,
         e11_all_terms_match, e12_bm25, e13_text_search, e14_snippet, f1_build_activity, f2_item_activity_view, f4_sync_activity, g1_sentences, g2_extract_sentences, g3_extract_summary,
-        g4_annotate, g5_match_terms, g6_enrich_links,
+        g4_annotate, g5_match_terms, g5_match_phrases, g6_enrich_links,
     )
 }
 QUERIES |= {f"f3_{name.replace('-', '_')}": partial(f3_report, name) for name in A.VIEWS}
@@ -264,6 +277,10 @@ ORACLE = {
     + f""", {_postings}, {_words}, {_all}, {_bm25}, phrase AS (SELECT DISTINCT qid, path FROM (SELECT q.qid, t.path, t.col, t.pos - q.ord AS start, n_terms, count(*) AS n FROM q JOIN tokens t USING (term) GROUP BY ALL) WHERE n = n_terms),
     found AS (SELECT qid, path, min(pass) AS pass FROM (SELECT qid, path, 1 AS pass FROM phrase UNION ALL SELECT qid, path, 2 FROM every_term) GROUP BY qid, path)
     SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pass, round(score, 6) DESC, path) AS rank, path, pass, round(score, 6) AS score FROM found JOIN scored USING (qid, path) QUALIFY rank <= 10""",
+    "g5_match_phrases": f"""WITH terms AS (SELECT 't' || doc_id AS path, lang, {O.norm_db("CASE doc_id % 5 WHEN 0 THEN regexp_extract(text, '[a-z]{2} [a-z]{2}', 0) WHEN 1 THEN regexp_extract(text, '[a-z]+, [a-z]+', 0) WHEN 2 THEN regexp_extract(text, '[a-z]{2} [a-z]+ [a-z]{2}', 0) WHEN 3 THEN regexp_extract(text, '[a-z]+ [a-z]+ [a-z]+ [a-z]', 0) ELSE regexp_extract(text, '[a-z]+[.,]', 0) END")} AS term FROM documents),
+    said AS (SELECT 's' || doc_id AS path, lang, {O.norm_db('text')} AS sentence FROM documents)
+    SELECT s.path AS sentence_path, t.path AS term_path FROM said s JOIN terms t ON t.lang = s.lang AND length(t.term) >= 3 AND contains(s.sentence, t.term)
+    WHERE contains(t.term, ' ') OR regexp_matches(' ' || s.sentence || ' ', '[^A-Za-z0-9_ÄÖÜäöüß]' || regexp_escape(t.term) || '[^A-Za-z0-9_ÄÖÜäöüß]')""",
     "f1_build_activity": PRELUDE + _act + " SELECT * FROM act",
     "f2_item_activity_view": PRELUDE + _act + " SELECT * FROM act_view",
     "g1_sentences": f"SELECT path, sentence, normalized FROM ({_sentences('(SELECT doc_id AS path, text FROM documents)', O.norm_ext, True)})",

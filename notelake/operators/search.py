@@ -228,45 +228,6 @@ def query_terms(q: DataFrame) -> DataFrame:
     return rows.select("qid", F.size("t").alias("n_terms"), F.posexplode("t").alias("ord", "term"))
 
 
-def phrase_match(postings: DataFrame, q: DataFrame) -> DataFrame:
-    """(qid, path): the query's tokens follow each other in one column."""
-    hits = query_terms(q).join(postings, "term").select("qid", "n_terms", "ord", "path", "col", F.explode("positions").alias("pos"))
-    runs = hits.groupBy("qid", "path", "col", (F.col("pos") - F.col("ord")).alias("start"), "n_terms").agg(F.count(F.lit(1)).alias("n"))
-    return runs.filter("n = n_terms").select("qid", "path").distinct()
-
-
-def all_terms_match(postings: DataFrame, q: DataFrame) -> DataFrame:
-    """(qid, path): every token of the query is somewhere in title or body."""
-    terms = query_terms(q).select("qid", "term").distinct()
-    wanted = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    held = terms.join(postings.select("term", "path").distinct(), "term").groupBy("qid", "path").agg(F.count(F.lit(1)).alias("n"))
-    return held.join(wanted, "qid").filter("n = n_terms").select("qid", "path")
-
-
-def bm25(postings: DataFrame, q: DataFrame, matches: DataFrame) -> DataFrame:
-    """(qid, path, score) of matches; both columns weigh the same, and an inverse document frequency is above zero."""
-    whole = postings.groupBy("term", "path").agg(F.sum("tf").alias("tf"))
-    lengths = whole.groupBy("path").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-    df = whole.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = query_terms(q).select("qid", "term").distinct().join(df, "term").join(F.broadcast(stats))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    rows = terms.join(whole, "term").join(matches, ["qid", "path"]).join(lengths, "path")
-    return rows.groupBy("qid", "path").agg(F.sum(part).alias("score"))
-
-
-def text_search(docs: DataFrame, q: DataFrame, n: int = 10) -> DataFrame:
-    """Phrase matches first, then documents with all terms, each by score; n per query and the pass that found them."""
-    postings = written(build_postings(docs), "postings")
-    both = phrase_match(postings, q).withColumn("pass", F.lit(1)).unionByName(all_terms_match(postings, q).withColumn("pass", F.lit(2)))
-    found = both.groupBy("qid", "path").agg(F.min("pass").alias("pass"))
-    asked = q.select("qid", F.col("language").alias("q_language"), F.col("type").alias("q_type"))
-    kept = found.join(docs.select("path", "language", F.col("doc_type").alias("type")), "path").join(asked, "qid").filter(_fits()).select("qid", "path", "pass")
-    scored = kept.join(bm25(postings, q, kept.select("qid", "path")), ["qid", "path"]).withColumn("score", F.round("score", 6))
-    return top(scored, [F.asc("pass"), F.desc("score"), F.asc("path")], n).select("qid", "rank", "path", "pass", "score")
-
-
 def snippet(docs: DataFrame, q: DataFrame, found: DataFrame, width: int = 20) -> DataFrame:
     """(qid, path, snippet): the first window of width tokens with most query terms, which are put in brackets."""
     terms = q.select("qid", F.array_distinct(tokens(F.col("text"))).alias("terms"))

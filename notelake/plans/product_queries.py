@@ -156,9 +156,8 @@ def k2_item_stream(spark, sf_dir):
     """The notes as a stream of four files; the result is the item table after the last of them."""
     folder = f"{shared_folder(spark).rstrip('/')}/item-stream-{uuid.uuid4().hex}"
     view(spark, sf_dir, NOTES).repartition(4, "path").write.parquet(f"{folder}/in")
-    n = spark.read.parquet(f"{folder}/in").select(F.input_file_name()).distinct().count()
     incremental.run_item_stream(spark, f"{folder}/in", f"{folder}/items", f"{folder}/state", lambda notes: I.build_items(N.parse_frontmatter(notes), AS_OF)).awaitTermination()
-    return spark.read.parquet(f"{folder}/items/{n - 1}").select(*ITEM_COLUMNS)
+    return incremental.read_kept(spark, f"{folder}/items", ", ".join(f"{c} string" for c in ITEM_COLUMNS)).select(*ITEM_COLUMNS)
 
 
 def b20_safe_name(spark, sf_dir):

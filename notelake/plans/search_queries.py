@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from notelake.functions.text import norm_db, stem, tokens
 from notelake.operators import activity as A
 from notelake.operators import enrich as E
+from notelake.operators import fulltext as X
 from notelake.operators import graph as G
 from notelake.operators import index as I
 from notelake.operators import search as S
@@ -17,14 +19,15 @@ from notelake.plans.graph_queries import GRAPH, relations_of
 from notelake.plans.index_queries import items, items_of, stored
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.views import AS_OF, TOUCHES, view
-from notelake.sources.tables import written
+from notelake.sources.tables import shared_folder, written
 
 
-def words(spark, sf_dir, n=1):
-    """Queries: the first n words of each benchmark text."""
+def passages(spark, sf_dir):
+    """Queries: every benchmark text as a whole, and one word of each, so that some queries have very many hits."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     none = F.lit(None).cast("string")
-    return bench.select(F.col("item_id").alias("qid"), F.array_join(F.slice(tokens(F.col("text")), 1, n), " ").alias("text"), none.alias("language"), none.alias("type"))
+    asked = bench.select(F.col("item_id").alias("qid"), "text").unionByName(bench.select((-1 - F.col("item_id")).alias("qid"), F.regexp_extract("text", "[a-z]{5,}", 0).alias("text")))
+    return asked.select("qid", "text", none.alias("language"), none.alias("type"))
 
 
 def terms(spark, sf_dir):
@@ -95,26 +98,53 @@ def e9_postings(spark, sf_dir):
     return rows.select("term", "path", "col", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
+def text_index(spark, sf_dir, docs=None):
+    """The kept full-text index of all search documents."""
+    folder = f"{shared_folder(spark).rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    X.add_documents(folder, docs_of(stored(spark, sf_dir)) if docs is None else docs)
+    return X.read_index(spark, folder)
+
+
+def e9_extended_index(spark, sf_dir):
+    """The index after a first batch with other texts, a second one that replaces some, and a third that strikes some out and brings them back."""
+    docs = docs_of(stored(spark, sf_dir))
+    folder = f"{shared_folder(spark).rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("path"), F.lit(3))
+    X.add_documents(folder, docs.filter(part < 2).withColumn("body", F.when(part == 1, F.concat("title", F.lit(" older text"))).otherwise(F.col("body"))))
+    X.add_documents(folder, docs.filter(part > 0), gone=docs.filter(part == 0).select("path"))
+    X.add_documents(folder, docs.filter(part == 0))
+    index = X.read_index(spark, folder)
+    rows = None
+    for p in index.postings:
+        rows = p if rows is None else rows.unionByName(p)
+    return rows.join(index.counts, "term").select("term", "path", "col", "tf", "df", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
 def e10_phrase_match(spark, sf_dir):
-    return S.phrase_match(S.build_postings(docs_of(stored(spark, sf_dir))), words(spark, sf_dir, 2))
+    return X.phrase_match(text_index(spark, sf_dir), passages(spark, sf_dir))
 
 
 def e11_all_terms_match(spark, sf_dir):
-    return S.all_terms_match(S.build_postings(docs_of(stored(spark, sf_dir))), words(spark, sf_dir, 2))
+    return X.all_terms_match(text_index(spark, sf_dir), passages(spark, sf_dir))
 
 
 def e12_bm25(spark, sf_dir):
-    postings, q = written(S.build_postings(docs_of(stored(spark, sf_dir))), "postings"), words(spark, sf_dir, 2)
-    return S.bm25(postings, q, S.all_terms_match(postings, q)).withColumn("score", F.round("score", 6))
+    index, q = text_index(spark, sf_dir), passages(spark, sf_dir)
+    return X.bm25(index, X.query_weights(index, q), pairs=X.all_terms_match(index, q))
 
 
 def e13_text_search(spark, sf_dir):
-    return S.text_search(docs_of(stored(spark, sf_dir)), words(spark, sf_dir, 2))
+    return X.text_search(text_index(spark, sf_dir), passages(spark, sf_dir))
+
+
+def e13_top_documents(spark, sf_dir):
+    """The best documents with all terms, by block bounds."""
+    return X.top_documents(text_index(spark, sf_dir), passages(spark, sf_dir))[0]
 
 
 def e14_snippet(spark, sf_dir):
-    docs, q = docs_of(stored(spark, sf_dir)), words(spark, sf_dir, 2)
-    return S.snippet(docs, q, S.text_search(docs, q))
+    docs, q = docs_of(stored(spark, sf_dir)), passages(spark, sf_dir)
+    return S.snippet(docs, q, X.text_search(text_index(spark, sf_dir, docs), q))
 
 
 def touched(spark, sf_dir, found):
@@ -193,8 +223,8 @@ def g6_enrich_links(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        e1_exact_lookup, e2_find_items, e3_fuzzy_lookup, e3_levenshtein_lookup, e4_lookup, e5_graded_lookup, e6_consolidate, e7_with_relations, e8_tokens, e9_postings, e10_phrase_match,
-        e11_all_terms_match, e12_bm25, e13_text_search, e14_snippet, f1_build_activity, f2_item_activity_view, f4_sync_activity, g1_sentences, g2_extract_sentences, g3_extract_summary,
+        e1_exact_lookup, e2_find_items, e3_fuzzy_lookup, e3_levenshtein_lookup, e4_lookup, e5_graded_lookup, e6_consolidate, e7_with_relations, e8_tokens, e9_postings, e9_extended_index, e10_phrase_match,
+        e11_all_terms_match, e12_bm25, e13_text_search, e13_top_documents, e14_snippet, f1_build_activity, f2_item_activity_view, f4_sync_activity, g1_sentences, g2_extract_sentences, g3_extract_summary,
         g4_annotate, g5_match_terms, g5_match_phrases, g6_enrich_links,
     )
 }
@@ -203,7 +233,7 @@ QUERIES |= {f"f3_{name.replace('-', '_')}": partial(f3_report, name) for name in
 _tok = lambda x: f"list_filter(string_split(regexp_replace(translate(lower({x}), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 _terms = f"terms AS (SELECT item_id AS qid, regexp_extract(text, '[a-z]{{5,}}', 0) AS text, CASE WHEN item_id % 2 = 0 THEN 'english' END AS lang FROM benchmark), asked AS (SELECT *, {O.norm_db('text')} AS norm FROM terms)"
 _doc_words = f"terms AS (SELECT doc_id AS qid, regexp_extract(text, '[a-z]{{5,}}', 0) AS text, CASE WHEN lang = 'en' THEN 'english' END AS lang FROM documents), asked AS (SELECT *, {O.norm_db('text')} AS norm FROM terms)"
-_words = f"asked AS (SELECT item_id AS qid, list_slice({_tok('text')}, 1, 2) AS t FROM benchmark), q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t))) AS ord, len(t) AS n_terms FROM asked)"
+_words = f"asked AS (SELECT item_id AS qid, {_tok('text')} AS t FROM benchmark UNION ALL SELECT -1 - item_id, {_tok("regexp_extract(text, '[a-z]{5,}', 0)")} FROM benchmark), q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t))) AS ord, len(t) AS n_terms FROM asked)"
 _fits = "(a.lang IS NULL OR a.lang = i.language)"
 _docs = f"docs AS (SELECT path, item_key, type, language, text AS title, {O.clean_body('body')} AS body FROM counted)"
 _postings = f"""{_docs}, cells AS (SELECT path, 'title' AS col, {_tok('title')} AS t FROM docs UNION ALL SELECT path, 'body', {_tok('body')} FROM docs),
@@ -270,6 +300,8 @@ ORACLE = {
     SELECT qid, h.item_key, coalesce(n, 0) AS n_relations, coalesce(relations, '') AS relations FROM hits h LEFT JOIN listed l ON l.item_key = h.item_key""",
     "e8_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
     "e9_postings": PRELUDE + f", {_postings} SELECT term, path, col, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM tokens GROUP BY term, path, col",
+    "e9_extended_index": PRELUDE + f", {_postings} SELECT term, path, col, count(*) AS tf, df, string_agg(pos, ',' ORDER BY pos) AS positions FROM tokens JOIN (SELECT term, count(DISTINCT path) AS df FROM tokens GROUP BY term) USING (term) GROUP BY term, path, col, df",
+    "e13_top_documents": PRELUDE + f", {_postings}, {_words}, {_all}, {_bm25} SELECT qid, path, round(score, 6) AS score FROM scored JOIN every_term USING (qid, path) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, path) <= 10",
     "e10_phrase_match": PRELUDE + f", {_postings}, {_words} SELECT DISTINCT qid, path FROM (SELECT q.qid, t.path, t.col, t.pos - q.ord AS start, n_terms, count(*) AS n FROM q JOIN tokens t USING (term) GROUP BY ALL) WHERE n = n_terms",
     "e11_all_terms_match": PRELUDE + f", {_postings}, {_words}, {_all} SELECT qid, path FROM every_term",
     "e12_bm25": PRELUDE + f", {_postings}, {_words}, {_all}, {_bm25} SELECT qid, path, round(score, 6) AS score FROM scored JOIN every_term USING (qid, path)",

@@ -142,15 +142,16 @@ def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
     Words further than MERGE from every hit are left out; they are no part of what is common.
     """
     loose = known.filter("NOT exact").select("template", "least")
-    diagonal = ["digest", "template", "least", (F.col("d") - F.col("t")).alias("diagonal")]
-    words_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    diagonals = found.join(F.broadcast(loose), "template").groupBy(*diagonal).agg(F.collect_set("t").alias("ts"), words_of("around").alias("around"))
+    hits = found.join(F.broadcast(loose), "template").withColumn("diagonal", F.col("d") - F.col("t"))
+    at = ["digest", "template", "diagonal"]
+    diagonals = hits.groupBy(*at, "least").agg(F.count(F.lit(1)).alias("votes"))
     order = Window.partitionBy("digest", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > MERGE
-    merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)).groupBy("digest", "template", "least", "group").agg(
-        F.size(words_of("ts")).alias("n"), F.array_sort(words_of("around")).alias("said")
-    )
-    return merged.filter("n >= least").select("digest", "template", "said")
+    merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
+    enough = merged.withColumn("all_votes", F.sum("votes").over(Window.partitionBy("digest", "template", "group"))).filter("all_votes >= least")
+    said = hits.drop("least").join(enough.select(*at, "group", "least"), at).select("digest", "template", "group", "least", "t", F.explode("around").alias("w"))
+    spans = said.groupBy("digest", "template", "group", "least").agg(F.size(F.collect_set("t")).alias("n"), F.array_sort(F.collect_set("w")).alias("said"))
+    return spans.filter("n >= least").select("digest", "template", "said")
 
 
 def common(a: Sequence[str], b: Sequence[str]) -> tuple[int, int]:

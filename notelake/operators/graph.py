@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notelake.functions.text import item_key, let, norm_db, section, stem, strip, without_md
 from notelake.operators.index import filled, link_path, looked_up
 from notelake.operators.notes import links_of, prop
+from notelake.sources import registries
 
 #: Level-2 headings of older notes and the relations they stand for, in their order.
 LEGACY_SECTIONS = {
@@ -16,23 +17,17 @@ LEGACY_SECTIONS = {
     "opposite / contrast sentences": "contrast_with", "contrast with": "contrast_with", "confusable words": "confusable_with",
     "confusable / compare with": "confusable_with", "negative counterpart": "negative_counterpart",
 }
-V, S, G, T, L, R = "vocabulary", "sentence", "grammar", "transcript", "listening_transcript", "resource"
-#: Relation type, source types, target types, symmetric. All are enabled.
-TAXONOMY = (
-    ("contains_vocabulary", [S, T, L], [V], False), ("uses_grammar", [S, V], [G], False), ("example_of", [S, V], [G, V], False), ("source_of", [T, L, R], [S, V, G], False),
-    ("derived_from", [S, V, G], [T, L, R, S], False), ("similar_to", [V, S, G], [V, S, G], True), ("opposite_of", [V, S], [V, S], True), ("contrast_with", [V, S, G], [V, S, G], True),
-    ("confusable_with", [V, S, G], [V, S, G], True), ("negative_counterpart", [S, V], [S, V], True), ("translation_of", [V, S], [V, S], True), ("translation_variant_of", [V, S], [V, S], True),
-    ("formal_variant_of", [V, S], [V, S], False), ("informal_variant_of", [V, S], [V, S], False), ("slang_variant_of", [V, S], [V, S], False), ("register_variant_of", [V, S], [V, S], False),
-    ("grammar_contrast_with", [G], [G], True),
-)
+#: Relation type, source types, target types, symmetric: as the packaged registry states them.
+TAXONOMY = tuple((e["id"], e["source_types"], e["target_types"], e["symmetric"]) for e in registries.packaged("relation_types")["entries"])
 LABELS = {
     "contains_vocabulary": "Contains Vocabulary", "uses_grammar": "Uses Grammar", "similar_to": "Similar to", "opposite_of": "Opposite of", "confusable_with": "Confusable with",
     "related_to": "Related to", "contrasts_with": "Contrasts with",
 }
 
 
-def taxonomy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*t, True) for t in TAXONOMY], "id string, source_types array<string>, target_types array<string>, symmetric boolean, enabled boolean")
+def taxonomy(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """The relation types of checked registry files."""
+    return registries.load(spark, folder).relation_types.select("id", "source_types", "target_types", "symmetric", "enabled")
 
 
 def relation_keys(parsed: DataFrame) -> DataFrame:

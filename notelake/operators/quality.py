@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,20 +11,14 @@ from pyspark.sql import functions as F
 from notelake.functions.text import collapse, fix_path, item_key, let, strip, without_sentence_end
 from notelake.operators.index import filled
 from notelake.operators.notes import fm_lines, prop, with_front_matter
+from notelake.operators.search import LookupIndex, graded_lookup
+from notelake.sources import registries
 from notelake.sources.tables import written
 
-#: Note type, key type, folder by language, required properties.
-NOTE_TYPES = (
-    ("vocabulary", "vocabulary", {"english": "Vocabulary/English", "german": "Vocabulary/German"}, ["schema_version", "type", "language", "normalized"]),
-    ("sentence", "sentence", {"english": "Sentences/English", "german": "Sentences/German"}, ["schema_version", "type", "language", "normalized"]),
-    ("grammar", "grammar", {"english": "Grammar/English", "german": "Grammar/German"}, ["schema_version", "type", "language", "normalized"]),
-    ("transcript", "transcript", {"english": "Listening/Transcripts", "german": "Listening/Transcripts"}, ["schema_version", "type"]),
-    ("listening_transcript", "transcript", {"english": "Listening/Transcripts", "german": "Listening/Transcripts"}, ["schema_version", "type"]),
-    ("tts_audio", "tts_audio", {"english": "Speaking/TTS", "german": "Speaking/TTS"}, ["schema_version", "type", "language"]),
-)
-LANGUAGES = ("english", "german")
-#: Item types whose keys lose sentence ends.
-NO_FINAL_PUNCTUATION = ("sentence",)
+#: As the packaged registries state them: note type, key type, folder by language, required properties; languages; item types whose keys lose sentence ends.
+NOTE_TYPES = tuple((e["id"], e["key_type"], e["folders"], e["required"]) for e in registries.packaged("note_types")["entries"])
+LANGUAGES = tuple(registries.packaged("note_types")["languages"])
+NO_FINAL_PUNCTUATION = tuple(e["id"] for e in registries.packaged("key_policies")["entries"] if e["strip_terminal_punctuation"])
 
 
 def nfkc(c: Column) -> Column:
@@ -45,9 +41,9 @@ def casefold(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.pandas_udf(fold, "string")(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(F.lower(c))
 
 
-def norm_key(df: DataFrame, text: str, kind: str) -> DataFrame:
-    """df with columns key_text and operations (the steps that changed the text, in order)."""
-    final = F.lower(strip(F.col(kind))).isin(*NO_FINAL_PUNCTUATION)
+def norm_key(df: DataFrame, text: str, kind: str, bare: Sequence[str] = NO_FINAL_PUNCTUATION) -> DataFrame:
+    """df with columns key_text and operations (the steps that changed the text, in order); bare are the item types that lose sentence ends."""
+    final = F.lower(strip(F.col(kind))).isin(*bare)
     steps = df.withColumn("__0", F.col(text)).withColumn("__1", nfkc(F.col("__0"))).withColumn("__2", strip(F.col("__1"))).withColumn("__3", collapse(F.col("__2"))).withColumn("__4", casefold(F.col("__3")))
     steps = steps.withColumn("__5", F.when(final, strip(without_sentence_end(F.col("__4")))).otherwise(F.col("__4")))
     names = ("unicode:NFKC", "trim", "collapse_whitespace", "casefold", "strip_terminal_punctuation")
@@ -65,8 +61,9 @@ def extract_key(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.inline(whole))
 
 
-def note_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTE_TYPES), "name string, key_type string, folders map<string,string>, required array<string>")
+def note_types(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """The note types of checked registry files."""
+    return registries.load(spark, folder).note_types.select(F.col("id").alias("name"), "key_type", "folders", "required")
 
 
 def validate_notes(parsed: DataFrame, types: DataFrame) -> DataFrame:
@@ -207,7 +204,24 @@ def migrate_keys(parsed: DataFrame, audit: DataFrame) -> DataFrame:
     return rewrite_keys(own_key_renamed(parsed, changed), changed.groupBy("old_key").agg(F.min("new_key").alias("new_key")))
 
 
-def quality_gate(issues: DataFrame, audit: DataFrame, relation_issues: DataFrame) -> DataFrame:
-    """(check, found, passed): validation errors, key changes and relation errors must all be none."""
+def smoke_lookups(index: LookupIndex, q: DataFrame, expected: DataFrame, views: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """(check, found, passed, missing) for each check of expected(check, qid, item_key): the keys that its query's ranked lookup must bring.
+
+    A key may also come as what a match is related to (views of relations). found counts the missing keys, of which missing names up to the first in order.
+    """
+    hits = graded_lookup(index, q, n).select("qid", "item_key")
+    if views is not None:
+        related = hits.join(views.select("item_key", "other_key"), "item_key").select("qid", F.col("other_key").alias("item_key"))
+        hits = hits.unionByName(related)
+    brought = hits.distinct().withColumn("__brought", F.lit(True))
+    rows = expected.join(brought, ["qid", "item_key"], "left")
+    lost = F.when(F.col("__brought").isNull(), F.col("item_key"))
+    return rows.groupBy("check").agg(F.count(lost).alias("found"), F.min(lost).alias("missing")).select("check", "found", (F.col("found") == 0).alias("passed"), F.coalesce("missing", F.lit("")).alias("missing"))
+
+
+def quality_gate(issues: DataFrame, audit: DataFrame, relation_issues: DataFrame, smoke: DataFrame | None = None) -> DataFrame:
+    """(check, found, passed, missing): validation errors, key changes and relation errors must all be none; so must the keys that smoke_lookups miss."""
     row = lambda df, name: df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("check"), "found", (F.col("found") == 0).alias("passed"))
-    return row(issues.filter("severity = 'error'"), "validation").unionByName(row(audit.filter("changed"), "keys")).unionByName(row(relation_issues.filter("severity = 'error'"), "relations"))
+    counted = row(issues.filter("severity = 'error'"), "validation").unionByName(row(audit.filter("changed"), "keys")).unionByName(row(relation_issues.filter("severity = 'error'"), "relations"))
+    counted = counted.withColumn("missing", F.lit(""))
+    return counted if smoke is None else counted.unionByName(smoke)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import norm_cell, norm_low, section, strip
+from notelake.functions.text import let, norm_cell, norm_low, section, strip
 from notelake.operators.index import looked_up
 from notelake.operators.notes import prop
 
@@ -101,14 +101,19 @@ def sync_card_status(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.withColumn("new_status", F.when(keep, F.col("status")).otherwise(mapped)).drop("__key", "__status")
 
 
+def vocabulary_path(word: Column, language: Column) -> Column:
+    """The note of a word: its text without signs that file names may not have, in the folder of its language; null for an empty word."""
+    name = F.regexp_replace(strip(F.regexp_replace(strip(word), r'[\\/:*?"<>|]', " ")), " +", " ")
+    folder = F.when(F.lower(language) == "german", "German").otherwise("English")
+    return F.when(strip(word) != "", F.concat(F.lit("Vocabulary/"), folder, F.lit("/"), F.left(name, F.lit(120)), F.lit(".md")))
+
+
 def upsert_vocabulary(rows: DataFrame, notes: DataFrame, as_of: str, count_again: bool = False) -> DataFrame:
     """(path, term, seen_count, last_seen, action) for vocabulary rows(word, language, line_no) against notes(path, seen_count).
 
     A note that exists is touched only with count_again, as every run would count it once more.
     """
-    name = F.regexp_replace(strip(F.regexp_replace(strip(F.col("word")), r'[\\/:*?"<>|]', " ")), " +", " ")
-    folder = F.when(F.lower("language") == "german", "German").otherwise("English")
-    made = rows.filter(strip(F.col("word")) != "").withColumn("path", F.concat(F.lit("Vocabulary/"), folder, F.lit("/"), F.left(name, F.lit(120)), F.lit(".md")))
+    made = rows.withColumn("path", vocabulary_path(F.col("word"), F.col("language"))).filter("path IS NOT NULL")
     words = made.groupBy("path").agg(F.min_by("word", "line_no").alias("term"))
     old = notes.select("path", F.col("seen_count").alias("__seen"))
     joined = words.join(old, "path", "left")
@@ -117,3 +122,56 @@ def upsert_vocabulary(rows: DataFrame, notes: DataFrame, as_of: str, count_again
         "path", "term", F.when(is_new, 1).otherwise(F.col("__seen") + int(count_again)).alias("seen_count"), F.lit(as_of[:10]).alias("last_seen"),
         F.when(is_new, "created").otherwise("updated" if count_again else "unchanged").alias("action"),
     )
+
+
+#: The headings under which a word's examples stand, and what follows each.
+CONTEXTS, EXAMPLES, RELATED = "## Contexts", "## Example Sentences", "## Related"
+
+
+def _before(text: Column, heading: str, block: Column) -> Column:
+    """text with block before the first place of heading; without the heading as it is."""
+    at = F.instr(text, heading)
+    return F.when(at > 0, F.concat(F.left(text, at - 1), block, F.substr(text, at, F.length(text)))).otherwise(text)
+
+
+def _first(text: Column, pattern: str, value: Column) -> Column:
+    """text with what follows the pattern's group 2 at its first place replaced by value."""
+    return F.regexp_replace(text, F.lit(rf"(?s)\A(.*?)({pattern[0]}){pattern[1]}"), F.concat(F.lit("$1$2"), value))
+
+
+def merge_examples(rows: DataFrame, notes: DataFrame, as_of: str, count_again: bool = False) -> DataFrame:
+    """(path, text, n_added, action) of notes(path, text) that vocabulary rows(word, language, line_no, example, source) name.
+
+    Rows and note are merged by example: one that the note's text does not hold yet is added once, with its source before the example
+    sentences where there are contexts, and in the sentences themselves, before what is related. Its earliest row counts. The seen
+    counts grow by the examples added (with count_again by all rows) and the dates are the day's; a note that gains nothing stays as it
+    is, so a second run changes nothing. Words without a note are not in the result.
+    """
+    made = rows.withColumn("path", vocabulary_path(F.col("word"), F.col("language"))).filter("path IS NOT NULL")
+    counts = made.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+    said = made.select("path", "line_no", strip(F.coalesce("example", F.lit(""))).alias("example"), F.coalesce(F.nullif(strip(F.col("source")), F.lit("")), F.lit("Vocabulary Inbox")).alias("source"))
+    # Many rows of one example are one before a note's examples are brought together; its text will hold those anyway.
+    once = said.filter("example <> ''").groupBy("path", "example").agg(F.min(F.struct("line_no", "source")).alias("at"))
+    unseen = once.join(notes.select("path", "text"), "path").filter(~F.contains("text", "example")).select("path", F.struct("at.line_no", "example", "at.source").alias("e"))
+    gained = unseen.groupBy("path").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    joined = notes.select("path", "text").join(counts, "path").join(gained, "path", "left")
+
+    def put(t: Column, e: Column) -> Column:
+        context = F.concat(F.lit("\n- "), e["source"], F.lit("\n  - "), e["example"], F.lit("\n\n"))
+        with_context = F.when(F.contains(t, F.lit(CONTEXTS)), _before(t, EXAMPLES, context)).otherwise(t)
+        line = F.concat(F.lit("- "), e["example"], F.lit("\n\n"))
+        # An example inside one that was added just before is there already.
+        return F.when(F.contains(t, e["example"]), t).otherwise(let(with_context, lambda w: F.when(F.contains(w, F.lit(EXAMPLES)), _before(w, RELATED, line)).otherwise(w)))
+
+    start = F.struct(F.col("text").alias("t"), F.lit(0).alias("n"))
+    step = lambda s, e: let(put(s["t"], e), lambda t: F.struct(t.alias("t"), (s["n"] + (t != s["t"]).cast("int")).alias("n")))
+    merged = joined.withColumn("m", F.aggregate(F.coalesce("es", F.array().cast("array<struct<line_no:int,example:string,source:string>>")), start, step))
+    more = F.col("n_rows") if count_again else F.col("m.n")
+    seen = F.coalesce(F.nullif(F.regexp_extract("text", r"(?s)\A---.*?\bseen_count:\s*(\d+)", 1), F.lit("")).cast("long"), F.lit(1)) + more
+    day = F.lit(as_of[:10])
+    text = _first(F.col("m.t"), (r"seen_count:\s*", r"\d+"), seen.cast("string"))
+    for field in ("last_seen", "updated_at"):
+        text = _first(text, (rf"{field}:\s*", r"[^\n]*"), day)
+    text = _first(text, (r"🔁 Seen:\s*", r"\d+"), seen.cast("string"))
+    changed = more > 0
+    return merged.select("path", F.when(changed, text).otherwise(F.col("text")).alias("text"), F.col("m.n").cast("long").alias("n_added"), F.when(changed, "updated").otherwise("unchanged").alias("action"))

@@ -14,14 +14,16 @@ from notelake.operators import index as I
 from notelake.operators import notes as N
 from notelake.operators import quality as H
 from notelake.operators import queues as U
+from notelake.operators import search as S
 from notelake.operators import study as Y
 from notelake.plans import oracle as O
 from notelake.plans.graph_queries import GRAPH, audit, relations_of
 from notelake.plans.index_queries import ITEM_COLUMNS, items_of, parsed, stored
 from notelake.plans.index_queries import ORACLE as INDEX_ORACLE
 from notelake.plans.oracle import PRELUDE
-from notelake.plans.search_queries import _act, _sentences, activity_view, touched
-from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, view
+from notelake.plans.search_queries import ORACLE as SEARCH_ORACLE
+from notelake.plans.search_queries import _act, _sentences, activity_view, lookup_table, terms, touched
+from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, WORD_NOTES, view
 from notelake.sources import files
 from notelake.sources.markdown import markdown_tables
 from notelake.sources.tables import shared_folder, written
@@ -100,7 +102,10 @@ def h11_run_summary(spark, sf_dir):
 
 def h12_quality_gate(spark, sf_dir):
     notes = stored(spark, sf_dir)
-    return H.quality_gate(H.validate_notes(notes, H.note_types(spark)), H.audit_keys(keys_of(notes)), audit(spark, sf_dir)[0])
+    q = terms(spark, sf_dir)
+    expected = q.select(F.concat(F.lit("lookup "), F.col("qid").cast("string")).alias("check"), "qid", F.concat_ws("|", F.lit("vocabulary"), F.coalesce("language", F.lit("english")), "text").alias("item_key"))
+    smoke = H.smoke_lookups(S.index_for_grades(lookup_table(notes)), q, expected)
+    return H.quality_gate(H.validate_notes(notes, H.note_types(spark)), H.audit_keys(keys_of(notes)), audit(spark, sf_dir)[0], smoke)
 
 
 def i1_approve_vocabulary(spark, sf_dir):
@@ -118,6 +123,13 @@ def i7_upsert_vocabulary(spark, sf_dir):
     return U.upsert_vocabulary(rows, items_of(stored(spark, sf_dir)).select(F.col("obsidian_path").alias("path"), "seen_count"), AS_OF).drop("term")
 
 
+def i7_merge_examples(spark, sf_dir):
+    """Every part's type and brand as an example of its name, merged into the notes of names."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = part.select(F.col("p_name").alias("word"), F.lit("English").alias("language"), F.col("p_partkey").cast("int").alias("line_no"), F.concat_ws(" of ", "p_type", "p_brand").alias("example"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("source"))
+    return U.merge_examples(rows, view(spark, sf_dir, WORD_NOTES), AS_OF)
+
+
 def i5_mark_candidates(spark, sf_dir):
     return U.mark_candidates(stored(spark, sf_dir))
 
@@ -184,7 +196,7 @@ QUERIES = {
     for f in (
         a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h5_migrate_keys, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j1_deck_search, j1_card_relations, j2_deck_summary, k1_touch_stream,
-        k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, b20_safe_name, b21_fix_path, b23_review_status,
+        k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, i7_merge_examples, b20_safe_name, b21_fix_path, b23_review_status,
     )
 }
 
@@ -251,11 +263,17 @@ ORACLE = {
     + """, bare AS (SELECT *, regexp_replace(lower(target), '\\.md$', '') AS b FROM cands) SELECT path, relation_type, target FROM bare o WHERE origin = 1
     AND NOT EXISTS (SELECT 1 FROM bare g WHERE g.origin = 0 AND g.path = o.path AND g.relation_type = o.relation_type AND g.b = o.b) QUALIFY row_number() OVER (PARTITION BY path, relation_type, b ORDER BY ord, pos) = 1""",
     "h11_run_summary": PRELUDE + f", changes AS (SELECT CASE WHEN {_version} = note_text THEN 'unchanged' ELSE 'would_update' END AS status FROM props) SELECT status, count(*) AS n FROM changes GROUP BY 1 UNION ALL SELECT 'scanned', count(*) FROM changes",
-    "h12_quality_gate": GRAPH
+    "h12_quality_gate": "SELECT * FROM ("
+    + GRAPH
     + _issues
     + _audit
-    + """ SELECT 'validation' AS "check", count(*) AS found, count(*) = 0 AS passed FROM note_issues WHERE severity = 'error' UNION ALL SELECT 'keys', count(*), count(*) = 0 FROM key_audit WHERE old_key <> new_key
-    UNION ALL SELECT 'relations', count(*), count(*) = 0 FROM issues WHERE severity = 'error'""",
+    + """ SELECT 'validation' AS "check", count(*) AS found, count(*) = 0 AS passed, '' AS missing FROM note_issues WHERE severity = 'error' UNION ALL SELECT 'keys', count(*), count(*) = 0, '' FROM key_audit WHERE old_key <> new_key
+    UNION ALL SELECT 'relations', count(*), count(*) = 0, '' FROM issues WHERE severity = 'error') UNION ALL
+    SELECT 'lookup ' || b.item_id, CASE WHEN h.qid IS NULL THEN 1 ELSE 0 END, h.qid IS NOT NULL, CASE WHEN h.qid IS NULL THEN wanted ELSE '' END FROM (
+        SELECT item_id, 'vocabulary|english|' || regexp_extract(text, '[a-z]{5,}', 0) AS wanted FROM benchmark
+    ) b LEFT JOIN ("""
+    + SEARCH_ORACLE["e5_graded_lookup"]
+    + ") h ON h.qid = b.item_id AND h.item_key = b.wanted",
     "i1_approve_vocabulary": f"""WITH {_tables}, cand AS ({CANDIDATES}), keyed AS (SELECT *, {_low('word_or_phrase')} AS key, status = 'pending_review' AND {O.strip('word_or_phrase')} <> '' AS ready FROM cand)
     SELECT pos, word_or_phrase, CASE WHEN language IN ('english', 'german') THEN language ELSE 'english' END AS target_language,
            CASE WHEN status <> 'pending_review' THEN status WHEN NOT ready THEN 'error' WHEN key IN (SELECT {_low('word')} FROM words) OR row_number() OVER (PARTITION BY key, ready ORDER BY pos) > 1 THEN 'duplicate' ELSE 'approved' END AS new_status FROM keyed""",
@@ -295,6 +313,16 @@ phrases AS (SELECT path, {O.norm_db(f"coalesce(nullif({O.strip('p_sentence')}, '
 ORACLE |= {
     "i3_card_candidates": f"WITH {_tables} SELECT path, word AS front, meaning || chr(10) || chr(10) || source AS back, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END AS language, CASE WHEN contains(section, 'German') THEN 'german' ELSE 'english' END || ' sentence candidate' AS tags FROM words",
     "i7_upsert_vocabulary": f"WITH {_tables} SELECT 'Vocabulary/' || section || '/' || word || '.md' AS path, 1 AS seen_count, '{AS_OF[:10]}' AS last_seen, 'created' AS action FROM words GROUP BY 1",
+    "i7_merge_examples": f"""WITH notes AS ({WORD_NOTES}), rows_of AS (SELECT 'Vocabulary/English/' || p_name || '.md' AS path, p_partkey AS k, p_type || ' of ' || p_brand AS example, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Vocabulary Inbox' END AS source FROM part),
+    once AS (SELECT path, example, min(k) AS k, arg_min(source, k) AS source FROM rows_of GROUP BY path, example),
+    new AS (SELECT path, example, k, source FROM once JOIN notes USING (path) WHERE NOT contains(text, example)),
+    kept AS (SELECT path, k, example, source FROM new n WHERE NOT EXISTS (SELECT 1 FROM new m WHERE m.path = n.path AND m.k < n.k AND contains(m.example, n.example))),
+    lists AS (SELECT path, count(*) AS n, string_agg(chr(10) || '- ' || source || chr(10) || '  - ' || example || chr(10) || chr(10), '' ORDER BY k) AS contexts, string_agg('- ' || example || chr(10) || chr(10), '' ORDER BY k) AS lines FROM kept GROUP BY path),
+    placed AS (SELECT path, text, contains(text, '## Example Sentences') AS has_examples, coalesce(contexts, '') AS contexts, coalesce(lines, '') AS lines, coalesce(n, 0) AS n, contains(text, '## Contexts') AS has_contexts FROM notes LEFT JOIN lists USING (path) WHERE path IN (SELECT path FROM rows_of)),
+    merged AS (SELECT *, CASE WHEN has_examples THEN n ELSE 0 END AS added, CASE WHEN has_examples THEN replace(CASE WHEN has_contexts THEN replace(text, '## Example Sentences', contexts || '## Example Sentences') ELSE text END, '## Related', lines || '## Related') ELSE text END AS grown FROM placed)
+    SELECT path, added AS n_added, CASE WHEN added > 0 THEN 'updated' ELSE 'unchanged' END AS action, CASE WHEN added = 0 THEN text ELSE
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(grown, 'seen_count: [0-9]+', 'seen_count: ' || (CAST(regexp_extract(text, 'seen_count: ([0-9]+)', 1) AS BIGINT) + added)), 'last_seen: [^\n]*', 'last_seen: {AS_OF[:10]}'), 'updated_at: [^\n]*', 'updated_at: {AS_OF[:10]}'),
+            '🔁 Seen: [0-9]+', '🔁 Seen: ' || (CAST(regexp_extract(text, 'seen_count: ([0-9]+)', 1) AS BIGINT) + added)) END AS text FROM merged""",
     "k2_item_stream": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
     "b8_transcript_text": SPOKEN.replace("WHERE has_fm AND type = 'transcript'", "WHERE has_fm") + "SELECT path, md5(text) AS digest FROM spoken",
     "b20_safe_name": f"SELECT doc_id, {_name('text')} AS name FROM documents",

@@ -59,8 +59,17 @@ SELECT 'Vocabulary/list_' || CAST(p_partkey AS STRING) || '.md' AS path,
 FROM part
 """
 
+#: A vocabulary note for every part name that has one of two brands, as it may stand after earlier runs.
+WORD_NOTES = """
+SELECT 'Vocabulary/English/' || p_name || '.md' AS path,
+       '---' || chr(10) || 'type: vocabulary' || chr(10) || 'seen_count: ' || CAST(count(*) AS STRING) || chr(10) || 'last_seen: 2024-01-01' || chr(10) || 'updated_at: 2024-01-01' || chr(10) || '---' || chr(10) || chr(10)
+       || '# ' || p_name || chr(10) || chr(10) || '🔁 Seen: ' || CAST(count(*) AS STRING) || chr(10) || chr(10) || CASE WHEN length(p_name) % 3 = 0 THEN '' ELSE '## Contexts' || chr(10) || chr(10) || '- old' || chr(10) || '  - ' || min(p_type) || chr(10) || chr(10) END
+       || CASE WHEN length(p_name) % 5 = 0 THEN '' ELSE '## Example Sentences' || chr(10) || chr(10) || '- ' || max(p_type) || ' of ' || min(p_brand) || chr(10) || chr(10) END || '## Related' || chr(10) || chr(10) || '- ' || chr(10) AS text
+FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#13') GROUP BY p_name
+"""
+
 #: The tables that the views read.
-SOURCES = {NOTES: "documents", TOUCHES: "events", CANDIDATES: "benchmark", TABLE_NOTES: "part"}
+SOURCES = {NOTES: "documents", TOUCHES: "events", CANDIDATES: "benchmark", TABLE_NOTES: "part", WORD_NOTES: "part"}
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -11,7 +11,7 @@ from notelake.operators import notes as N
 from notelake.plans import oracle as O
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.views import AS_OF, NOTES, view
-from notelake.sources.tables import written
+from notelake.sources.tables import kept_once, written
 
 ITEM_COLUMNS = [
     "type", "language", "text", "normalized", "status", "anki_status", "level", "source_type", "source", "seen_count", "difficulty", "confidence", "obsidian_path", "obsidian_link",
@@ -24,8 +24,8 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed notes as a table: later plans start from plain columns and parse no note twice."""
-    return written(parsed(spark, sf_dir), "parsed-notes")
+    """The parsed notes as a table: later plans, of other queries too, start from plain columns and parse no note twice."""
+    return kept_once(spark, sf_dir, "parsed-notes", lambda: parsed(spark, sf_dir))
 
 
 def items_of(notes: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from notelake.plans.graph_queries import GRAPH, relations_of
 from notelake.plans.index_queries import items, items_of, stored
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.views import AS_OF, TOUCHES, view
-from notelake.sources.tables import shared_folder, written
+from notelake.sources.tables import kept_once, shared_folder, written
 
 
 def passages(spark, sf_dir):
@@ -48,6 +48,10 @@ def docs_of(notes):
     return written(I.build_search_docs(notes), "search-docs")
 
 
+def search_docs(spark, sf_dir):
+    return kept_once(spark, sf_dir, "search-docs", lambda: I.build_search_docs(stored(spark, sf_dir)))
+
+
 def e1_exact_lookup(spark, sf_dir):
     return S.exact_lookup(items(spark, sf_dir), doc_words(spark, sf_dir))
 
@@ -94,20 +98,20 @@ def e8_tokens(spark, sf_dir):
 
 
 def e9_postings(spark, sf_dir):
-    rows = S.build_postings(docs_of(stored(spark, sf_dir)))
+    rows = S.build_postings(search_docs(spark, sf_dir))
     return rows.select("term", "path", "col", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 def text_index(spark, sf_dir, docs=None):
     """The kept full-text index of all search documents."""
     folder = f"{shared_folder(spark).rstrip('/')}/text-index-{uuid.uuid4().hex}"
-    X.add_documents(folder, docs_of(stored(spark, sf_dir)) if docs is None else docs)
+    X.add_documents(folder, search_docs(spark, sf_dir) if docs is None else docs)
     return X.read_index(spark, folder)
 
 
 def e9_extended_index(spark, sf_dir):
     """The index after a first batch with other texts, a second one that replaces some, and a third that strikes some out and brings them back."""
-    docs = docs_of(stored(spark, sf_dir))
+    docs = search_docs(spark, sf_dir)
     folder = f"{shared_folder(spark).rstrip('/')}/text-index-{uuid.uuid4().hex}"
     part = F.pmod(F.xxhash64("path"), F.lit(3))
     X.add_documents(folder, docs.filter(part < 2).withColumn("body", F.when(part == 1, F.concat("title", F.lit(" older text"))).otherwise(F.col("body"))))
@@ -143,7 +147,7 @@ def e13_top_documents(spark, sf_dir):
 
 
 def e14_snippet(spark, sf_dir):
-    docs, q = docs_of(stored(spark, sf_dir)), passages(spark, sf_dir)
+    docs, q = search_docs(spark, sf_dir), passages(spark, sf_dir)
     return S.snippet(docs, q, X.text_search(text_index(spark, sf_dir, docs), q))
 
 

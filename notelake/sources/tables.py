@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+#: Tables that queries of one session share: (application, input, tag) -> path.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept_once(spark: SparkSession, source: str, tag: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes of the files in source, written once a session and input, and again if it was cleared away since."""
+    key = (spark.sparkContext.applicationId, source, tag)
+    path = _KEPT.get(key)
+    if path is not None:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.parquet(path)
+    df = build()
+    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read again: it cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -38,14 +38,16 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style textarea title noscript template iframe noframes svg math object select".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search figure head".split())
-#: Words in an element's class, id or role that name it as beside the article, and those that name an article; an element with both is one.
+#: Words in an element's class, id or role that name it as beside the article, and whole names that name an article: words for one and
+#: for its text, with numbers perhaps, and no other word in the same name. An element with both is an article.
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget\w*|aside|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pager|pagination|toolbar|tags|complementary|navigation|contentinfo)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget\w*|aside|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pager|pagination|toolbar|tags|meta|complementary|navigation|contentinfo)(?:$|[\s_-])",
     re.I,
 )
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body-?text)(?:$|[\s_-])", re.I)
+CONTENT_NAMES = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|content|main)(?:[_-]+(?:article|post|entry|story|content|main|body|text|\d+))*|body-?text)(?:$|\s)", re.I)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)""", re.S)
+#: Comments, tags and declarations. A quotation begins behind an equals sign alone: a value without one ends at white space, whatever signs it has.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: article: 1 inside, -1 outside on a page that has one, 0 on a page without.

@@ -142,6 +142,21 @@ def test_article_names_outweigh_others(name):
     assert got.split("\n")[0] == "My title here" and got.count("word") == 60
 
 
+@pytest.mark.parametrize("name", ["main-menu", "main-nav", "main-header", "article-comments", "post-meta", "content-sidebar", "story-related"])
+def test_boxes_named_after_an_article_are_no_article(name):
+    """Beside a text without a name they are left out and the text stays; inside an article they are left out."""
+    art = f"<h1>My title here</h1><p>{'word ' * 60}</p><p>{'more ' * 40}</p>"
+    beside = html_text.main_text(f'<div class="{name}"><a href=x>Home</a> <a href=y>About</a></div><div>{art}</div><footer>Copyright</footer>')
+    inside = html_text.main_text(f'<article>{art}<div class="{name}"><p>Great stuff said one reader here</p></div></article>')
+    for got in (beside, inside):
+        assert got.startswith("My title here\n") and got.count("word") == 60 and got.count("more") == 40 and "Home" not in got and "Great" not in got
+
+
+def test_quotations_begin_behind_an_equals_sign():
+    assert html_text.main_text("<article><p title=don't>AAA one two</p><p>mid</p><p title=can't>BBB</p></article>") == "AAA one two\nmid\nBBB"
+    assert html_text.main_text("<article><p title = 'a > b' class=\"x>y\" data-q=it's=\"z\">A</p><p it's>B</p></article>") == "A\nB"
+
+
 def test_deep_nesting_is_linear():
     import time
 

@@ -65,9 +65,10 @@ def index_by_text(items: DataFrame) -> LookupIndex:
 
 
 def index_for_grades(items: DataFrame) -> LookupIndex:
-    """The index that graded_lookup reads."""
-    kept = in_order(items, "type", "language", "normalized", "item_key")
-    return LookupIndex(kept, build_grams(kept, "id", _low("normalized"), _low("title"), _low("text_preview")))
+    """The index that graded_lookup reads; its texts are in lower case, once and not for every query that meets them."""
+    lowered = items.withColumns({"__key": _low("item_key"), "__norm": _low("normalized"), "__title": _low("title"), "__preview": _low("text_preview")})
+    kept = in_order(lowered, "type", "language", "normalized", "item_key")
+    return LookupIndex(kept, build_grams(kept, "id", F.col("__norm"), F.col("__title"), F.col("__preview")))
 
 
 def _same(items: DataFrame, text: Column, asked: DataFrame, part: str) -> DataFrame:
@@ -190,29 +191,29 @@ def consolidate(*sources: DataFrame) -> DataFrame:
     for i, s in enumerate(sources):
         one = s.withColumn("__source", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
-    order = Window.partitionBy("item_key").orderBy(F.desc(rich), "__source", "file_path")
-    return rows.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k", "__source")
+    columns = [c for c in rows.columns if c not in ("item_key", "__source")]
+    best = rows.groupBy("item_key").agg(F.min_by(F.struct(*columns), F.struct(-rich, "__source", "file_path")).alias("r"))
+    return best.select("item_key", "r.*").select(*[c for c in rows.columns if c != "__source"])
 
 
 def graded_lookup(items: DataFrame | LookupIndex, q: DataFrame, n: int = 20) -> DataFrame:
     """Items by how they match: key 100, normal form 90, its start 75, a part of it 60, a part of title or preview 40."""
     index = items if isinstance(items, LookupIndex) else index_for_grades(items)
     kept, asked = index.items, _queries(q).withColumn("q_low", F.lower("q_text")).filter("q_low <> ''")
-    met = _same(kept, F.lower("item_key"), asked, "q_low").unionByName(candidates(index.grams, asked, "q_low")).distinct()
+    met = _same(kept, F.col("__key"), asked, "q_low").unionByName(candidates(index.grams, asked, "q_low")).distinct()
     rows = met.join(asked, "qid").join(kept, "id").filter(_fits())
-    norm, ask = _low("normalized"), F.col("q_low")
-    held = F.contains(_low("title"), ask) | F.contains(_low("text_preview"), ask)
-    score = F.when(ask == _low("item_key"), 100).when(ask == norm, 90).when(F.startswith(norm, ask), 75).when(F.contains(norm, ask), 60).when(held, 40)
+    norm, ask = F.col("__norm"), F.col("q_low")
+    held = F.contains("__title", ask) | F.contains("__preview", ask)
+    score = F.when(ask == F.col("__key"), 100).when(ask == norm, 90).when(F.startswith(norm, ask), 75).when(F.contains(norm, ask), 60).when(held, 40)
     graded = rows.select("qid", "id", score.alias("score")).filter("score IS NOT NULL")
     return top(graded, [F.desc("score"), F.asc("id")], n).join(kept.select("id", "item_key"), "id").select("qid", "rank", "item_key", "score")
 
 
 def with_relations(matches: DataFrame, views: DataFrame) -> DataFrame:
-    """matches and the number and text of the relations of each, from either end."""
-    text = F.concat_ws(":", "direction", "relation_type", "other_key")
-    listed = views.groupBy("item_key").agg(F.count(F.lit(1)).alias("n_relations"), F.array_join(F.array_sort(F.collect_list(text)), ";").alias("relations"))
-    rows = matches.join(listed, "item_key", "left")
-    return rows.withColumns({"n_relations": F.coalesce("n_relations", F.lit(0).cast("long")), "relations": F.coalesce("relations", F.lit(""))})
+    """matches with the number of relations of each, and a row for each relation from either end (one without where there is none)."""
+    each = views.select("item_key", "direction", "relation_type", "other_key")
+    counts = each.groupBy("item_key").agg(F.count(F.lit(1)).alias("n_relations"))
+    return matches.join(counts, "item_key", "left").join(each, "item_key", "left").withColumn("n_relations", F.coalesce("n_relations", F.lit(0).cast("long")))
 
 
 def build_postings(docs: DataFrame) -> DataFrame:

@@ -300,8 +300,8 @@ ORACLE = {
     + f""", {_docs}, {_lookup} SELECT item_key, type, language, normalized, title, file_path, text_preview FROM (SELECT *, 0 AS src FROM look UNION ALL SELECT item_key, item_type, language, normalized, NULL, path, NULL, 1 FROM rel_keys)
     QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY {_rich} DESC, src, file_path) = 1""",
     "e7_with_relations": GRAPH
-    + f""", {_doc_words}, hits AS (SELECT qid, item_key FROM items i JOIN asked a ON a.norm = i.normalized WHERE {_fits}), listed AS (SELECT item_key, count(*) AS n, string_agg(x, ';' ORDER BY x) AS relations FROM (SELECT item_key, direction || ':' || relation_type || ':' || other_key AS x FROM views) GROUP BY item_key)
-    SELECT qid, h.item_key, coalesce(n, 0) AS n_relations, coalesce(relations, '') AS relations FROM hits h LEFT JOIN listed l ON l.item_key = h.item_key""",
+    + f""", {_doc_words}, hits AS (SELECT qid, item_key FROM items i JOIN asked a ON a.norm = i.normalized WHERE {_fits}), listed AS (SELECT item_key, count(*) AS n FROM views GROUP BY item_key)
+    SELECT qid, h.item_key, coalesce(n, 0) AS n_relations, direction, relation_type, other_key FROM hits h LEFT JOIN listed l ON l.item_key = h.item_key LEFT JOIN views v ON v.item_key = h.item_key""",
     "e8_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tok('text')} AS t FROM documents)",
     "e9_postings": PRELUDE + f", {_postings} SELECT term, path, col, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM tokens GROUP BY term, path, col",
     "e9_extended_index": PRELUDE + f", {_postings} SELECT term, path, col, count(*) AS tf, df, string_agg(pos, ',' ORDER BY pos) AS positions FROM tokens JOIN (SELECT term, count(DISTINCT path) AS df FROM tokens GROUP BY term) USING (term) GROUP BY term, path, col, df",

@@ -178,3 +178,21 @@ def test_snippets_equal_brute_force(spark):
 
     got = {(r.qid, r.path): r.snippet for r in S.snippet(docs, q, found).collect()}
     assert got == {(i, f"p{k}"): brute(a, b) for i, a in enumerate(asked) for k, b in enumerate(bodies)}
+
+
+def test_links_of_sentences(notes):
+    from notelake.operators import notes as N
+
+    word = "---\ntype: vocabulary\nlanguage: german\nterm: {}\n---\n\n## Related Grammar\n\n{}\n"
+    said = "---\ntype: sentence\nlanguage: {}\nsentence: {}\n---\n\n{}"
+    had = "## Contains Vocabulary\n\n- [[vocabulary/german/haus|old]]\n- [[Vocabulary/German/Alt|Alt]]\n\n## Grammar / Pattern\n\n- [[Grammar/G0|G0]]\n- [[grammar/g1|again]]\n"
+    df = notes(
+        ("Vocabulary/German/Haus.md", word.format("Haus", "- [[Grammar/G1|G1]]\n- [[Grammar/G2|G2]]")), ("Vocabulary/German/im Haus.md", word.format("im Haus", "")), ("Vocabulary/German/c.md", word.format("C++", "")),
+        ("Sentences/German/s1.md", said.format("german", "Ich bin im Haus.", had)), ("Sentences/German/s2.md", said.format("german", "Hausbau mit C++.", "")), ("Sentences/English/s3.md", said.format("english", "Haus", "")),
+    )
+    got = {r.path: (r.vocab_links, r.grammar_links, r.status) for r in E.enrich_links(N.parse_frontmatter(df)).collect()}
+    assert got == {
+        "Sentences/German/s1.md": ("[[Vocabulary/German/Haus|Haus]] [[Vocabulary/German/im Haus|im Haus]] [[Vocabulary/German/Alt|Alt]]", "[[Grammar/G1|G1]] [[Grammar/G2|G2]] [[Grammar/G0|G0]]", "would_update"),
+        "Sentences/German/s2.md": ("[[Vocabulary/German/c|C++]]", "", "would_update"),
+        "Sentences/English/s3.md": ("", "", "unchanged"),
+    }

@@ -68,9 +68,13 @@ def mark_candidates(parsed: DataFrame, min_seen: int = 2, all_ready: bool = Fals
 
 
 def dedupe_cards(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """candidates(deck, front, ...) with the ids of existing(deck, front, note_id) cards of the same deck and front."""
-    held = existing.groupBy("deck", "front").agg(F.array_sort(F.collect_list("note_id")).alias("note_ids"))
-    return candidates.join(held, ["deck", "front"], "left").withColumn("is_duplicate", F.col("note_ids").isNotNull())
+    """candidates(deck, front, ...) with is_duplicate, n_held and note_id: a row for each existing(deck, front, note_id) card of the same deck and front.
+
+    A candidate without such a card has one row and no note_id. A front that very many cards have is many rows, not a large one.
+    """
+    counts = existing.groupBy("deck", "front").agg(F.count("note_id").alias("n_held"))
+    rows = candidates.join(counts, ["deck", "front"], "left").join(existing.select("deck", "front", "note_id"), ["deck", "front"], "left")
+    return rows.withColumns({"n_held": F.coalesce("n_held", F.lit(0).cast("long")), "is_duplicate": F.col("note_id").isNotNull()})
 
 
 def card_candidates(rows: DataFrame, front: Column, back: Column, note: Column, wants: Column, language: Column) -> DataFrame:

@@ -59,7 +59,7 @@ def i4_dedupe_cards(spark, sf_dir):
     word = lambda c: F.regexp_extract(c, "[a-z]{4,}", 0)
     cards = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.col("lang") == "de", "german").otherwise("english").alias("deck"), word("text").alias("front"), F.col("doc_id").alias("note_id"))
     asked = view(spark, sf_dir, CANDIDATES).select("pos", F.col("language").alias("deck"), word("example_sentence").alias("front"))
-    return U.dedupe_cards(asked, cards).select("pos", "is_duplicate", F.coalesce(F.array_join(F.col("note_ids").cast("array<string>"), ","), F.lit("")).alias("note_ids"))
+    return U.dedupe_cards(asked, cards).select("pos", "is_duplicate", "n_held", "note_id")
 
 
 def i6_sync_card_status(spark, sf_dir):
@@ -131,8 +131,8 @@ ORACLE = {
     keyed AS (SELECT *, {_pair('wrong', 'correct')} AS key, status = 'pending_review' AND {O.strip('wrong')} <> '' AND {O.strip('correct')} <> '' AS ready FROM cand)
     SELECT pos, wrong, correct, CASE WHEN status <> 'pending_review' THEN status WHEN NOT ready THEN 'error' WHEN key IN (SELECT key FROM known) OR row_number() OVER (PARTITION BY key, ready ORDER BY pos) > 1 THEN 'duplicate' ELSE 'approved' END AS new_status FROM keyed""",
     "i4_dedupe_cards": f"""WITH asked AS (SELECT pos, language AS deck, regexp_extract(example_sentence, '[a-z]{{4,}}') AS front FROM ({CANDIDATES}))
-    SELECT pos, count(d.doc_id) > 0 AS is_duplicate, coalesce(string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY d.doc_id), '') AS note_ids
-    FROM asked a LEFT JOIN documents d ON CASE WHEN d.lang = 'de' THEN 'german' ELSE 'english' END = a.deck AND regexp_extract(d.text, '[a-z]{{4,}}') = a.front GROUP BY pos""",
+    SELECT pos, d.doc_id IS NOT NULL AS is_duplicate, count(d.doc_id) OVER (PARTITION BY pos) AS n_held, d.doc_id AS note_id
+    FROM asked a LEFT JOIN documents d ON CASE WHEN d.lang = 'de' THEN 'german' ELSE 'english' END = a.deck AND regexp_extract(d.text, '[a-z]{{4,}}') = a.front""",
     "i6_sync_card_status": f"""WITH keyed AS (SELECT doc_id, {O.collapse(O.strip('text'))} AS k FROM documents), last_of AS (SELECT k, max(doc_id) % 4 AS s FROM keyed GROUP BY k)
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' no ' WHEN s IN (0, 1) THEN 'Added' WHEN s = 2 THEN 'Error' WHEN doc_id % 3 = 1 THEN 'Yes' ELSE '' END AS new_status FROM keyed JOIN last_of USING (k)""",
 }

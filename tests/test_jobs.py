@@ -58,8 +58,8 @@ def test_card_status_and_duplicates(spark):
     cands = spark.createDataFrame([(0, "Ein Satz", "error"), (1, " Ein Satz", "approved"), (2, "Zwei", "approved"), (3, "Drei", "odd")], "pos int, sentence string, status string")
     assert {r.sentence: r.new_status for r in U.sync_card_status(rows, cands).collect()} == {"Ein  Satz": "Added", "Zwei": "No", "Drei": ""}
     cards = spark.createDataFrame([("d", "f", 2), ("d", "f", 1)], "deck string, front string, note_id int")
-    got = U.dedupe_cards(spark.createDataFrame([("d", "f"), ("e", "f")], "deck string, front string"), cards).orderBy("deck").collect()
-    assert [(r.is_duplicate, r.note_ids) for r in got] == [(True, [1, 2]), (False, None)]
+    got = U.dedupe_cards(spark.createDataFrame([("d", "f"), ("e", "f")], "deck string, front string"), cards).orderBy("deck", "note_id").collect()
+    assert [(r.is_duplicate, r.n_held, r.note_id) for r in got] == [(True, 2, 1), (True, 2, 2), (False, 0, None)]
     words = spark.createDataFrame([("Haus", "German", 3), ("Haus", "German", 4)], "word string, language string, line_no int")
     have = spark.createDataFrame([("Vocabulary/German/Haus.md", 2)], "path string, seen_count int")
     assert [(r.seen_count, r.action) for r in U.upsert_vocabulary(words, have, "2024-02-01", True).collect()] == [(3, "updated")]

@@ -108,6 +108,10 @@ LABELLED = (
     "call {phone:+33142685300} today, again {phone:33142685300} tomorrow and {phone:0142685300} at night in room b12",
     "tel {phone:+1-202-555-0199} later as {phone:(202)555-0199} or {phone:12025550199} with code 12345678",
     "fax {phone:+4930123456789} is also {phone:030123456789} but 030 alone is not, nor 2024-05-17",
+    "my phone {phone:0897654321} rings, so again {phone:0897654321} or room 0123",
+    "call {phone:312-555-4478} now or {phone:646-555-9034} at 10:30, order 555-12",
+    "tel {phone:0611223344} then fax {phone:040-3344556} and part 30-40-50",
+    "number 0301112223 is an order and 415-555-8899 a part, count 0897654322 too",
     "phone {phone:+12125550100} and then {phone:212-555-0100} from 3rd street 42",
     "card {card:4012888888881881} given twice: {card:4012.8888.8888.1881} and order 99887766554433",
     "visa {card:5500005555555559} and {card:5500_0055_5555_5559} were typed by user 7 at 12:30",
@@ -143,8 +147,7 @@ CHAIN, SKIP = 0, 1
 
 def features(before: str, token: str) -> np.ndarray:
     n, low = len(DIGITS.findall(token)), before.lower().strip(".,:;()\"'")
-    #: Of very long tokens the ends say enough.
-    core = (token if len(token) <= 200 else token[:100] + token[-100:]).strip(EDGE_CHARS)
+    core = token.strip(EDGE_CHARS)
     on = {
         "bias": 1, "has_at": "@" in token, "name_at_host": bool(re.fullmatch(r"[\w.%+-]{3,}@[\w-]{3,}", core)), "at_and_dot": bool(re.fullmatch(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+", core)),
         "three_dots": bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", core)), "four_numbers": bool(re.fullmatch(r"[0-9]{1,3}([^0-9A-Za-z][0-9]{1,3}){3}", core)), "digits_1_5": 1 <= n <= 5, "digits_6_8": 6 <= n <= 8,
@@ -172,8 +175,8 @@ def alike(token: str) -> str:
     if "@" in token:
         name = token.split("@")[0].lower().strip(EDGE_CHARS)
         return f"{name}@" if len(name) > 2 else ""
-    numbers = re.findall("[0-9]+", token[:64])
-    if len(numbers) == 4 and all(len(x) < 4 for x in numbers) and len(token) < 64:
+    numbers = re.findall("[0-9]+", token)
+    if len(numbers) == 4 and all(len(x) < 4 for x in numbers):
         return ".".join(numbers)
     digits = "".join(DIGITS.findall(token))
     return digits[-7:] if len(digits) >= 7 else ""

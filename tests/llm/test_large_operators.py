@@ -364,6 +364,7 @@ def test_pipeline_stages(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
     sf = str(tmp_path)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ def sf(spark, rows, tmp_path_factory):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     found = ["https://WWW.Shop.NET/a?b", "http://example.net/en/x#y", "http://sub.example.net/en/", "http://example.net/fr/", "https://a.example.com/de/1", "https://b.org/fr/2", "https://b.org/de/2", "no scheme", None, "", "x://", "x://H", "http://notexample.net/en/", "http://net/", "y://a://b/c"]
     spark.createDataFrame([(i, u, "") for i, u in enumerate(found)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+    spark.createDataFrame([*((i, i % 3 and 1, 0) for i in range(20)), (2, 0, 0), (5, None, 0), (None, 1, 0), (999, 1, 1)], "doc_id long, quality long, toxic long").write.parquet(f"{at}/labels.parquet")
     return str(at)
 
 
@@ -82,21 +84,38 @@ def test_op3(spark, sf, rows):
     assert answers(spark, sf, "op3_secret_scan", ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]) == want
 
 
-def test_op4(spark, sf, rows):
+def test_op4(spark, sf, rows, monkeypatch):
     import zstandard
 
-    def brute(t):
+    monkeypatch.setattr(quality, "LEAST_GOOD", 1)
+
+    label = {}
+    for r in pq.read_table(f"{sf}/labels.parquet").to_pylist():
+        if r["quality"] is not None:
+            label[r["doc_id"]] = min(r["quality"], label.get(r["doc_id"], 1))
+    squeezed = lambda b: len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(b)) / len(b)
+    pieces = lambda b: [b[i : i + 4096] for i in range(0, len(b) - 4096, 4096)] + [b[-4096:]] if len(b) > 4096 else []
+    whole, chunked = [], []
+
+    def brute(t, of=None):
         words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
         windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
         n = Counter(windows)
         covered = {i + j for i, w in enumerate(windows) if n[w] > 1 for j in range(5)}
         failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
-        raw, ratio = t.encode(), lambda b: len(zstandard.compress(b, quality.LEVEL)) / len(b)
-        inside = lambda b: next(low <= ratio(b) <= high for most, low, high in quality.LABELLED_BANDS if len(b) <= most)
-        chunks = [c for i in range(0, len(raw), quality.CHUNK_BYTES) if len(c := raw[i : i + quality.CHUNK_BYTES]) >= quality.SHORTEST_CHUNK]
-        kept = not failed and inside(raw) and sum(not inside(c) for c in chunks) <= quality.CHUNK_SHARE * len(chunks)
+        raw = t.encode()
+        if of is not None and not failed:
+            whole.append((len(raw), round(squeezed(raw), 3), of, 1))
+            chunked.extend((4096, round(squeezed(c), 3), of, 1) for c in pieces(raw))
+        inside = lambda b, bands: next(low <= squeezed(b) <= high for most, low, high in bands if len(b) <= most)
+        outside = [not inside(c, chunk_bands) for c in pieces(raw)]
+        kept = not failed and inside(raw, bands) and sum(outside) <= quality.CHUNK_SHARE * len(outside)
         return len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed, kept
 
+    bands, chunk_bands = quality.DOCUMENT_BANDS, quality.CHUNK_BANDS
+    for i, t in rows:
+        brute(t or "", label.get(i) == 1 if t is not None and i in label else None)
+    bands, chunk_bands = quality.fitted_bands(whole), quality.fitted_bands(chunked, quality.CHUNK_BANDS, (float("inf"),))
     want = Counter((i, *brute(t or "")) for i, t in rows)
     assert answers(spark, sf, "op4_quality_rules", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]) == want
 
@@ -151,7 +170,7 @@ def test_op9(spark, sf, rows):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, name, tmp_path):
-    for table, kind in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string"}.items():
+    for table, kind in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality long, toxic long"}.items():
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 

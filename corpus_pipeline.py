@@ -14,8 +14,8 @@ from notelake.llm.shared import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave the compression bands of labelled good text go."""
-    return quality.keep_good(docs, **quality.FITTED)
+    """Documents that fail the base rules or leave the compression bands fitted on labelled text go."""
+    return quality.keep_good(docs, **quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -282,6 +282,32 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, leaf_points, points_a_l
     assert {p: got.get(p, p) for p in signed} == root
 
 
+@pytest.mark.parametrize("spread", [64, 24])
+def test_trees_in_leaves_lose_no_pair_and_compare_less(spread):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    low = np.uint64((1 << spread) - 1)
+    points = np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64) & low)
+    points = np.unique(np.concatenate([points, points[:500] ^ np.uint64(0b1011), points[:300] ^ np.uint64(1 << 9)]))
+    own, every = np.arange(len(points) // 3), np.arange(len(points))
+    met, pairs = 0, set()
+    for stored, others in simhash.meetings(points, own, every):
+        met += len(stored) * len(others)
+        near = np.bitwise_count(points[stored][:, None] ^ points[others][None, :]) <= 4
+        pairs |= {(int(stored[i]), int(others[j])) for i, j in np.argwhere(near)}
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.bitwise_count(points[own][:, None] ^ points[None, :]) <= 4)}
+    assert pairs == want and met < 0.9 * len(own) * len(every)
+
+
+def test_vantage_points_come_from_the_data():
+    rng = random.Random(3)
+    blocks = [rng.getrandbits(16) for _ in range(256)]
+    chosen = simhash.vantage_points(blocks)
+    assert len(set(chosen)) == simhash.MOST_LEVELS and set(chosen) <= {*blocks, *simhash.SPARE_POINTS} and len(set(chosen) & set(blocks)) > 8
+    assert len(set(simhash.vantage_points([7, 7]))) == simhash.MOST_LEVELS and simhash.leaves_of_levels(chosen)[-1] > 20_000
+
+
 # Decontamination
 
 

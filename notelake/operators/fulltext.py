@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from notelake.operators.search import K1, B, _fits, build_postings, query_terms, top
+from notelake.operators.search import K1, B, _fits, build_postings, query_terms, query_words, top
 from notelake.sources import versions
 from notelake.sources.tables import written
 
@@ -169,14 +169,41 @@ def phrase_match(index: TextIndex, q: DataFrame) -> DataFrame:
     return found.groupBy("qid", "path", "col", "start", "n_terms").agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms").select("qid", "path").distinct()
 
 
+class SplitWords(NamedTuple):
+    """Queries with words that are no single token of the index, and the documents that hold each of these words as a phrase."""
+
+    queries: DataFrame
+    hits: DataFrame
+
+
+def split_words(index: TextIndex, q: DataFrame) -> SplitWords | None:
+    """None if every word of every query is one token. A word without any token, such as _, is held by no document."""
+    words = written(query_words(q).filter("n_tokens <> 1").select("qid", "word", "text"), "split-words")
+    if words.isEmpty():
+        return None
+    wanted = words.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"))
+    held = phrase_match(index, words.select(F.struct("qid", "word").alias("qid"), "text")).groupBy(F.col("qid.qid").alias("qid"), "path").agg(F.count(F.lit(1)).alias("n"))
+    return SplitWords(words.select("qid").distinct(), written(held.join(wanted, "qid").filter("n = wanted").select("qid", "path"), "split-word-hits"))
+
+
+def _holding(rows: DataFrame, split: SplitWords | None) -> DataFrame:
+    """rows(qid, path, ...) whose document holds the query's split words."""
+    if split is None:
+        return rows
+    return rows.join(split.queries, "qid", "left_anti").unionByName(rows.join(split.hits, ["qid", "path"], "left_semi"))
+
+
 def all_terms_match(index: TextIndex, q: DataFrame) -> DataFrame:
-    """(qid, path): every token of the query is somewhere in title or body. Only documents with the rarest token are asked for the others."""
+    """(qid, path): every word of the query is somewhere in title or body, one that the index splits as a phrase.
+
+    Only documents with the rarest token are asked for the others.
+    """
     terms = written(index_terms(index, q).groupBy("qid", "term").agg(F.max("df").alias("df")), "all-terms")
     per = terms.groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("wanted"))
     first = written(_met(index.postings, per, "term").select("qid", "path", "wanted").distinct(), "rarest-hits")
     others = first.join(terms.select("qid", "term"), "qid")
     found = _met(index.postings, others, "term", "path").select("qid", "path", "term", "wanted").distinct()
-    return found.groupBy("qid", "path", "wanted").agg(F.count(F.lit(1)).alias("n")).filter("n = wanted").select("qid", "path")
+    return _holding(found.groupBy("qid", "path", "wanted").agg(F.count(F.lit(1)).alias("n")).filter("n = wanted").select("qid", "path"), split_words(index, q))
 
 
 def query_weights(index: TextIndex, q: DataFrame) -> DataFrame:
@@ -212,13 +239,14 @@ def block_bounds(index: TextIndex, weights: DataFrame) -> DataFrame:
 
 
 def top_documents(index: TextIndex, q: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The n best documents with all terms of each query (qid, path, score), and (qid, n_blocks, n_read) of the work."""
+    """The n best documents with all words of each query (qid, path, score), and (qid, n_blocks, n_read) of the work."""
+    split = split_words(index, q)
     weights = written(query_weights(index, q), "query-weights")
     bounds = written(block_bounds(index, weights), "block-bounds")
     order = Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block")
     ranked = bounds.withColumn("k", F.row_number().over(order))
     asked = q.select("qid", F.col("language").alias("q_language"), F.col("type").alias("q_type"))
-    fitting = lambda rows: rows.join(index.docs.select("path", "language", "type"), "path").join(asked, "qid").filter(_fits()).select("qid", "path", "score")
+    fitting = lambda rows: _holding(rows, split).join(index.docs.select("path", "language", "type"), "path").join(asked, "qid").filter(_fits()).select("qid", "path", "score")
     first = written(fitting(bm25(index, weights, blocks=ranked.filter(F.col("k") <= FIRST_BLOCKS * n).select("qid", "segment", "block"))), "first-scores")
     least = top(first, [F.desc("score"), F.asc("path")], n).groupBy("qid").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("held"))
     more = ranked.join(least, "qid", "left").filter(F.col("k") > FIRST_BLOCKS * n)

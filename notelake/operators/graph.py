@@ -174,6 +174,13 @@ def audit_relations(relations: DataFrame, keys: DataFrame, types: DataFrame) ->
     )
 
 
+def duplicate_rows(edges: DataFrame) -> DataFrame:
+    """(source_key, relation_type, target_key, n, path, ord, pos) of every edge whose triple is stated n > 1 times: the rows behind duplicate_relation."""
+    triple = ["source_key", "relation_type", "target_key"]
+    twice = edges.groupBy(*triple).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return edges.select(*triple, "path", "ord", "pos").join(twice, triple).select(*triple, "n", "path", "ord", "pos")
+
+
 def audit_summary(issues: DataFrame, relations: DataFrame) -> DataFrame:
     """(dim, value, n): issues by severity and code, edges by type, and edges without an error."""
     count = lambda df, dim, col: df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(dim).alias("dim"), "value", "n")

@@ -66,12 +66,13 @@ def note_types(spark: SparkSession, folder: str | None = None) -> DataFrame:
     return registries.load(spark, folder).note_types.select(F.col("id").alias("name"), "key_type", "folders", "required")
 
 
-def validate_notes(parsed: DataFrame, types: DataFrame) -> DataFrame:
-    """Issues (path, severity, code, field) of notes: the first three codes end a note's checks."""
+def validate_notes(parsed: DataFrame, types: DataFrame, untyped: bool = True) -> DataFrame:
+    """Issues (path, severity, code, field) of notes: the first three codes end a note's checks. Notes that state no type are left out on request."""
     base = parsed.select(
         "path", "has_fm", "props", F.lower(strip(filled(strip(prop("type")), filled(strip(prop("item_type")), prop("note_type"))))).alias("kind"),
         F.lower(strip(filled(strip(prop("language")), prop("lang")))).alias("lang"), filled(strip(prop("normalized")), filled(strip(prop("normalized_text")), strip(prop("canonical")))).alias("norm"),
     )
+    base = base if untyped else base.filter("kind <> ''")
     rows = norm_key(base.join(F.broadcast(types.withColumnRenamed("name", "kind")), "kind", "left"), "norm", "key_type")
     issue = lambda severity, code, field: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (field if isinstance(field, Column) else F.lit(field).cast("string")).alias("field"))
     has_value = lambda name: F.coalesce(F.size(F.filter(F.try_element_at("props", name), lambda v: strip(v) != "")) > 0, F.lit(False))

@@ -229,6 +229,12 @@ def query_terms(q: DataFrame) -> DataFrame:
     return rows.select("qid", F.size("t").alias("n_terms"), F.posexplode("t").alias("ord", "term"))
 
 
+def query_words(q: DataFrame) -> DataFrame:
+    """(qid, word, text, n_tokens): the words of each query as they are typed. They may hold signs at which the index splits, such as _."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_\u00C0-\u1EF9]+)"), F.lit(1))
+    return q.select("qid", F.posexplode(words).alias("word", "text")).withColumn("n_tokens", F.size(tokens(F.col("text"))))
+
+
 def snippet(docs: DataFrame, q: DataFrame, found: DataFrame, width: int = 20) -> DataFrame:
     """(qid, path, snippet): the first window of width tokens with most query terms, which are put in brackets."""
     terms = q.select("qid", F.array_distinct(tokens(F.col("text"))).alias("terms"))

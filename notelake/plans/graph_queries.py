@@ -89,6 +89,12 @@ def d14_audit_relations(spark, sf_dir):
     return audit(spark, sf_dir)[0]
 
 
+def d14_duplicate_rows(spark, sf_dir):
+    """The rows of edges that are stated more than once, before only the first is kept."""
+    edges = G.canonical_edges(G.validate_edges(resolved(spark, sf_dir), G.taxonomy(spark)))
+    return G.duplicate_rows(written(edges, "stated-edges")).select("source_key", "relation_type", "target_key", "n", "path")
+
+
 def d15_audit_summary(spark, sf_dir):
     issues, rel = audit(spark, sf_dir)
     return G.audit_summary(written(issues, "issues"), rel)
@@ -98,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         d1_generic_candidates, d2_legacy_candidates, d3_relation_keys, d4_resolve_links, d5_validate_edges, d6_canonical_edges, d7_dedupe_edges, d8_build_relations, d9_list_relations,
-        d10_search_keys, d11_neighbors, d12_relation_views, d13_known_keys, d14_audit_relations, d15_audit_summary,
+        d10_search_keys, d11_neighbors, d12_relation_views, d13_known_keys, d14_audit_relations, d14_duplicate_rows, d15_audit_summary,
     )
 }
 
@@ -191,6 +197,7 @@ ORACLE = {
     "d12_relation_views": GRAPH + f"SELECT item_key, direction, relation_type, other_key, {_label} AS label, array_to_string(string_split(other_key, '|')[3:], '|') AS other_text FROM views",
     "d13_known_keys": GRAPH + "SELECT item_key FROM items UNION SELECT item_key FROM rel_keys",
     "d14_audit_relations": GRAPH + "SELECT * FROM issues",
+    "d14_duplicate_rows": GRAPH + "SELECT source_key, relation_type, target_key, count(*) OVER (PARTITION BY source_key, relation_type, target_key) AS n, path FROM canonical QUALIFY n > 1",
     "d15_audit_summary": GRAPH
     + """SELECT 'severity' AS dim, severity AS value, count(*) AS n FROM issues GROUP BY 2 UNION ALL SELECT 'code', code, count(*) FROM issues GROUP BY 2 UNION ALL SELECT 'relation_type', relation_type, count(*) FROM relations GROUP BY 2
     UNION ALL SELECT 'edges', 'valid', count(*) FROM relations r WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.severity = 'error' AND i.source_key = r.source_key AND i.target_key = r.target_key AND i.relation_type = r.relation_type)""",

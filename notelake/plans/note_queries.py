@@ -13,7 +13,7 @@ from notelake.operators import relation_notes as R
 from notelake.plans import oracle as O
 from notelake.plans.index_queries import stored
 from notelake.plans.oracle import PRELUDE
-from notelake.plans.product_queries import SPOKEN, _name
+from notelake.plans.product_queries import SPOKEN, _fold, _folders, _name, _required
 from notelake.plans.views import AS_OF, CANDIDATES, NOTES, view
 from notelake.sources.tables import written
 
@@ -23,7 +23,11 @@ ODD_SECTIONS = f"""SELECT path, CASE WHEN path LIKE '%1.md' OR path LIKE '%8.md'
 #: The notes view with keys of their own: stated, in three fields, or in part.
 ODD_KEYS = f"""SELECT path, CASE WHEN path LIKE '%1.md' THEN replace(text, 'topic:', 'id: one' || chr(10) || 'key: v | english |a|b ' || chr(10) || 'topic:')
     WHEN path LIKE '%2.md' THEN replace(text, 'topic:', 'normalized_text: ' || path || chr(10) || 'topic:') WHEN path LIKE '%3.md' THEN replace(text, 'topic:', 'item_key: a|b|c' || chr(10) || 'topic:') ELSE text END AS text FROM ({NOTES}) n"""
-ERRORS = """SELECT item_id AS pos, CASE WHEN item_id % 7 = 6 THEN ' ' ELSE substr(text, 1, 2) END AS wrong, CASE WHEN item_id % 2 = 0 THEN 'An' ELSE ' an ' END AS correct,
+#: The notes view with stated normal forms and languages; some notes lose their type.
+ODD_NOTES = f"""SELECT path, CASE WHEN path LIKE '%2.md' THEN replace(text, 'topic:', 'normalized: Two  WORDS! ' || chr(10) || 'schema_version: note_v1' || chr(10) || 'language: english' || chr(10) || 'topic:')
+    WHEN path LIKE '%5.md' THEN replace(text, 'topic:', 'normalized: haus' || chr(10) || 'language: German' || chr(10) || 'topic:') WHEN path LIKE '%0.md' THEN replace(text, 'topic:', 'normalized: haus!' || chr(10) || 'language: german' || chr(10) || 'topic:')
+    WHEN path LIKE '%7.md' THEN replace(text, 'type:', 'kind:') WHEN path LIKE '%4.md' THEN replace(text, 'topic:', 'language: ' || chr(10) || 'topic:') ELSE text END AS text FROM ({NOTES}) n"""
+ERRORS = """SELECT item_id AS pos, CASE WHEN item_id % 7 = 6 THEN ' ' WHEN item_id % 3 = 1 THEN text ELSE regexp_extract(text, '[a-z]{5,}', 0) END AS wrong, CASE WHEN item_id % 2 = 0 THEN 'An' ELSE ' an ' END AS correct,
        CASE WHEN item_id % 10 = 9 THEN 'approved' ELSE 'pending_review' END AS status FROM benchmark"""
 
 
@@ -32,6 +36,12 @@ def over(spark, sf_dir, sql, name="documents"):
     return spark.sql(escaped, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 
 
+def h1_validate_odd_notes(spark, sf_dir):
+    """Typed notes alone, by a registry that has no folder for German vocabulary."""
+    types = H.note_types(spark).withColumn("folders", F.map_filter("folders", lambda k, _: (F.col("name") != "vocabulary") | (k != "german")))
+    return H.validate_notes(written(N.parse_frontmatter(over(spark, sf_dir, ODD_NOTES)), "odd-notes"), types, untyped=False)
+
+
 def h7_relations_template(spark, sf_dir):
     return R.relations_template(written(N.parse_frontmatter(over(spark, sf_dir, ODD_SECTIONS)), "odd-sections"))
 
@@ -50,7 +60,8 @@ def b22_source_type(spark, sf_dir):
 
 
 def i2_approve_errors(spark, sf_dir):
-    known = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 5 = 0").select(F.substr("text", F.lit(1), F.lit(2)).alias("wrong"), F.lit("AN ").alias("correct"))
+    """Words and whole passages, against every word of every text as the known errors."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", " ", -1)).alias("wrong"), F.lit("AN ").alias("correct"))
     return U.approve_errors(over(spark, sf_dir, ERRORS, "benchmark"), known).select("pos", "wrong", "correct", "new_status")
 
 
@@ -94,7 +105,7 @@ def g4_annotated_sentences(spark, sf_dir):
     return E.annotated_sentences(notes, items).drop("ord")
 
 
-QUERIES = {f.__name__: f for f in (h7_relations_template, h8_backfill_relations, b17_extract_key, b22_source_type, i2_approve_errors, i4_dedupe_cards, i6_sync_card_status, g2_second_run, g3_extract_totals, g4_annotated_sentences)}
+QUERIES = {f.__name__: f for f in (h1_validate_odd_notes, h7_relations_template, h8_backfill_relations, b17_extract_key, b22_source_type, i2_approve_errors, i4_dedupe_cards, i6_sync_card_status, g2_second_run, g3_extract_totals, g4_annotated_sentences)}
 
 _labels = {
     "vocabulary": "Uses Grammar, Example Of, Similar To, Opposite Of, Contrast With, Confusable With, Translation Of, Translation Variant Of, Formal Variant Of, Informal Variant Of, Slang Variant Of, Register Variant Of",
@@ -117,6 +128,20 @@ ORACLE = {
     + f""", {_scaffolds}, sensed AS (SELECT *, CASE WHEN kind <> 'grammar' AND NOT regexp_matches(r, '(?im)^##\\s+(meaning|meanings / senses|meaning variants)\\s*$') THEN r || {_senses} ELSE r END AS b FROM shaped)
     SELECT path, CASE WHEN kind IS NULL THEN text ELSE e'---\\n' || fm_text || e'\\nrelations_template_version: 1.1\\n---\\n\\n' || CASE WHEN NOT regexp_matches(b, '(?im)^##\\s+relations\\s*$') THEN b || e'\\n\\n' || scaffold
         ELSE replace(b, e'## Relations\\n\\n### Similar To\\n\\n- TODO', scaffold) END || e'\\n' END AS text FROM sensed""",
+    "h1_validate_odd_notes": PRELUDE.replace(f"WITH notes AS ({NOTES})", f"WITH notes AS ({ODD_NOTES})")
+    + f""", required(kind, field) AS (VALUES {_required}), every_folder(kind, lang, folder) AS (VALUES {_folders}), folders AS (SELECT * FROM every_folder WHERE NOT (kind = 'vocabulary' AND lang = 'german')),
+    checked AS (SELECT path, lower({O.strip('p_type')}) AS kind, lower({O.strip('p_language')}) AS lang, {O.strip('p_normalized')} AS norm FROM props),
+    known AS (
+        SELECT *, CASE WHEN kind = 'sentence' THEN {O.strip("regexp_replace(folded, '[.!?。！？]+$', '')")} ELSE folded END AS want
+        FROM (SELECT *, {_fold(O.collapse(O.strip('norm')))} AS folded FROM checked WHERE kind IN (SELECT kind FROM required))
+    )
+    SELECT path, 'error' AS severity, 'unknown_note_type' AS code, 'type' AS field FROM checked WHERE kind <> '' AND kind NOT IN (SELECT kind FROM required)
+    UNION ALL SELECT path, 'error', 'missing_required_frontmatter', r.field FROM known k JOIN required r USING (kind) WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.path = k.path AND fm.key = r.field AND {O.strip('fm.value')} <> '')
+    UNION ALL SELECT path, 'error', 'missing_language', 'language' FROM known k WHERE lang = '' AND EXISTS (SELECT 1 FROM required r WHERE r.kind = k.kind AND r.field = 'language')
+    UNION ALL SELECT path, 'error', 'unsupported_language', 'language' FROM known WHERE lang NOT IN ('', 'english', 'german')
+    UNION ALL SELECT path, 'warning', 'missing_default_folder_for_language', 'language' FROM known k WHERE lang IN ('english', 'german') AND NOT EXISTS (SELECT 1 FROM folders f WHERE f.kind = k.kind AND f.lang = k.lang)
+    UNION ALL SELECT path, 'error', 'normalized_key_mismatch', 'normalized' FROM known WHERE lang <> '' AND norm <> '' AND norm <> want
+    UNION ALL SELECT path, 'warning', 'folder_mismatch', 'path' FROM known k JOIN folders f ON f.kind = k.kind AND f.lang = k.lang WHERE NOT starts_with(k.path, f.folder || '/')""",
     "h8_backfill_relations": PRELUDE
     + f""", {_scaffolds}, old_links AS (SELECT *, regexp_extract(r, '(?m)^## Related Grammar\\n\\n- (\\[\\[[^\\n]*\\]\\])$', 1) AS link FROM shaped)
     SELECT path, CASE WHEN kind = 'vocabulary' AND link <> '' THEN e'---\\n' || fm_text || e'\\nrelation_backfill_version: 1.0\\n---\\n\\n' || r || e'\\n\\n' || replace(scaffold, e'`uses_grammar`\\n\\n- TODO', e'`uses_grammar`\\n\\n- ' || link) || e'\\n' ELSE text END AS text FROM old_links""",
@@ -127,7 +152,7 @@ ORACLE = {
            CASE WHEN whole THEN {O.strip("regexp_replace(k, '^[^|]*\\|[^|]*\\|', '')")} ELSE n END AS normalized FROM chosen WHERE whole OR (t IS NOT NULL AND l IS NOT NULL AND n IS NOT NULL)""",
     "b22_source_type": """SELECT doc_id, CASE WHEN text ILIKE '%stt%' OR text ILIKE '%transcript%' THEN 'stt' WHEN text ILIKE '%tts%' THEN 'tts' WHEN text ILIKE '%writing%' THEN 'writing' WHEN text ILIKE '%dictionary%' THEN 'dictionary'
     WHEN text ILIKE '%reading%' THEN 'reading' ELSE 'manual' END AS source_type FROM documents""",
-    "i2_approve_errors": f"""WITH cand AS ({ERRORS}), known AS (SELECT DISTINCT {_pair("substr(text, 1, 2)", "'AN '")} AS key FROM documents WHERE doc_id % 5 = 0),
+    "i2_approve_errors": f"""WITH cand AS ({ERRORS}), known AS (SELECT DISTINCT {_pair("w", "'AN '")} AS key FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents)),
     keyed AS (SELECT *, {_pair('wrong', 'correct')} AS key, status = 'pending_review' AND {O.strip('wrong')} <> '' AND {O.strip('correct')} <> '' AS ready FROM cand)
     SELECT pos, wrong, correct, CASE WHEN status <> 'pending_review' THEN status WHEN NOT ready THEN 'error' WHEN key IN (SELECT key FROM known) OR row_number() OVER (PARTITION BY key, ready ORDER BY pos) > 1 THEN 'duplicate' ELSE 'approved' END AS new_status FROM keyed""",
     "i4_dedupe_cards": f"""WITH asked AS (SELECT pos, language AS deck, regexp_extract(example_sentence, '[a-z]{{4,}}') AS front FROM ({CANDIDATES}))

@@ -35,6 +35,22 @@ def a4_markdown_tables(spark, sf_dir):
     return rows.select("path", "section", F.col("cells")["Word / Phrase"].alias("word"), F.col("cells")["Meaning"].alias("meaning"), F.col("cells")["Source"].alias("source"))
 
 
+def a5_replaced_partitions(spark, sf_dir):
+    """A written index of items, older ones among the vocabulary, whose partitions are then replaced."""
+    folder = f"{shared_folder(spark).rstrip('/')}/item-index-{uuid.uuid4().hex}"
+    found, words = items_of(stored(spark, sf_dir)), F.col("type") == "vocabulary"
+    files.write_index({"items": found.withColumn("status", F.when(words, "older").otherwise(F.col("status")))}, folder)
+    files.replace_partitions(found.filter(words), folder)
+    return spark.read.parquet(f"{folder}/items").select(*ITEM_COLUMNS)
+
+
+def a7_written_report(spark, sf_dir):
+    """The index summary as it is read back from a report."""
+    folder, rows = f"{shared_folder(spark).rstrip('/')}/report-{uuid.uuid4().hex}", I.index_summary(stored(spark, sf_dir))
+    files.write_report(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
 def b8_transcript_text(spark, sf_dir):
     return parsed(spark, sf_dir).filter("has_fm").select("path", F.md5(N.transcript_text(F.col("body")).cast("binary")).alias("digest"))
 
@@ -194,7 +210,7 @@ def b23_review_status(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        a4_markdown_tables, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h5_migrate_keys, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
+        a4_markdown_tables, a5_replaced_partitions, a7_written_report, b8_transcript_text, b9_clean_display, h1_validate_notes, h2_validation_summary, h3_audit_keys, h4_plan_key_migration, h5_migrate_keys, h6_backfill_schema_version, h8_backfill_links, h9_sync_tags,
         h10_fix_paths, h11_run_summary, h12_quality_gate, i1_approve_vocabulary, i5_mark_candidates, j1_build_deck, j1_deck_search, j1_card_relations, j2_deck_summary, k1_touch_stream,
         k2_item_stream, i3_card_candidates, i7_upsert_vocabulary, i7_merge_examples, b20_safe_name, b21_fix_path, b23_review_status,
     )
@@ -244,6 +260,8 @@ _deck = f""", pieces AS (
 ), named AS (SELECT item_key, direction, CASE relation_type WHEN 'contains_vocabulary' THEN 'Contains Vocabulary' WHEN 'uses_grammar' THEN 'Uses Grammar' WHEN 'similar_to' THEN 'Similar to' END AS label, array_to_string(string_split(other_key, '|')[3:], '|') AS other_text FROM views)"""
 _version = "CASE WHEN has_fm AND p_type <> '' AND p_schema_version = '' THEN '---' || chr(10) || 'schema_version: note_v1' || chr(10) || regexp_replace(substr(note_text, 4), '^\\n', '') ELSE note_text END"
 ORACLE = {
+    "a5_replaced_partitions": PRELUDE + f"SELECT {', '.join(ITEM_COLUMNS)} FROM items",
+    "a7_written_report": INDEX_ORACLE["c4_index_summary"],
     "a4_markdown_tables": f"WITH {_tables} SELECT path, section, word, meaning, source FROM words",
     "h1_validate_notes": PRELUDE + _issues + " SELECT * FROM note_issues",
     "h2_validation_summary": PRELUDE
@@ -258,6 +276,16 @@ ORACLE = {
     + """ SELECT 'duplicate_key' AS code, old_key AS key, count(*) AS n FROM key_audit GROUP BY 2 HAVING count(*) > 1
     UNION ALL SELECT 'merged_keys', new_key, count(*) FROM key_audit WHERE old_key <> new_key GROUP BY 2 HAVING count(*) > 1
     UNION ALL SELECT 'collision', new_key, count(*) FROM key_audit WHERE old_key <> new_key AND new_key IN (SELECT old_key FROM key_audit WHERE old_key = new_key) GROUP BY 2""",
+    "h5_migrate_keys": PRELUDE
+    + _audit
+    + """, moved AS (SELECT old_key, min(new_key) AS new_key FROM key_audit WHERE old_key <> new_key GROUP BY old_key),
+    named AS (SELECT n.path, n.text, k.old_key FROM notes n LEFT JOIN key_audit k USING (path)),
+    best AS (
+        SELECT n.path, m.old_key, m.new_key FROM named n JOIN moved m ON starts_with(n.old_key, m.old_key) AND NOT regexp_matches(substr(n.old_key || '>', length(m.old_key) + 1, 1), '[\\p{L}\\p{N}]')
+        QUALIFY row_number() OVER (PARTITION BY n.path ORDER BY length(m.old_key) DESC) = 1
+    )
+    SELECT n.path, n.text || CASE WHEN n.old_key IS NULL THEN '' ELSE chr(10) || chr(10) || '<' || CASE WHEN b.path IS NULL THEN n.old_key ELSE b.new_key || substr(n.old_key, length(b.old_key) + 1) END || '>' || chr(10) END AS text,
+           CASE WHEN b.path IS NULL THEN 0 ELSE 1 END AS n_replaced FROM named n LEFT JOIN best b ON b.path = n.path""",
     "h6_backfill_schema_version": PRELUDE + f"SELECT path, {_version} AS text FROM props",
     "h8_backfill_links": GRAPH
     + """, bare AS (SELECT *, regexp_replace(lower(target), '\\.md$', '') AS b FROM cands) SELECT path, relation_type, target FROM bare o WHERE origin = 1

@@ -146,6 +146,21 @@ def e13_top_documents(spark, sf_dir):
     return X.top_documents(text_index(spark, sf_dir), passages(spark, sf_dir))[0]
 
 
+def split_word_queries(spark, sf_dir):
+    """Queries: a word and two that a _ joins of every 50th document, and every benchmark text with its words joined in pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 50 = 0")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    none = F.lit(None).cast("string")
+    pair = F.translate(F.regexp_extract("text", "[a-z]+ [a-z]+", 0), " ", "_")
+    some = docs.select(F.col("doc_id").alias("qid"), F.concat_ws(" ", F.regexp_extract("text", "[a-z]{5,}", 0), pair).alias("text"))
+    whole = bench.select((-1 - F.col("item_id")).alias("qid"), F.regexp_replace("text", "([a-z]+) ([a-z]+)", "$1_$2").alias("text"))
+    return some.unionByName(whole).select("qid", "text", none.alias("language"), none.alias("type"))
+
+
+def e13_split_words(spark, sf_dir):
+    return X.text_search(text_index(spark, sf_dir), split_word_queries(spark, sf_dir))
+
+
 def e14_snippet(spark, sf_dir):
     docs, q = search_docs(spark, sf_dir), passages(spark, sf_dir)
     return S.snippet(docs, q, X.text_search(text_index(spark, sf_dir, docs), q))
@@ -228,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e1_exact_lookup, e2_find_items, e3_fuzzy_lookup, e3_levenshtein_lookup, e4_lookup, e5_graded_lookup, e6_consolidate, e7_with_relations, e8_tokens, e9_postings, e9_extended_index, e10_phrase_match,
-        e11_all_terms_match, e12_bm25, e13_text_search, e13_top_documents, e14_snippet, f1_build_activity, f2_item_activity_view, f4_sync_activity, g1_sentences, g2_extract_sentences, g3_extract_summary,
+        e11_all_terms_match, e12_bm25, e13_text_search, e13_top_documents, e13_split_words, e14_snippet, f1_build_activity, f2_item_activity_view, f4_sync_activity, g1_sentences, g2_extract_sentences, g3_extract_summary,
         g4_annotate, g5_match_terms, g5_match_phrases, g6_enrich_links,
     )
 }
@@ -249,6 +264,8 @@ scored AS (
     SELECT q.qid, tf.path, sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * {S.K1 + 1} / (tf + {S.K1} * ({1 - S.B} + {S.B} * len / avg_len))) AS score
     FROM (SELECT DISTINCT qid, term FROM q) q JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (path), stats GROUP BY q.qid, tf.path
 )"""
+_phrase = "phrase AS (SELECT DISTINCT qid, path FROM (SELECT q.qid, t.path, t.col, t.pos - q.ord AS start, n_terms, count(*) AS n FROM q JOIN tokens t USING (term) GROUP BY ALL) WHERE n = n_terms)"
+_first_ten = "QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pass, round(score, 6) DESC, path) <= 10"
 _lookup = f"look AS (SELECT item_key, split_part(item_key, '|', 1) AS type, split_part(item_key, '|', 2) AS language, array_to_string(string_split(item_key, '|')[3:], '|') AS normalized, title, path AS file_path, CASE WHEN length({O.collapse(O.strip('body'))}) > 180 THEN substr({O.collapse(O.strip('body'))}, 1, 177) || '...' ELSE {O.collapse(O.strip('body'))} END AS text_preview FROM docs)"
 _rich = "(CASE WHEN coalesce(title, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(file_path, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(text_preview, '') <> '' THEN 1 ELSE 0 END)"
 _act = f""", names AS (SELECT item_key, status, {O.stem('obsidian_path')} AS title FROM items), touches AS ({TOUCHES}),
@@ -313,6 +330,26 @@ ORACLE = {
     + f""", {_postings}, {_words}, {_all}, {_bm25}, phrase AS (SELECT DISTINCT qid, path FROM (SELECT q.qid, t.path, t.col, t.pos - q.ord AS start, n_terms, count(*) AS n FROM q JOIN tokens t USING (term) GROUP BY ALL) WHERE n = n_terms),
     found AS (SELECT qid, path, min(pass) AS pass FROM (SELECT qid, path, 1 AS pass FROM phrase UNION ALL SELECT qid, path, 2 FROM every_term) GROUP BY qid, path)
     SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pass, round(score, 6) DESC, path) AS rank, path, pass, round(score, 6) AS score FROM found JOIN scored USING (qid, path) QUALIFY rank <= 10""",
+    "e13_split_words": PRELUDE
+    + f""", {_postings}, asked AS (
+        SELECT doc_id AS qid, regexp_extract(text, '[a-z]{{5,}}') || ' ' || replace(regexp_extract(text, '[a-z]+ [a-z]+'), ' ', '_') AS text FROM documents WHERE doc_id % 50 = 0
+        UNION ALL SELECT -1 - item_id, regexp_replace(text, '([a-z]+) ([a-z]+)', '\\1_\\2', 'g') FROM benchmark
+    ), q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t))) AS ord, len(t) AS n_terms FROM (SELECT qid, {_tok('text')} AS t FROM asked)), {_bm25}, {_phrase},
+    said AS (SELECT qid, unnest(w) AS word, unnest(range(len(w))) AS k, len(w) AS n_words FROM (SELECT qid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM asked)),
+    pieces AS (SELECT qid, k, n_words, unnest(t) AS term, unnest(range(len(t))) AS ord, len(t) AS n_terms FROM (SELECT *, {_tok('word')} AS t FROM said)),
+    word_hits AS (SELECT DISTINCT qid, k, n_words, path FROM (SELECT p.qid, p.k, n_words, t.path, t.col, t.pos - p.ord AS start, n_terms, count(*) AS n FROM pieces p JOIN tokens t USING (term) GROUP BY ALL) WHERE n = n_terms),
+    every_word AS (SELECT qid, path FROM word_hits GROUP BY qid, path, n_words HAVING count(*) = n_words),
+    found AS (SELECT qid, path, min(pass) AS pass FROM (SELECT qid, path, 1 AS pass FROM phrase UNION ALL SELECT qid, path, 2 FROM every_word) GROUP BY qid, path)
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pass, round(score, 6) DESC, path) AS rank, path, pass, round(score, 6) AS score FROM found JOIN scored USING (qid, path) QUALIFY rank <= 10""",
+    "e14_snippet": PRELUDE
+    + f""", {_postings}, {_words}, {_all}, {_bm25}, {_phrase},
+    found AS (SELECT qid, path, min(pass) AS pass FROM (SELECT qid, path, 1 AS pass FROM phrase UNION ALL SELECT qid, path, 2 FROM every_term) GROUP BY qid, path),
+    best AS (SELECT qid, path FROM found JOIN scored USING (qid, path) {_first_ten}),
+    spelled AS (SELECT b.qid, b.path, t.pos, t.term, a.term IS NOT NULL AS hit FROM best b JOIN tokens t ON t.path = b.path AND t.col = 'body' LEFT JOIN (SELECT DISTINCT qid, term FROM q) a ON a.qid = b.qid AND a.term = t.term),
+    windows AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY qid, path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n, count(*) OVER (PARTITION BY qid, path) AS len FROM spelled),
+    starts AS (SELECT qid, path, len, pos AS first FROM windows WHERE pos <= greatest(len - 20, 0) QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY n DESC, pos) = 1),
+    shown AS (SELECT qid, path, first, len, string_agg(CASE WHEN hit THEN '[' || term || ']' ELSE term END, ' ' ORDER BY pos) AS words FROM starts JOIN spelled USING (qid, path) WHERE pos BETWEEN first AND first + 19 GROUP BY qid, path, first, len)
+    SELECT qid, path, coalesce(CASE WHEN first > 0 THEN ' ... ' ELSE '' END || words || CASE WHEN first + 20 < len THEN ' ... ' ELSE '' END, '') AS snippet FROM best LEFT JOIN shown USING (qid, path)""",
     "g5_match_phrases": f"""WITH terms AS (SELECT 't' || doc_id AS path, lang, {O.norm_db("CASE doc_id % 5 WHEN 0 THEN regexp_extract(text, '[a-z]{2} [a-z]{2}', 0) WHEN 1 THEN regexp_extract(text, '[a-z]+, [a-z]+', 0) WHEN 2 THEN regexp_extract(text, '[a-z]{2} [a-z]+ [a-z]{2}', 0) WHEN 3 THEN regexp_extract(text, '[a-z]+ [a-z]+ [a-z]+ [a-z]', 0) ELSE regexp_extract(text, '[a-z]+[.,]', 0) END")} AS term FROM documents),
     said AS (SELECT 's' || doc_id AS path, lang, {O.norm_db('text')} AS sentence FROM documents)
     SELECT s.path AS sentence_path, t.path AS term_path FROM said s JOIN terms t ON t.lang = s.lang AND length(t.term) >= 3 AND contains(s.sentence, t.term)

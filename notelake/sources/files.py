@@ -56,6 +56,11 @@ def write_index(tables: dict[str, DataFrame], folder: str) -> None:
         (writer.partitionBy("type", "language") if name == "items" else writer).parquet(f"{folder}/{name}")
 
 
+def replace_partitions(items: DataFrame, folder: str) -> None:
+    """Replaces those partitions of a written index's items that have rows in items; all others stay as they are."""
+    items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("type", "language").parquet(f"{folder}/items")
+
+
 def change_set(before: DataFrame, after: DataFrame, dry_run: bool = True) -> DataFrame:
     """(path, old_text, new_text, status) for notes before and after a job; a note missing afterwards is skipped."""
     rows = before.select("path", F.col("text").alias("old_text")).join(after.select("path", F.col("text").alias("new_text")), "path", "full")

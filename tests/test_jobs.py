@@ -213,3 +213,32 @@ def test_relation_sections(notes):
     assert all(moved[k] == texts[k] for k in texts if k not in ("old", "used"))
     for job, once in ((R.relations_template, made), (R.backfill_relations, moved)):
         assert {r.path: r.text for r in job(N.parse_frontmatter(notes(*once.items()))).collect()} == once
+
+
+def test_untyped_notes_are_left_out_on_request(spark, notes):
+    from notelake.operators import notes as N
+    from notelake.operators import quality as H
+
+    rows = N.parse_frontmatter(notes(("a.md", "plain"), ("b.md", "---\nterm: x\n---\n"), ("c.md", "---\ntype: diary\n---\n"), ("d.md", "---\nnote_type: odd\n---\n")))
+    codes = lambda **how: {(r.path, r.code) for r in H.validate_notes(rows, H.note_types(spark), **how).collect()}
+    typed = {("c.md", "unknown_note_type"), ("d.md", "unknown_note_type")}
+    assert codes(untyped=False) == typed
+    assert codes() == typed | {("a.md", "missing_frontmatter"), ("b.md", "missing_note_type")}
+
+
+def test_rows_behind_duplicate_edges(spark):
+    from notelake.operators import graph as G
+
+    edges = [("a", "r", "b", "n1", 0, 0), ("a", "r", "b", "n2", 1, 0), ("a", "s", "b", "n1", 0, 1), ("a", "r", "b", "n2", 1, 0), ("c", "r", "b", "n3", 0, 0)]
+    got = sorted(map(tuple, G.duplicate_rows(spark.createDataFrame(edges, "source_key string, relation_type string, target_key string, path string, ord int, pos int")).collect()))
+    assert got == [("a", "r", "b", 3, "n1", 0, 0), ("a", "r", "b", 3, "n2", 1, 0), ("a", "r", "b", 3, "n2", 1, 0)]
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    from notelake.sources import files
+
+    frame = lambda *rows: spark.createDataFrame(list(rows), "item_key string, type string, language string")
+    files.write_index({"items": frame(("a", "x", "de"), ("b", "x", "en"), ("c", "y", "de"))}, str(tmp_path))
+    files.replace_partitions(frame(("d", "x", "de"), ("e", "z", "de")), str(tmp_path))
+    files.replace_partitions(frame(), str(tmp_path))
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/items").collect()} == {("d", "x", "de"), ("b", "x", "en"), ("c", "y", "de"), ("e", "z", "de")}

@@ -162,6 +162,32 @@ def test_ranked_search_reads_few_blocks(spark, tmp_path, monkeypatch):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the query's side alone
 
 
+def test_words_that_the_index_splits_are_phrases(spark, tmp_path):
+    import re
+
+    rng = random.Random(12)
+    bodies = [" ".join(rng.choice("aa bb cc dd".split()) for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    docs = [(f"p{i:03}", "de" if i % 3 else "en", "sentence", "", b) for i, b in enumerate(bodies)]
+    X.add_documents(f"{tmp_path}/index", spark.createDataFrame(docs, DOCS))
+    index = X.read_index(spark, f"{tmp_path}/index")
+    asked = ["cc aa_bb", "AA_bb_cc dd", "aa × bb", "aa_bb dd_cc", "aa bb", "aa_", "dd _ aa", "_", "bb_zz aa", "", "aa_bb aa_bb", None]
+    q = spark.createDataFrame([(i, t, "en" if i == 3 else None, None) for i, t in enumerate(asked)], QUERY)
+    holds = lambda words, part: any(words[i : i + len(part)] == part for i in range(len(words))) if part else False
+
+    def every_word(text, body):
+        words = [re.findall("[a-z]+", w) for w in re.findall(r"[\w×]+", (text or "").lower())]
+        return bool(words) and all(holds(body.split(), w) for w in words)
+
+    hits = {(i, p) for i, t in enumerate(asked) for p, _, _, _, b in docs if every_word(t, b)}
+    assert {(r.qid, r.path) for r in X.all_terms_match(index, q).collect()} == hits
+    fits = lambda i, p: i != 3 or p in {d[0] for d in docs if d[1] == "en"}
+    found = X.text_search(index, q, 1000).collect()
+    assert {(r.qid, r.path) for r in found if r["pass"] == 2} <= {h for h in hits if fits(*h)}
+    phrases = {(i, p) for i, t in enumerate(asked) for p, _, _, _, b in docs if holds(b.split(), re.findall("[a-z]+", (t or "").lower()))}
+    assert {(r.qid, r.path) for r in found} == {h for h in hits | phrases if fits(*h)}
+    assert any(r["pass"] == 2 and r.qid == 0 for r in found)
+
+
 def test_snippets_equal_brute_force(spark):
     rng = random.Random(10)
     bodies = [" ".join(rng.choice("aa bb cc dd ee".split()) for _ in range(n)) for n in (0, 1, 19, 20, 21, 60, 300)]
@@ -196,3 +222,31 @@ def test_links_of_sentences(notes):
         "Sentences/German/s2.md": ("[[Vocabulary/German/c|C++]]", "", "would_update"),
         "Sentences/English/s3.md": ("", "", "unchanged"),
     }
+
+
+@pytest.mark.parametrize("name", ["e3_fuzzy_lookup", "e4_lookup"])
+def test_lookup_queries_equal_brute_force(spark, name):
+    from notelake.functions.text import norm_db
+    from notelake.plans import index_queries, registry, search_queries
+
+    sf = "/root/testdata/sf0.001"
+    items = index_queries.items(spark, sf).select("item_key", "normalized", "seen_count", "updated_at", "language").collect()
+    asked = search_queries.terms(spark, sf).select("qid", norm_db(F.col("text")).alias("norm"), "language").collect()
+    want = set()
+    for a in asked:
+        fitting = [i for i in items if a.language in (None, i.language)]
+        exact = sorted((i for i in fitting if i.normalized == a.norm), key=lambda i: i.item_key)
+        for by in ("updated_at", "seen_count"):
+            exact.sort(key=lambda i: i[by], reverse=True)
+        score = lambda i: 100 * SequenceMatcher(None, a.norm, i.normalized).ratio()  # noqa: B023, E731
+        bound = lambda i: 200 * min(len(a.norm), len(i.normalized)) / (len(a.norm) + len(i.normalized))  # noqa: B023, E731
+        near = [(-score(i), -i.seen_count, i.item_key) for i in fitting if a.norm and i.normalized and bound(i) >= 69]
+        near = [(k + 1, n) for k, n in enumerate(sorted(n for n in near if n[0] <= -70)[:10])]
+        if name == "e3_fuzzy_lookup":
+            want |= {(a.qid, k, n[2], round(-n[0], 6)) for k, n in near}
+        else:
+            keys = {i.item_key for i in exact}
+            want |= {(a.qid, "exact", k + 1, i.item_key) for k, i in enumerate(exact)} | {(a.qid, "fuzzy", k, n[2]) for k, n in near if n[2] not in keys}
+    rows = registry.queries()[name](spark, sf).collect()
+    got = {(r.qid, r.rank, r.item_key, round(r.score, 6)) if name == "e3_fuzzy_lookup" else (r.qid, r.match, r["rank"], r.item_key) for r in rows}
+    assert want and got == want and len(rows) == len(got)

@@ -80,6 +80,16 @@ def test_symmetric_pair_is_one_edge(spark, notes):
     assert edges(spark, df) == [("sentence|german|a", "similar_to", "sentence|german|b")]
 
 
+def test_edges_are_compared_without_the_texts_in_their_keys(spark, notes, monkeypatch):
+    held, dedupe = [], G.dedupe_edges
+    monkeypatch.setattr(G, "dedupe_edges", lambda e: (held.append(e.agg(F.max(F.length(F.concat("source_key", "target_key")))).first()[0]), dedupe(e))[1])
+    long = ["Wort " * 2000 + x for x in "AB"]
+    df = notes(("S/a.md", SENTENCE.format(long[0], "Similar To", "S/b")), ("S/b.md", SENTENCE.format(long[1], "Similar To", "S/a")), ("V/w.md", WORD.format("w", "g")), ("G/g.md", RULE.format("Satz")))
+    keys = [f"sentence|german|{x.lower()}" for x in long]
+    assert edges(spark, df) == [(keys[0], "similar_to", keys[1]), ("vocabulary|german|w", "uses_grammar", "grammar|german|satz")]
+    assert held[0] < 200
+
+
 def test_no_edges_is_an_issue(spark, notes):
     rel = G.build_relations(N.parse_frontmatter(notes(("a.md", "x"))), G.taxonomy(spark))
     assert [r.code for r in G.audit_relations(rel, spark.createDataFrame([], "item_key string"), G.taxonomy(spark)).collect()] == ["no_relations_found"]

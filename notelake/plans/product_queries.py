@@ -181,10 +181,10 @@ def k1_touch_stream(spark, sf_dir):
 
 
 def k2_item_stream(spark, sf_dir):
-    """The notes as a stream of four files; the result is the item table after the last of them."""
+    """The notes as a stream of four files; the result is the item table after the last of them. A batch is parsed once, not for every property that is read."""
     folder = f"{shared_folder(spark).rstrip('/')}/item-stream-{uuid.uuid4().hex}"
     view(spark, sf_dir, NOTES).repartition(4, "path").write.parquet(f"{folder}/in")
-    incremental.run_item_stream(spark, f"{folder}/in", f"{folder}/items", f"{folder}/state", lambda notes: I.build_items(N.parse_frontmatter(notes), AS_OF)).awaitTermination()
+    incremental.run_item_stream(spark, f"{folder}/in", f"{folder}/items", f"{folder}/state", lambda notes: I.build_items(written(N.parse_frontmatter(notes), "batch-notes"), AS_OF)).awaitTermination()
     return incremental.read_kept(spark, f"{folder}/items", ", ".join(f"{c} string" for c in ITEM_COLUMNS)).select(*ITEM_COLUMNS)
 
 

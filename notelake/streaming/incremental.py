@@ -97,8 +97,8 @@ def merge_items(current: DataFrame, batch: DataFrame) -> DataFrame:
 def run_item_stream(spark: SparkSession, source: str, folder: str, checkpoint: str, to_items) -> StreamingQuery:
     """Merges items of new note files (Parquet of path, text), a file a batch, into the kept table in folder, which read_kept reads.
 
-    to_items turns a batch of notes into item rows.
+    to_items turns a batch of notes into item rows. A file has few row groups; its notes are dealt out over all cores before they are parsed.
     """
     notes = spark.readStream.schema("path string, text string").option("maxFilesPerTrigger", 1).parquet(source)
-    merge = lambda batch, number: upsert(folder, number, "item_key", to_items(batch), merge_items)
+    merge = lambda batch, number: upsert(folder, number, "item_key", to_items(batch.repartition(PARTS, "path")), merge_items)
     return notes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

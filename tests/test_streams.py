@@ -44,6 +44,21 @@ def test_a_batch_writes_what_it_touches_and_a_replay_nothing(spark, tmp_path):
     assert state()["k5"] == 3 and written_parts(0) == set()
 
 
+def test_notes_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    rows = [(f"n{i}.md", f"text {i}") for i in range(200)]
+    spark.createDataFrame(rows, "path string, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    parts = []
+
+    def to_items(notes):
+        parts.append(notes.select(F.spark_partition_id()).distinct().count())
+        return notes.select(F.col("path").alias("item_key"), "text", F.col("path").alias("obsidian_path"), F.lit("x").alias("created_at"), F.col("path").alias("first_path"))
+
+    K.run_item_stream(spark, f"{tmp_path}/in", f"{tmp_path}/items", f"{tmp_path}/state", to_items).awaitTermination()
+    assert len(parts) == 1 and parts[0] > 20
+    kept = K.read_kept(spark, f"{tmp_path}/items", "item_key string")
+    assert sorted((r.item_key, r.text) for r in kept.collect()) == sorted(rows)
+
+
 def test_a_batch_lost_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
     folder = f"{tmp_path}/kept"
     rows = spark.createDataFrame([("a", 1, None)], "item_key string, access_count long, last_accessed_at timestamp")

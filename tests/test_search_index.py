@@ -89,6 +89,18 @@ def test_terms_in_sentences_equal_brute_force(spark):
     assert any(len(t.split(" ")) > 2 for t in terms)
 
 
+def test_each_different_term_is_looked_for_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS_PER_SALT", 7)
+    texts = spark.createDataFrame([(f"s{i}", "de", "der hund, der alte hund bellt") for i in range(5)], "path string, language string, sentence_norm string")
+    words = spark.createDataFrame([(f"t{i}", "de", t) for i, t in enumerate(["hund", "hund,", "r hu", "r alte hu"] * 20)], "path string, language string, term_norm string")
+    found = E.term_hits(words, texts)
+    assert (found.hits.count(), found.terms.count(), found.unique) == (20, 80, True)
+    got = [(r.sentence_path, r.term_path) for r in E.match_terms(words, texts).collect()]
+    assert sorted(got) == sorted((f"s{i}", f"t{k}") for i in range(5) for k in range(80))
+    twice = words.limit(4).unionByName(words.limit(4).withColumn("term_norm", F.lit("bellt")))
+    assert len(E.match_terms(twice, texts).collect()) == 20
+
+
 DOCS = "path string, language string, doc_type string, title string, body string"
 
 

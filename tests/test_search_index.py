@@ -262,3 +262,18 @@ def test_lookup_queries_equal_brute_force(spark, name):
     rows = registry.queries()[name](spark, sf).collect()
     got = {(r.qid, r.rank, r.item_key, round(r.score, 6)) if name == "e3_fuzzy_lookup" else (r.qid, r.match, r["rank"], r.item_key) for r in rows}
     assert want and got == want and len(rows) == len(got)
+
+
+@pytest.mark.parametrize("per_salt", [5_000, 7])
+def test_relations_of_matches_keep_equal_texts_together(spark, tmp_path, monkeypatch, per_salt):
+    monkeypatch.setattr(S, "RELATIONS_PER_SALT", per_salt)
+    rng = random.Random(3)
+    views = [("hot", rng.choice(("incoming", "outgoing")), "similar_to", "".join(rng.choices("abcdefgh ", k=2_000)) + str(i)) for i in range(60)] + [("one", "incoming", "related_to", "x"), ("other", "incoming", "related_to", "y")]
+    matches = [(i, "hot") for i in range(300)] + [(300, "one"), (301, "none")]
+    found = S.with_relations(spark.createDataFrame(matches, "qid bigint, item_key string"), spark.createDataFrame(views, "item_key string, direction string, relation_type string, other_key string"))
+    assert found.columns == ["item_key", "qid", "n_relations", "direction", "relation_type", "other_key"]
+    want = [(k, q, n, *v[1:]) for q, k in matches for n in [sum(v[0] == k for v in views)] for v in views if v[0] == k] + [("none", 301, 0, None, None, None)]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    found.write.parquet(f"{tmp_path}/out")
+    # 300 times 60 texts of 2,000 letters.
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5_000_000

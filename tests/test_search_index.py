@@ -277,3 +277,20 @@ def test_relations_of_matches_keep_equal_texts_together(spark, tmp_path, monkeyp
     found.write.parquet(f"{tmp_path}/out")
     # 300 times 60 texts of 2,000 letters.
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5_000_000
+
+
+def test_pairs_are_scored_without_a_shuffle_of_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "DOCS_PER_BUCKET", 10)
+    X.add_documents(f"{tmp_path}/index", spark.createDataFrame(doc_rows(random.Random(2), 200), DOCS))
+    assert [p.name.rsplit("-", 1)[1] for p in (tmp_path / "index").glob("segment-*")] == ["32"]  # buckets grow with the documents
+    index, q = X.read_index(spark, f"{tmp_path}/index"), spark.createDataFrame([(0, "haus alt", None, None)], QUERY)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights, pairs = X.written(X.query_weights(index, q), "weights"), X.written(X.all_terms_match(index, q), "pairs")
+        scored = X.bm25(index, weights, pairs=pairs)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert scored.count() == pairs.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(term" not in plan and "SortMergeJoin" in plan

@@ -21,6 +21,7 @@ is read; further columns are carried along, and columns of the names that ``alig
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -37,6 +38,11 @@ from notelake.llm.shared import table, written
 #: A pair of ids as one number: A's id times this, and B's.
 SIDE = 1 << 20
 SLICE_BYTES = 1 << 19
+#: Words whose tokens of A a worker remembers, and how A's byte-level splitter cuts a text into words.
+REMEMBERED = 300_000
+A_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that are letters, digits or white space to one Unicode version and not to another: texts with others are left to A's own splitter.
+UNSURE = r"[^\x09-\x0D\x20-\x7E\u00A0-\u017F\u2010-\u2027\u20AC]"
 BROADCAST_PAIRS, SALTS = 1_000_000, 32
 
 ADDED = "n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string"
@@ -71,15 +77,35 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         if max(len(self.a_bytes), len(self.b_bytes)) > SIDE:
             raise ValueError(f"vocabularies may have {SIDE} entries")
+        import regex
+
+        self.words_of, self.unsure, self.known = regex.compile(A_WORD).findall, regex.compile(UNSURE).search, {}
+        splitter = json.loads(self.a.to_str())
+        # Words are looked up only where A cuts texts as A_WORD does and nothing comes before or after.
+        self.by_word = splitter["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not (
+            splitter["normalizer"] or splitter["truncation"] or splitter["padding"] or any(not x["special"] for x in splitter["added_tokens"])
+        )
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         by_bytes = {x: i for i, x in reversed(list(enumerate(self.b_bytes)))}
         self.same = np.array([by_bytes.get(x, -1) for x in self.a_bytes], np.int64)
         # What the digest has for a token: its id, and the sign after it inside a group and at the group's end.
         self.said = [f"{i}{sign}" for sign in ",|" for i in range(len(self.a_bytes))] + [f"{i}{sign}" for sign in ",;" for i in range(len(self.b_bytes))]
 
+    def a_ids(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of a space and each text: those of its words in order. A word is encoded once, as long as it is remembered."""
+        whole = lambda parts: [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        sure = [self.by_word and not self.unsure(t) for t in texts]
+        words = [self.words_of(" " + t) if ok else [] for t, ok in zip(texts, sure, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        self.known.update(zip(new, whole(new), strict=True))
+        rest = iter(whole([" " + t for t, ok in zip(texts, sure, strict=True) if not ok]))
+        return [list(chain.from_iterable(map(self.known.__getitem__, w))) if ok else next(rest) for w, ok in zip(words, sure, strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of both, empty where one side's bytes are not the text's."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a_ids = self.a_ids(texts)
         b_ids = self.b.encode(texts, num_threads=1)
         for k, t in enumerate(texts):
             want = b" " + t.encode()
@@ -93,10 +119,12 @@ class Tokenizers:
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a_ids, b_ids))
         a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a_ids, n_a), (b_ids, n_b)))
         a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        # All texts in a row: both sides end together at each text's end, so no group spans two texts.
-        a_last, b_last = (x[np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))] == y if len(x) else y > 0 for x, y in ((b_end, a_end), (a_end, b_end)))
-        ends = np.sort(np.concatenate((a_end, b_end[~b_last])), kind="stable")
-        a_at, b_at = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        # All texts in a row: both sides end together at each text's end, so no group spans two texts. Ends are marked at their byte offsets.
+        a_ends, b_ends = (np.zeros(int(max(a_end[-1:].sum(), b_end[-1:].sum())) + 1, bool) for _ in "ab")
+        a_ends[a_end], b_ends[b_end] = True, True
+        a_last, b_last = b_ends[a_end], a_ends[b_end]
+        ends = np.flatnonzero(a_ends | b_ends)
+        a_at, b_at = (np.cumsum(x) - x for x in (a_ends[ends], b_ends[ends]))
         doc_of_a = np.repeat(np.arange(len(texts)), n_a)
         doc = doc_of_a[a_at] if len(ends) else a_at
         left, right = a[a_at], b[b_at]

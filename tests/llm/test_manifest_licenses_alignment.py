@@ -222,3 +222,19 @@ def test_alignment_slices_and_shuffled_counts(spark, short, monkeypatch):
     far = alignment.aligned(docs, *files)
     assert Counter((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in far.collect()) == want
     assert alignment.aligned(docs.limit(0), *files).count() == 0
+
+
+def test_words_are_encoded_once_and_as_in_whole_texts(monkeypatch):
+    """Signs that Unicode versions see differently leave a text to A's own splitter."""
+    t = alignment.tokenizers(*alignment.vocabulary_files())
+    rng = random.Random(5)
+    pool = "ab'sS dtlrvem019 \t\n\r\x0b!?.,-_é߀ … ÀŸ²ªº×"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["<|endoftext|> x", "\x1c a\x1d", "x\x85y", "日本 語", "a　b", "ʰx"]
+    for remembered in (alignment.REMEMBERED, 0):
+        monkeypatch.setattr(alignment, "REMEMBERED", remembered)
+        assert t.a_ids(texts) == [e.ids for e in t.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+    monkeypatch.setattr(alignment, "REMEMBERED", 1 << 30)
+    t.known.clear()
+    t.a_ids(["one two one", " two"])
+    t.known[" one"] = [7]
+    assert t.a_ids(["one one"]) == [[7, 7]]

@@ -35,7 +35,7 @@ from notelake.llm.shared import table
 #: Bytes beyond which a word is contracted with a heap.
 LONG_WORD = 1024
 #: Rows that all rounds of one recursive query may hold, words of a slice, and words in each of two generations that a worker remembers.
-QUERY_ROWS, SLICE_WORDS, REMEMBERED = 3_000_000, 400_000, 200_000
+QUERY_ROWS, SLICE_WORDS, REMEMBERED = 1_000_000, 100_000, 150_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 DUCKDB_MEMORY = "200MB"
@@ -206,7 +206,7 @@ def encoded(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[tu
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids_of), "<u4")
         sizes = size[code]
         ends = np.cumsum(sizes)
-        ids = flat[np.repeat(start[code] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ids = flat[np.repeat(start[code] - (ends - sizes), sizes) + np.arange(ends[-1])].view(np.int32)
         last = ends[np.cumsum([n for _, n in owners]) - 1]
         cuts = [0, *last.tolist()]
         chars = decode_rows(np.repeat(np.arange(len(owners), dtype=np.int32), np.diff(cuts)), ids, engine(path))
@@ -256,7 +256,7 @@ def vocabulary_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str
 
 def _list_array(parts: list[list[np.ndarray]]) -> pa.ListArray:
     sizes = [sum(map(len, p)) for p in parts]
-    flat = np.concatenate([x for p in parts for x in p] or [np.empty(0, np.int32)]).astype(np.int32)
+    flat = np.concatenate([x for p in parts for x in p] or [np.empty(0, np.int32)]).astype(np.int32, copy=False)
     return pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), pa.array(flat, pa.int32()))
 
 

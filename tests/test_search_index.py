@@ -294,3 +294,23 @@ def test_pairs_are_scored_without_a_shuffle_of_postings(spark, tmp_path, monkeyp
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(term" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_segment_shuffles_texts_once_and_postings_once(spark, monkeypatch, tmp_path):
+    rows = [(f"p{i}", "english", "vocabulary", f"word{i % 3}", " ".join(f"w{k % (i + 1)}" for k in range(i))) for i in range(300)] + [("none", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "path string, language string, doc_type string, title string, body string")
+    dealt = []
+    for name in ("repartition", "repartitionByRange"):
+        own = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda self, *a, own=own: dealt.append(a) or own(self, *a))
+    X.add_documents(str(tmp_path / "index"), docs)
+    assert len(dealt) == 2
+    index = X.read_index(spark, str(tmp_path / "index"))
+    doc = {r.path: r for r in index.docs.collect()}
+    want = {}
+    for path, _, _, title, body in rows:
+        words = f"{title or ''} {body or ''}".split()
+        for term, tf in Counter(words).items():
+            most, least, n = want.get((term, doc[path].doc >> X.BLOCK_BITS), (0, 1 << 30, 0))
+            want[term, doc[path].doc >> X.BLOCK_BITS] = (max(most, tf), min(least, len(words)), n + 1)
+    assert {(r.term, r.block): (r.max_tf, r.min_len, r.n) for r in index.blocks[0].collect()} == want

@@ -4,6 +4,7 @@ Spark deals out the documents; in every partition the texts are cut into words (
 pattern), and the different words that the worker does not remember go to an in-process DuckDB. There a
 recursive query holds one row per token position. Each round joins neighbouring positions to the merge table,
 finds every word's leftmost pair of minimum rank, and contracts it; words without such a pair leave the recursion.
+All positions are put in order by one sort a round: words are short, and a window's partition for each would cost more than its rows.
 An ordered aggregation over the surviving positions gives a word's ids. A text's ids are those of its words in order, and
 they are decoded as a whole: another ordered aggregation joins each id of the text to the vocabulary. Nothing is shuffled.
 
@@ -35,7 +36,7 @@ from notelake.llm.shared import table
 #: Bytes beyond which a word is contracted with a heap.
 LONG_WORD = 1024
 #: Rows that all rounds of one recursive query may hold, words of a slice, and words in each of two generations that a worker remembers.
-QUERY_ROWS, SLICE_WORDS, REMEMBERED = 1_000_000, 100_000, 150_000
+QUERY_ROWS, SLICE_WORDS, REMEMBERED = 1_000_000, 300_000, 150_000
 #: Longer words are not remembered.
 REMEMBERED_CHARS = 64
 DUCKDB_MEMORY = "200MB"
@@ -52,10 +53,11 @@ WITH RECURSIVE rounds AS (
     JOIN (
         SELECT word, min((m.rank * {PLACE} + p.pos) * {LENGTH} + p.next_pos - p.pos) AS best
         FROM (
-            SELECT word, pos, token, lead(token) OVER following AS next_token, lead(pos) OVER following AS next_pos
-            FROM rounds WINDOW following AS (PARTITION BY word ORDER BY pos)
+            SELECT word, pos, token, lead(word) OVER following AS next_word, lead(token) OVER following AS next_token, lead(pos) OVER following AS next_pos
+            FROM rounds WINDOW following AS (ORDER BY word, pos)
         ) p
         JOIN merges m ON m.pair = p.token * 4294967296 + p.next_token
+        WHERE p.next_word = p.word
         GROUP BY word
     ) b ON b.word = c.word
     WHERE c.pos <> b.best // {LENGTH} % {PLACE} + b.best % {LENGTH}

@@ -232,6 +232,16 @@ def test_bpe_equals_tiktoken(spark, docs):
     assert [r.b and bytes(r.b) for r in ids] == [reference.decode_bytes([1, 2, 300]), b"" or ids[1].b, None]
 
 
+def test_words_of_one_query_do_not_touch():
+    """One sort puts the positions of all words in order; a word's last token never pairs with the next word's first, and rounds cost no window for each word."""
+    path, _ = bpe.vocabulary_file()
+    known, con = bpe.ranks(path), bpe.engine(path)
+    asked = [b"t", b"h", b"e", b"the", b"", b"th", b"e", b" in", b"g", b"aaaa", b"a", *[w.encode() for w in words(random.Random(3), 200).split()]]
+    assert bpe.encode_words(asked, known, con) == [np.array(bpe.contract_long(w, known), "<u4").tobytes() for w in asked]
+    plan = con.sql("EXPLAIN " + bpe.ENCODE.replace("FROM positions", "FROM (SELECT 0 AS word, 0 AS pos, 0 AS token)")).fetchall()[0][1]
+    assert "PARTITION BY" not in plan
+
+
 # SimHash
 
 

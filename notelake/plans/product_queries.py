@@ -17,12 +17,12 @@ from notelake.operators import queues as U
 from notelake.operators import search as S
 from notelake.operators import study as Y
 from notelake.plans import oracle as O
-from notelake.plans.graph_queries import GRAPH, audit, relations_of
+from notelake.plans.graph_queries import GRAPH, relations_of
 from notelake.plans.index_queries import ITEM_COLUMNS, items_of, parsed, stored
 from notelake.plans.index_queries import ORACLE as INDEX_ORACLE
 from notelake.plans.oracle import PRELUDE
 from notelake.plans.search_queries import ORACLE as SEARCH_ORACLE
-from notelake.plans.search_queries import _act, _sentences, activity_view, lookup_table, terms, touched
+from notelake.plans.search_queries import _act, _sentences, activity_view, lookup_items_of, search_docs, terms, touched
 from notelake.plans.views import AS_OF, CANDIDATES, NOTES, TABLE_NOTES, WORD_NOTES, view
 from notelake.sources import files
 from notelake.sources.markdown import markdown_tables
@@ -120,8 +120,12 @@ def h12_quality_gate(spark, sf_dir):
     notes = stored(spark, sf_dir)
     q = terms(spark, sf_dir)
     expected = q.select(F.concat(F.lit("lookup "), F.col("qid").cast("string")).alias("check"), "qid", F.concat_ws("|", F.lit("vocabulary"), F.coalesce("language", F.lit("english")), "text").alias("item_key"))
-    smoke = H.smoke_lookups(S.index_for_grades(lookup_table(notes)), q, expected)
-    return H.quality_gate(H.validate_notes(notes, H.note_types(spark)), H.audit_keys(keys_of(notes)), audit(spark, sf_dir)[0], smoke)
+    # A search document has its item's key and its parts, so the notes' items are made once for all checks.
+    docs = search_docs(spark, sf_dir)
+    items = lookup_items_of(docs)
+    keys = docs.select("path", F.col("doc_type").alias("item_type"), "language", F.col("title").alias("normalized"))
+    relation_issues = G.audit_relations(relations_of(notes, spark), items.select("item_key"), G.taxonomy(spark))
+    return H.quality_gate(H.validate_notes(notes, H.note_types(spark)), H.audit_keys(keys), relation_issues, H.smoke_lookups(S.index_for_grades(items), q, expected))
 
 
 def i1_approve_vocabulary(spark, sf_dir):

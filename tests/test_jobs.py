@@ -242,3 +242,21 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     files.replace_partitions(frame(("d", "x", "de"), ("e", "z", "de")), str(tmp_path))
     files.replace_partitions(frame(), str(tmp_path))
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/items").collect()} == {("d", "x", "de"), ("b", "x", "en"), ("c", "y", "de"), ("e", "z", "de")}
+
+
+def test_quality_gate_makes_items_once(spark, monkeypatch):
+    """h12 takes keys, known items and the lookup from the search documents; these hold what the notes' items hold."""
+    from notelake.operators import index as I
+    from notelake.plans import product_queries as Q
+    from notelake.plans.index_queries import items_of, stored
+    from notelake.plans.search_queries import docs_of
+
+    sf, made, real = "/root/testdata/sf0.001", [], I.note_items
+    notes = stored(spark, sf)
+    docs = docs_of(notes)
+    keys = docs.select("path", F.col("doc_type").alias("item_type"), "language", F.col("title").alias("normalized"))
+    assert sorted(keys.collect()) == sorted(Q.keys_of(notes).collect())
+    assert {r.item_key for r in docs.select("item_key").collect()} == {r.item_key for r in items_of(notes).select("item_key").collect()}
+    monkeypatch.setattr(I, "note_items", lambda parsed: (made.append(1), real(parsed))[1])
+    assert {r.check for r in Q.h12_quality_gate(spark, sf).collect()} >= {"validation", "keys", "relations"}
+    assert len(made) <= 1

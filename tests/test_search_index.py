@@ -314,3 +314,38 @@ def test_a_segment_shuffles_texts_once_and_postings_once(spark, monkeypatch, tmp
             most, least, n = want.get((term, doc[path].doc >> X.BLOCK_BITS), (0, 1 << 30, 0))
             want[term, doc[path].doc >> X.BLOCK_BITS] = (max(most, tf), min(least, len(words)), n + 1)
     assert {(r.term, r.block): (r.max_tf, r.min_len, r.n) for r in index.blocks[0].collect()} == want
+
+
+def test_lists_are_fewer_rows_than_postings_and_search_asks_equal_queries_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    docs = doc_rows(rng, 300)
+    X.add_documents(f"{tmp_path}/index", spark.createDataFrame(docs, DOCS), expected=300)
+    index = X.read_index(spark, f"{tmp_path}/index")
+    # Texts of a bucket share their lists: some 4,000 postings are at most 12 terms in 16 buckets.
+    assert index.postings[0].count() > 2_000 and index.lists[0].count() <= 12 * 16
+    met, own = [], X._hits
+    monkeypatch.setattr(X, "_hits", lambda i, rarest, *a, **k: met.append(rarest) or own(i, rarest, *a, **k))
+    queries = [(i, ["alt_neu haus", "das ein"][i % 2], None, None) for i in range(40)]
+    found = X.text_search(index, spark.createDataFrame(queries, QUERY), 5).collect()
+    assert met and max(m.count() for m in met) <= 2
+    by = lambda q: sorted((r["rank"], r.path, r["pass"], r.score) for r in found if r.qid == q)
+    assert by(0) and by(1) and all(by(i) == by(i % 2) for i in range(40))
+
+
+def test_lists_that_cuts_divide_are_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(X, "CHUNK_BITS", 3)
+    monkeypatch.setattr(X, "MOST_LETTERS", 12)
+    rng = random.Random(9)
+    texts = [[" ".join(rng.choice("aa b cc".split()) for _ in range(rng.randint(0, 5))) for _ in range(2)] for _ in range(30)]
+    rows = pa.RecordBatch.from_pydict({"doc": np.arange(5, 35), "len": np.array([len(" ".join(t).split()) for t in texts]), "title": [t[0] for t in texts], "body": [t[1] for t in texts]})
+    got = set()
+    for batch in X._inverted(1)([rows.slice(0, 11), rows.slice(11)]):
+        for r in batch.to_pylist():
+            n, data = r["n"], r["data"]
+            at, ends, positions = data[:n], data[n : 2 * n], data[2 * n + 3 * r["n_blocks"] :]
+            assert len(positions) == ends[-1] and len({a >> 1 for a in at}) == r["docs"]
+            got |= {(r["term"], (r["chunk"] << 3) + (a >> 1), a & 1, p) for a, b, e in zip(at, [0, *ends], ends) for p in positions[b:e]}
+    assert got == {(w, i + 5, c, p) for i, t in enumerate(texts) for c in (0, 1) for p, w in enumerate(t[c].split())}

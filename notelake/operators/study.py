@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from notelake.functions.text import let, strip
 from notelake.operators.index import looked_up, note_items
 from notelake.operators.notes import clean_display, clean_inline, prop, study_sections
+from notelake.operators.search import item_counts, paired
+from notelake.sources.tables import written
 
 #: Learning types and what their cards say below the front.
 SUBTITLES = {"vocabulary": "Vocabulary item", "sentence": "Sentence card", "grammar": "Grammar concept"}
@@ -57,8 +59,9 @@ def build_deck(parsed: DataFrame, views: DataFrame, text: str | None = None, n:
 
 
 def card_relations(deck: DataFrame, views: DataFrame) -> DataFrame:
-    """(path, item_key, direction, label, other_text): the relations of the deck's cards."""
-    return deck.select("path", "item_key").join(views, "item_key").select("path", "item_key", "direction", "label", "other_text")
+    """(path, item_key, direction, label, other_text): the relations of the deck's cards. Cards of one item repeat its relations."""
+    cards, each = written(deck.select("path", "item_key"), "card-keys"), views.select("item_key", "direction", "label", "other_text")
+    return paired(each, cards, item_counts(each, cards)).select("path", "item_key", "direction", "label", "other_text")
 
 
 def deck_summary(cards: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def i5_mark_candidates(spark, sf_dir):
 
 def cards_and_views(spark, sf_dir, text=None):
     notes = stored(spark, sf_dir)
-    views = written(G.relation_views(relations_of(notes, spark)), "relation-views")
+    views = G.relation_views(relations_of(notes, spark))  # columns of a table that is kept
     return Y.build_deck(notes, views, text), views
 
 

@@ -349,3 +349,27 @@ def test_lists_that_cuts_divide_are_whole(monkeypatch):
             assert len(positions) == ends[-1] and len({a >> 1 for a in at}) == r["docs"]
             got |= {(r["term"], (r["chunk"] << 3) + (a >> 1), a & 1, p) for a, b, e in zip(at, [0, *ends], ends) for p in positions[b:e]}
     assert got == {(w, i + 5, c, p) for i, t in enumerate(texts) for c in (0, 1) for p, w in enumerate(t[c].split())}
+
+
+def test_pairs_of_items_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS_PER_TASK", 100)
+    relations = spark.createDataFrame([("hot", f"text {i}") for i in range(40)] + [("cold", "x")], "item_key string, other_text string")
+    holders = spark.createDataFrame([("hot", f"p{i}") for i in range(50)] + [("cold", "q"), ("none", "r")], "item_key string, path string")
+    found = S.paired(relations, holders, S.item_counts(relations, holders))
+    rows = [(r.item_key, r.path, r.n_relations, r.other_text) for r in found.collect()]
+    assert sorted(rows) == sorted([("hot", f"p{i}", 40, f"text {k}") for i in range(50) for k in range(40)] + [("cold", "q", 1, "x")])
+    # 2,001 pairs: 21 tasks, however few their bytes; no task has all of the hot item; a relation's rows follow each other.
+    parts = found.withColumn("part", F.spark_partition_id()).collect()
+    sizes = Counter(r.part for r in parts)
+    assert len(sizes) > 5 and max(sizes.values()) <= 600
+    changes = sum((a.part, a.other_text) != (b.part, b.other_text) for a, b in zip(parts, parts[1:], strict=False))
+    assert changes == 40
+
+
+def test_term_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS_PER_TASK", 100)
+    texts = spark.createDataFrame([(f"s{i}", "de", f"hund{i % 7} bellt") for i in range(70)], "path string, language string, sentence_norm string")
+    words = spark.createDataFrame([(f"t{i}", "de", f"hund{i % 7}") for i in range(140)], "path string, language string, term_norm string")
+    found = E.match_terms(words, texts)
+    assert {(r.sentence_path, r.term_path) for r in found.collect()} == {(f"s{i}", f"t{k}") for i in range(70) for k in range(140) if i % 7 == k % 7}
+    assert found.rdd.getNumPartitions() == 15

@@ -439,5 +439,5 @@ def text_search(index: TextIndex, q: DataFrame, n: int = 10) -> DataFrame:
 
 def snippets(index: TextIndex, q: DataFrame, found: DataFrame) -> DataFrame:
     """(qid, path, snippet) of documents found(qid, path), as search.snippet makes them."""
-    rows = _met(index.texts, found.select("qid", "path"), "path")
-    return snippets_of(rows.select("qid", "path", _words("body").alias("t")), q)
+    rows = _met(index.texts, written(found.select("qid", "path"), "found-documents"), "path")
+    return snippets_of(written(rows.select("qid", "path", _words("body").alias("t")), "found-texts"), q)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.text import norm_db, preview, tokens
+from notelake.functions.text import let, norm_db, preview, tokens
 from notelake.operators.grams import GramIndex, build_grams, candidates, letters
 from notelake.sources.tables import written
 
@@ -278,8 +278,8 @@ def snippets_of(found: DataFrame, q: DataFrame, width: int = 20) -> DataFrame:
     rows = found.join(q.select("qid", F.array_distinct(tokens(F.col("text"))).alias("terms")), "qid")
     hit = F.transform("t", lambda x: F.array_contains("terms", x).cast("int"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("t") - width + 1, F.lit(1)))
-    score = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice("hit", i, width), F.lit(0), lambda s, x: s + x).alias("n"), (-i).alias("at")))
-    best = rows.withColumn("hit", hit).withColumn("at", -F.array_max(score)["at"])
+    score = lambda hits: F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(hits, i, width), F.lit(0), lambda s, x: s + x).alias("n"), (-i).alias("at")))
+    best = rows.withColumn("at", -let(hit, lambda hits: F.array_max(score(hits))["at"]))  # bound: else made again for every start
     shown = F.array_join(F.transform(F.slice("t", F.col("at"), width), lambda x: F.when(F.array_contains("terms", x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)), " ")
     text = F.concat(F.when(F.col("at") > 1, " ... ").otherwise(""), shown, F.when(F.col("at") + width <= F.size("t"), " ... ").otherwise(""))
     return best.select("qid", "path", text.alias("snippet"))
